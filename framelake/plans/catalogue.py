@@ -1,4 +1,6 @@
-"""Registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from framelake.plans import group_a  # noqa: F401
+from framelake.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
