@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from framelake.plans import group_a  # noqa: F401
+from framelake.plans import group_a, group_b  # noqa: F401
 from framelake.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
