@@ -64,8 +64,11 @@ def _terms(text: bytes | None, wanted=None) -> set[str]:
     out: set[str] = set()
     for w in words_of(text):
         if len(w) < 200:
-            p = _prefixes(w.decode("utf-8", "replace"))
-            out |= p if wanted is None else p & wanted if isinstance(wanted, frozenset) else {t for t in p if t in wanted}
+            s = w.decode("utf-8", "replace")
+            if wanted is None:
+                out |= _prefixes(s)
+            else:
+                out.update(t for t in (s, *(s[:k] + "*" for k in PREFIXES if k <= len(s))) if t in wanted)
     return out
 
 
@@ -146,8 +149,13 @@ def mine_terms(sample: DataFrame) -> list[str]:
     pos = {r["term"]: r["n"] for r in count(toxic).where(F.col("n") >= MIN_ROWS).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()}
     if not pos or not clean.limit(1).count():
         return []
-    neg = {r["term"]: r["n"] for r in count(clean, spark.sparkContext.broadcast(frozenset(pos))).collect()}
-    precise = [t for t in pos if pos[t] >= MIN_PRECISION * (pos[t] + neg.get(t, 0))]
+    # Most terms fall on an eighth of the clean rows; only those left are counted in the rest.
+    neg: dict[str, int] = Counter()
+    precise = list(pos)
+    eighth = F.pmod(F.xxhash64("text"), F.lit(8)) == 0
+    for part in (clean.where(eighth), clean.where(~eighth)):
+        neg.update({r["term"]: r["n"] for r in count(part, spark.sparkContext.broadcast(frozenset(precise))).collect()})
+        precise = [t for t in precise if pos[t] >= MIN_PRECISION * (pos[t] + neg[t])]
     precise = sorted(precise, key=lambda t: (-pos[t], neg.get(t, 0), -len(t), t))[:MAX_PRECISE]
     wanted = spark.sparkContext.broadcast({t: k for k, t in enumerate(precise)})
 
@@ -163,22 +171,23 @@ def mine_terms(sample: DataFrame) -> list[str]:
     rows = []
     for r in map_rows(toxic, ["text"], "at array<int>, u long, v long", present).where("size(at) > 0").orderBy("u", "v", "at").collect():
         if (0, r["u"]) not in seen and (1, r["v"]) not in seen:
-            rows.append(set(r["at"]))
+            rows.append(np.array(r["at"], np.int64))
         seen |= {(0, r["u"]), (1, r["v"])}
-    least = 3 if len(rows) >= 100 else 2
+    holds = np.zeros((len(rows), len(precise)), bool)
+    for i, r in enumerate(rows):
+        holds[i, r] = True
+    least = max(2, -(-len(rows) // 200))
+    new, covered = holds.sum(0), np.zeros(len(rows), int)
     chosen: list[int] = []
-    barred: set[int] = set()
-    while rows and len(chosen) < MAX_VOTERS:
-        new = np.bincount(np.concatenate([sorted(r) for r in rows]), minlength=len(precise))
-        new[[*chosen, *barred]] = 0
+    while len(chosen) < MAX_VOTERS and len(precise):
         k = int(new.argmax())  # ties: more rows, fewer others, the longer term
         if new[k] < least:
             break
         chosen.append(k)
         stem = precise[k].rstrip("*")
-        barred |= {j for j, t in enumerate(precise) if t.rstrip("*").startswith(stem) or t.endswith("*") and stem.startswith(t[:-1])}
-        rows = [r for r in rows if len(r.intersection(chosen)) < COVER]
-        rows = [r for r in rows if not r <= barred]
+        new[[j for j, t in enumerate(precise) if t.rstrip("*").startswith(stem) or t.endswith("*") and stem.startswith(t[:-1])]] = -len(rows)
+        covered += holds[:, k]
+        new -= holds[(covered == COVER) & holds[:, k]].sum(0)
     return [precise[k] for k in chosen]
 
 
