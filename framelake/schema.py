@@ -7,20 +7,25 @@ from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import types as T
 
-META = T.StructType.fromDDL(
-    "object string, ra double, dec double, focal_length_mm double, pixel_size_um double, instrument string, telescope string, filter string,"
-    " exposure_seconds double, date_obs string, gain double, ccd_temp_c double, site_lat double, site_lon double"
-)
-FRAMES = T.StructType([
-    *T.StructType.fromDDL("path string, length long, mtime timestamp, width int, height int, channels int, bitpix int, bayer string, bottom_up boolean, header_bytes int, header map<string,string>, error string").fields,
-])
-PIXEL_ROWS = T.StructType.fromDDL("path string, c int, y int, row array<float>")
-SNAPSHOT = T.StructType.fromDDL("index int, timestamp timestamp, source_file string, snapshot_file string, estimated_integration_seconds double, width int, height int, mean double, median double, stddev double")
-MANIFEST = T.StructType([
-    *T.StructType.fromDDL("session_id string, target string, telescope string, camera string, filter string, sub_exposure_seconds double, location string, bortle int, notes string, started_at timestamp, ended_at timestamp").fields,
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "long": T.LongType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+
+
+def struct(columns: str, *more: T.StructField) -> T.StructType:
+    """Fields from "name type, ..." without a session, and more after them."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (c.split() for c in columns.split(","))] + list(more))
+
+
+FRAMES = struct(
+    "path string, length long, mtime timestamp, width int, height int, channels int, bitpix int, bayer string, bottom_up boolean, header_bytes int",
+    T.StructField("header", T.MapType(T.StringType(), T.StringType())), T.StructField("error", T.StringType()),
+)
+PIXEL_ROWS = struct("path string, c int, y int", T.StructField("row", T.ArrayType(T.FloatType())))
+SNAPSHOT = struct("index int, timestamp timestamp, source_file string, snapshot_file string, estimated_integration_seconds double, width int, height int, mean double, median double, stddev double")
+MANIFEST = struct(
+    "session_id string, target string, telescope string, camera string, filter string, sub_exposure_seconds double, location string, bortle int, notes string, started_at timestamp, ended_at timestamp,"
+    " accepted_frames int, rejected_frames int, total_integration_seconds double, master_outcome string",
     T.StructField("snapshots", T.ArrayType(SNAPSHOT)),
-    *T.StructType.fromDDL("accepted_frames int, rejected_frames int, total_integration_seconds double, master_outcome string").fields,
-])
+)
 
 
 @dataclass(frozen=True)

@@ -96,7 +96,7 @@ def _observe(state: Folder, o: dict, now: float, policy: Policy, effects: list)
     if f is None or f[0] != identity:
         state.files[name] = [identity, None, now, "observing"]
         return
-    if digest is None or f[3] in ("ready", "emitted", "duplicate", "late", "lost") and f[1] == digest:
+    if digest is None or f[3] in ("late", "lost") or f[3] in ("ready", "emitted", "duplicate") and f[1] == digest:
         return
     if state.emitted.get(name) == digest:
         if f[3] != "duplicate":
