@@ -9,7 +9,7 @@ into one statistic; low means random.
 What the statistic is for ordinary text of that length and alphabet is measured on all
 documents: each gives one stretch of its own letters. A candidate's p-value is the
 share of ordinary stretches of its length class at most as high, and Benjamini and
-Hochberg's procedure is run within each encoding and length class. Short strings, where
+Hochberg's procedure is run within each size of alphabet and length class. Short strings, where
 text looks random too, thus need a lower statistic than long ones.
 
 Defined cases: null text is empty; spans are code points, end exclusive; repeated rows
@@ -38,7 +38,7 @@ _HINTS = (b"passw", b"secret", b"token", b"key")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 KINDS = ("assign", "access", "hex")
 #: Share of false discoveries allowed in a class, and the lower ends of the length classes.
-FDR, LENGTHS = 0.01, (16, 20, 24, 32, 48, 96)
+FDR, LENGTHS = 0.05, (16, 20, 24, 32, 48, 96)
 _ALPHABETS = {
     "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": string.ascii_uppercase + "234567",
     "base36": string.digits + string.ascii_lowercase, "BASE36": string.digits + string.ascii_uppercase,
@@ -46,6 +46,7 @@ _ALPHABETS = {
 }
 ENCODINGS = tuple(_ALPHABETS)
 _INDEX = {k: {c: i for i, c in enumerate(v)} for k, v in _ALPHABETS.items()}
+SIZES = tuple(sorted({len(v) for v in _ALPHABETS.values()}))
 _STEP, _TOP = 20, 2000
 
 
@@ -76,10 +77,10 @@ def _normal_tail(z: float) -> float:
 def battery(x: np.ndarray, size: int) -> float:
     """Fisher's statistic of the three tests that x is uniform over range(size)."""
     n = len(x)
-    bins = min(size, max(2, n // 4))
-    counts = np.bincount(x * bins // size, minlength=bins)
-    edges = np.bincount(np.arange(size) * bins // size, minlength=bins) / size * n
-    chi, free = float(((counts - edges) ** 2 / edges).sum()), bins - 1
+    counts = np.bincount(x, minlength=size)
+    # All symbols count even where few are expected; the statistic's true variance there gives its degrees of freedom.
+    mean, var = size - 1, 2 * (size - 1) * (n - 1) / n
+    chi, free = float(((counts - n / size) ** 2).sum()) * size / n * 2 * mean / var, 2 * mean * mean / var
     cube = ((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
     p_chi = max(1e-300, 0.5 * math.erfc(cube / math.sqrt(2)))
     high = x * 2 >= size
@@ -115,7 +116,8 @@ def _letters(raw: bytes, at: int, n: int) -> np.ndarray | None:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, base array, candidates array, plain): one row for each row of docs.
 
-    plain is the document's own ordinary stretch: its encoding, length class and bin.
+    plain is the document's own ordinary stretch, of a length class by its hash, as it
+    scores in each size of alphabet.
     """
 
     def run(chunks):
@@ -129,42 +131,39 @@ def scan(docs: DataFrame) -> DataFrame:
                     if e:
                         idx = _INDEX[e]
                         x = np.fromiter((idx[c] for c in m[0]), np.int64, len(m[0]))
-                        found.append({"start": m.start(), "end": m.end(), "enc": ENCODINGS.index(e), "len": length_class(len(x)), "bin": _bin(battery(x, len(idx)))})
-                plain = None
+                        found.append({"start": m.start(), "end": m.end(), "enc": ENCODINGS.index(e), "size": len(idx), "len": length_class(len(x)), "bin": _bin(battery(x, len(idx)))})
+                plain = []
                 if len(raw) > 64:
                     mix = xxhash.xxh64_intdigest(raw)
-                    e, k = mix % len(ENCODINGS), (mix >> 8) % len(LENGTHS)
+                    k = mix % len(LENGTHS)
                     x = _letters(raw, (mix >> 16) % len(raw), LENGTHS[k] + (mix >> 40) % 4)
                     if x is not None:
-                        size = len(_ALPHABETS[ENCODINGS[e]])
-                        plain = {"enc": e, "len": k, "bin": _bin(battery(x * size // 26, size))}
+                        plain = [{"size": n, "len": k, "bin": _bin(battery(x * n // 26, n))} for n in SIZES]
                 yield doc_id, [{"start": a, "end": b, "kind": k} for a, b, k in base_spans(text, raw)], found, plain
 
     span = "struct<start:int,end:int,kind:int>"
-    cand = "struct<start:int,end:int,enc:int,len:int,bin:int>"
-    return map_rows(docs, ["doc_id", "text"], f"doc_id long, base array<{span}>, candidates array<{cand}>, plain struct<enc:int,len:int,bin:int>", run)
+    cand = "struct<start:int,end:int,enc:int,size:int,len:int,bin:int>"
+    return map_rows(docs, ["doc_id", "text"], f"doc_id long, base array<{span}>, candidates array<{cand}>, plain array<struct<size:int,len:int,bin:int>>", run)
 
 
 def limits(scanned: DataFrame, fdr: float = FDR) -> dict[tuple[int, int], int]:
-    """The highest bin that is a discovery, for each encoding and length class.
+    """The highest bin that is a discovery, for each size of alphabet and length class.
 
-    Counts by (encoding, length class, bin) come from all documents; that table is
+    Counts by (size, length class, bin) come from all documents; that table is
     bounded by its keys.
     """
-    c = scanned.select(F.explode("candidates").alias("c")).select("c.enc", "c.len", "c.bin", F.lit(1).alias("n"), F.lit(0).alias("m"))
-    p = scanned.where("plain is not null").select("plain.enc", "plain.len", "plain.bin", F.lit(0).alias("n"), F.lit(1).alias("m"))
-    rows = c.unionAll(p).groupBy("enc", "len", "bin").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect()
+    count = lambda c, n, m: scanned.select(F.explode(c).alias("c")).select("c.size", "c.len", "c.bin", F.lit(n).alias("n"), F.lit(m).alias("m"))
+    rows = count("candidates", 1, 0).unionAll(count("plain", 0, 1)).groupBy("size", "len", "bin").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect()
     out = {}
-    for key in {(r["enc"], r["len"]) for r in rows}:
+    for key in {(r["size"], r["len"]) for r in rows}:
         n, m = np.zeros(_TOP + 1, np.int64), np.zeros(_TOP + 1, np.int64)
         for r in rows:
-            if (r["enc"], r["len"]) == key:
+            if (r["size"], r["len"]) == key:
                 n[r["bin"]], m[r["bin"]] = r["n"], r["m"]
         if not m.sum() or not n.sum():
             continue
         p_value = (1 + np.cumsum(m)) / (1 + m.sum())
         passed = np.flatnonzero((n > 0) & (p_value <= fdr * np.cumsum(n) / n.sum()))
-        # With few ordinary stretches no p-value gets below the limit; the least one then counts as its own bound.
         if len(passed):
             out[key] = int(passed.max())
     return out
@@ -174,8 +173,8 @@ def find(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """doc_id, base spans and found spans (start, end, enc), one row for each row of docs."""
     scanned = stored(scan(docs), "secret-scan")
     most = limits(scanned, fdr)
-    keys = F.create_map(*[F.lit(x) for (e, k), v in sorted(most.items()) for x in (e * 100 + k, v)]) if most else F.lit(None).cast("map<int,int>")
-    hits = F.filter("candidates", lambda c: F.coalesce(c["bin"] <= F.try_element_at(keys, c["enc"] * 100 + c["len"]), F.lit(False)))
+    keys = F.create_map(*[F.lit(x) for (n, k), v in sorted(most.items()) for x in (n * 100 + k, v)]) if most else F.lit(None).cast("map<int,int>")
+    hits = F.filter("candidates", lambda c: F.coalesce(c["bin"] <= F.try_element_at(keys, c["size"] * 100 + c["len"]), F.lit(False)))
     return scanned.select("doc_id", "base", F.transform(hits, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["enc"].alias("enc"))).alias("found"))
 
 
