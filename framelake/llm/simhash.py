@@ -99,6 +99,8 @@ class Ball:
     def forest(self, fps: np.ndarray, route: int) -> list[tuple[int, int]]:
         """A spanning forest of the links whose shared value lies on this route."""
         fps = np.unique(fps)
+        if len(fps) < 2:
+            return []
         away = self.route(fps) ^ route
         kinds = [(np.flatnonzero(away == d), self.masks[d]) for d in np.unique(away).tolist()]
         total = sum(len(i) * len(m) for i, m in kinds)

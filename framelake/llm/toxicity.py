@@ -44,9 +44,10 @@ COVER = 3
 PRIOR = 0.98
 #: A-Z lowered; bytes that are no part of a word become spaces.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Possessive runs from word starts only: a run of any length is tried once.
 _PATTERNS = (
-    (re.compile(rb"(?:[^\W\d_]{2,}[!?]{2,}\s*){3}"), "shouts"),
-    (re.compile(rb"\b[A-Z]{4,}(?:\W+[A-Z]{3,}){4}"), "capitals"),
+    (re.compile(rb"(?:(?<![A-Za-z])[A-Za-z]{2,}+[!?]{2,}+\s*+){3}"), "shouts"),
+    (re.compile(rb"(?<![A-Z])[A-Z]{4,}+(?:[^A-Za-z]++[A-Z]{3,}+){4}"), "capitals"),
     (re.compile(rb"([#*$%&])\1{2,}"), "symbols"),
 )
 
@@ -164,15 +165,18 @@ def mine_terms(sample: DataFrame) -> list[str]:
             for (text,) in chunk:
                 at = wanted.value
                 long = [w for w in words_of(text) if len(w) >= 8] or list(words_of(text)) or [b""]
-                yield sorted(at[t] for t in _terms(text, at)), min(zlib.crc32(w) for w in long), min(zlib.crc32(w, 77) for w in long)
+                yield sorted(at[t] for t in _terms(text, at)), [min(zlib.crc32(w, seed) for w in long) for seed in (0, 77, 7777)]
 
     # (row, term) incidence of the sampled toxic rows, one row for each group of near copies.
-    seen: set[tuple[int, int]] = set()
+    # Copies agree in two of three least hashes of their long words.
+    seen: set[tuple] = set()
     rows = []
-    for r in map_rows(toxic, ["text"], "at array<int>, u long, v long", present).where("size(at) > 0").orderBy("u", "v", "at").collect():
-        if (0, r["u"]) not in seen and (1, r["v"]) not in seen:
+    for r in map_rows(toxic, ["text"], "at array<int>, least array<long>", present).where("size(at) > 0").orderBy("least", "at").collect():
+        u, v, w = r["least"]
+        pairs = {(0, u, v), (1, v, w), (2, u, w)}
+        if seen.isdisjoint(pairs):
             rows.append(np.array(r["at"], np.int64))
-        seen |= {(0, r["u"]), (1, r["v"])}
+        seen |= pairs
     holds = np.zeros((len(rows), len(precise)), bool)
     for i, r in enumerate(rows):
         holds[i, r] = True
