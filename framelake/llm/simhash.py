@@ -64,15 +64,16 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row."""
+    """(doc_id, h, fp) of every row; h is a hash of the text."""
 
     def run(chunks):
         for chunk in chunks:
-            for doc_id, text in chunk:
+            for doc_id, h, text in chunk:
                 fp = fingerprint(text)
-                yield doc_id, fp - (1 << 64) if fp >> 63 else fp
+                yield doc_id, h, fp - (1 << 64) if fp >> 63 else fp
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id long, fp long", run)
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return map_rows(hashed, ["doc_id", "h", "text"], "doc_id long, h long, fp long", run)
 
 
 class Ball:
@@ -209,28 +210,37 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs."""
+    """(doc_id, h, fp, root, component_id) for every row of docs; root names the component even without ids."""
     rows = stored(fingerprints(docs), "simhash-fps")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-distinct")
     labels = components(stored(links(distinct), "simhash-links"))
     # The fingerprints that have links are a small part; the others are their own class.
     rooted = distinct.join(labels, "fp")
     ids = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    linked = rooted.join(ids, "root").select("fp", "component_id")
-    alone = distinct.join(labels, "fp", "left_anti").select("fp", F.col("first_doc").alias("component_id"))
-    return rows.join(linked.unionByName(alone), "fp").select("doc_id", "fp", "component_id")
+    linked = rooted.join(ids, "root").select("fp", "root", "component_id")
+    alone = distinct.join(labels, "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("first_doc").alias("component_id"))
+    return rows.join(linked.unionByName(alone), "fp").select("doc_id", "h", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs less all but the smallest doc_id of each component.
+    """One row of docs for each component: the smallest doc_id's, a null id's only if all are null.
 
-    Rows that repeat that doc_id are repeats of the document that stays; the one with
-    the least text hash and then any of equal rows is kept.
+    Of rows that share that id the one with the least text hash stays, and one of rows
+    whose id and text are equal. Only rows that repeat are deduplicated by text.
     """
-    found = near_duplicates(docs)
-    best = found.where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    kept = docs.join(best, docs["doc_id"].eqNullSafe(best["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    found = stored(near_duplicates(docs).select("doc_id", "h", "root"), "simhash-found")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first")
+    best = found.groupBy("root").agg(first).select("first.doc_id", "first.h")
+    repeated = stored(found.groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h"), "simhash-repeated")
+
+    def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return rows.join(keys, rows["doc_id"].eqNullSafe(keys["doc_id"]) & (F.xxhash64(rows["text"]) == keys["h"]), how)
+
+    kept = among(docs, best, "left_semi")
+    if not repeated.limit(1).count():
+        return kept
+    once = among(kept, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
+    return among(kept, repeated, "left_anti").unionByName(once)
 
 
 def digest(docs: DataFrame) -> DataFrame:

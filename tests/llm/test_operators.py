@@ -269,6 +269,15 @@ def test_simhash_edges(spark, odd, none):
     assert len(got) == 1 and simhash.digest(odd).count() == len(ODD)
 
 
+def test_one_of_each_without_ids_and_with_repeated_ids(spark, none):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "red green blue cyan pink grey")
+    rows = [(None, a), (None, a), (None, b), (7, c), (7, c), (7, b + " more words than these"), (9, c)]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, h string").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in simhash.one_of_each(df).collect())
+    assert got == Counter([(None, a), (None, b), (7, c), (7, b + " more words than these")])
+    assert simhash.one_of_each(df).columns == df.columns and simhash.one_of_each(none).count() == 0
+
+
 @pytest.mark.parametrize("table", ["docs", "odd"])
 def test_packing(request, table):
     import public_tokenizers
