@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EXTENSIONS = ("fit", "fits", "fts", "png", "jpg", "jpeg", "tif", "tiff")
@@ -69,3 +69,21 @@ def newest_valid(files: DataFrame, keys: list[str], mtime: str, valid: Column, k
 
 def complete(length: Column, header_bytes: Column, data_bytes: Column) -> Column:
     return length >= header_bytes + data_bytes
+
+
+def footprint(files: DataFrame, keys: list[str], name: str, size: str) -> DataFrame:
+    """(keys, n_files, bytes) of the files that are not hidden."""
+    return files.where(~F.col(name).startswith(".")).groupBy(*keys).agg(F.count("*").alias("n_files"), F.sum(size).alias("bytes"))
+
+
+def directory_footprint(spark: SparkSession, path: str) -> DataFrame:
+    """(n_files, bytes) below path, from listings alone: no content is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    return footprint(found.withColumn("name", F.element_at(F.split("path", "/"), -1)), [], "name", "length")
+
+
+def device_folders(listing: DataFrame, keys: list[str], device: Column, mtime: str, keep: list[str]) -> DataFrame:
+    """The newest folder of each device: (keys, device, keep, mtime); ties go to the greatest of keep."""
+    newest = F.max(F.struct(mtime, *keep)).alias("b")
+    rows = listing.withColumn("device", device).where("device is not null")
+    return rows.groupBy(*keys, "device").agg(newest).select(*keys, "device", *[F.col(f"b.{c}") for c in keep], F.col(f"b.{mtime}"))

@@ -160,3 +160,25 @@ def from_opponent(y: Column, c1: Column, c2: Column) -> tuple[Column, Column, Co
 
 def quantize8(v: Column) -> Column:
     return F.floor(clamp(v) * 255).cast("int")
+
+
+def display(pixels: DataFrame, image: list[str], width: int, height: int, linear: bool = True, flattened: bool = False, factor: float = 1.0, tiles: int = 48) -> DataFrame:
+    """The display order for three channels: neutralize, stretch linear data, saturate.
+
+    Flattened images are neutralized by gain only, others by offset and then by gain.
+    """
+    p = neutralize_mul(pixels if flattened else neutralize_add(pixels, image, width, height, tiles), image)
+    if linear:
+        p = auto_stretch(p, image)
+    wide = p.groupBy(*image, "y", "x").agg(*[F.max(F.when(F.col("c") == k, F.col("v"))).alias(f"c{k}") for k in range(3)])
+    mixed = saturation(F.col("c0"), F.col("c1"), F.col("c2"), factor)
+    both = F.explode(F.array(*[F.struct(F.lit(k).alias("c"), v.alias("v")) for k, v in enumerate(mixed)])).alias("s")
+    return wide.select(*image, "y", "x", both).select(*image, "s.c", "y", "x", "s.v")
+
+
+def dilate(mask: DataFrame, keys: list[str], width: int, height: int, times: int = 1) -> DataFrame:
+    """(keys, y, x) of set pixels grown by their four neighbours, times over."""
+    steps = [(dy, dx) for dy in range(-times, times + 1) for dx in range(-times, times + 1) if abs(dy) + abs(dx) <= times]
+    near = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in steps])).alias("s")
+    grown = mask.select(*keys, near).select(*keys, "s.y", "s.x")
+    return grown.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).distinct()

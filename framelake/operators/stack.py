@@ -112,3 +112,11 @@ def reseed_epochs(frames: DataFrame, session: str, order: list[str], failed: Col
     df = df.withColumn("run", F.when(F.col("_f") == 1, (F.col("_run") - 1) % after + 1).otherwise(0))
     epoch = F.coalesce(F.sum(F.col("reseed").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return df.withColumn("epoch", epoch).drop("_f", "_island", "_run")
+
+
+def manual_reseeds(frames: DataFrame, session: str, order: list[str], asked: Column, native: Column, importing: Column, claimed: Column) -> DataFrame:
+    """answer: done, or why an asked reseed is refused; epoch: reseeds done up to the frame. Session totals carry on."""
+    answer = F.when(~asked, None).when(~native, "not_native").when(importing, "importing").when(claimed, "finalizing").otherwise("done")
+    df = frames.withColumn("answer", answer)
+    done = F.coalesce((F.col("answer") == "done").cast("int"), F.lit(0))
+    return df.withColumn("epoch", F.sum(done).over(Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelake.functions import stats
-from framelake.operators import background, filters, register, replay, session, sky, stack
+from framelake.operators import background, filters, folder, pixels, register, replay, session, sky, stack
 from framelake.schema import Options
 
 
@@ -213,3 +213,26 @@ def test_session_texts(spark):
 def test_options_survive_older_documents():
     o = Options.from_json('{"saturation": 1.5, "unknown": 3, "denoise": null}')
     assert o.saturation == 1.5 and o.denoise == 0.0 and Options.from_json(o.to_json()) == o
+
+
+def test_display_order(spark):
+    rng = np.random.default_rng(3)
+    rows = [(0, c, y, x, float(0.1 + 0.05 * c + 0.02 * rng.random())) for c in range(3) for y in range(12) for x in range(12)]
+    px = spark.createDataFrame(rows, "image int, c int, y int, x int, v double")
+    flat = {(r.c, r.y, r.x): r.v for r in pixels.display(px, ["image"], 12, 12, linear=False, flattened=True).collect()}
+    med = [np.median([v for (c, _, _), v in flat.items() if c == k]) for k in range(3)]
+    assert len(flat) == len(rows) and np.allclose(med, med[1])
+    grey = pixels.display(px, ["image"], 12, 12, factor=0.0, tiles=4).groupBy("y", "x").agg((F.max("v") - F.min("v")).alias("d"), F.min("v").alias("low"), F.max("v").alias("high"))
+    assert grey.where("d > 1e-9 or low < 0 or high > 1").count() == 0 and grey.count() == 144
+
+
+def test_dilation_stays_inside(spark):
+    got = pixels.dilate(spark.createDataFrame([(1, 0, 0), (1, 3, 3)], "frame int, y int, x int"), ["frame"], 4, 4)
+    assert {(r.y, r.x) for r in got.collect()} == {(0, 0), (0, 1), (1, 0), (3, 3), (2, 3), (3, 2)}
+
+
+def test_directory_footprint(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    for name, size in (("a.fit", 10), ("deep/b.fit", 20), ("deep/c.txt", 5)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    assert tuple(folder.directory_footprint(spark, str(tmp_path)).first()) == (3, 35)
