@@ -1,20 +1,20 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model.
 
-The model is of character 4-grams over a fixed alphabet of 46 classes and is trained on
-all trusted text (quality 1). Counts are gathered per partition, summed by n-gram, and
-continuation counts, discounts and back-off weights come from group-bys and joins
-sharded by n-gram and by history. What a model can hold is bounded by the alphabet
-(46**4 entries), so the finished probabilities go to the tasks as one dense table and a
-document's perplexity is a narrow pass over its whole text; ``perplexity_by_join`` gives
-the same by joining n-gram counts with the sharded model.
+classify() scores with the sharded subword model of sharded_lm: n-grams of code points
+as they are, trained on all trusted text (quality 1) but a tenth, whose tables grow with
+the corpus and are joined, never gathered.
 
 A document is kept if its perplexity is at most its language's limit: a high quantile
-of the trusted documents of that language, with some slack.
+of the trusted documents of that language that were left out of training, with some
+slack. Copies of a text are left out together.
+
+The dense model of character classes (gram_counts to perplexity_by_join) is a second,
+small implementation that tests compare; no query uses it.
 
 Defined cases: null, empty texts have no perplexity (null) and are not kept; a null
-lang is a language of its own; languages without trusted documents take the limit of
-all; without any trusted text perplexities and verdicts are null and false. Repeated
-rows are all returned.
+lang is a language of its own; languages without left-out trusted documents take the
+limit of all; with fewer than two different trusted texts nothing can be left out, so
+limits and verdicts are null and false. Repeated rows are all returned.
 """
 
 from __future__ import annotations
@@ -24,11 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sharded_lm
 from .common import map_rows, stored
 
 ORDER = 4
 #: Quantile of trusted perplexities, and the slack on it.
 QUANTILE, SLACK = 0.995, 1.1
+#: One in so many trusted texts is left out of training.
+LEFT_OUT = 10
 #: Characters of average text added to every text, so that very short ones say little.
 PRIOR_CHARS = 40
 #: Trusted ids (8 bytes each) that are broadcast to pick out trusted texts; more are joined by shuffle.
@@ -155,12 +158,19 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, lang, n_units, perplexity, threshold, kept) of each row of docs."""
     trusted = stored(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct(), "quality-trusted")
     few = trusted.count() <= MAX_BROADCAST_IDS
-    model = kneser_ney(gram_counts(docs.join(F.broadcast(trusted) if few else trusted, "doc_id", "left_semi").select("text")))
-    scored = stored(perplexities(docs, model), "quality-scores")
+    good = trusted.withColumn("good", F.lit(True))
+    marked = docs.select("doc_id", "lang", "text").join(F.broadcast(good) if few else good, "doc_id", "left").withColumn("mark", F.when(F.col("good") & (F.length("text") > 0), F.xxhash64("text")))
+    out_by_hash = F.pmod("mark", F.lit(LEFT_OUT)) == 0
+    n, every, low, high = marked.agg(F.count_if(out_by_hash), F.count("mark"), F.min("mark"), F.max("mark")).first()
+    # On small tables none or all may have such a hash: then that of the least hash is left out.
+    left_out = out_by_hash if 0 < n < every else F.col("mark") == F.lit(low) if low is not None and low < high else F.lit(False)
+    marked = marked.withColumn("left_out", F.coalesce(left_out, F.lit(False)))
+    shards = sharded_lm.model(sharded_lm.gram_counts(marked.select("text", (F.col("mark").isNotNull() & ~F.col("left_out")).alias("train"))))
+    scored = stored(sharded_lm.scores(marked, shards, ("doc_id", "lang", "left_out")), "quality-scores")
     mean = scored.agg(F.sum("log_sum") / F.sum("n_units")).first()[0] or 0.0
     shrunk = F.exp(-(F.col("log_sum") + PRIOR_CHARS * mean) / (F.col("n_units") + PRIOR_CHARS))
     scored = scored.withColumn("perplexity", F.when(F.col("n_units") > 0, shrunk))
-    good = scored.join(trusted, "doc_id", "left_semi").where("perplexity is not null")
+    good = scored.where("left_out and perplexity is not null")
     at = F.percentile_approx("perplexity", QUANTILE, 10_000) * SLACK
     # One row for each language: bounded by the number of languages, joined by value.
     by_lang = good.groupBy("lang").agg(at.alias("t"))
