@@ -7,7 +7,8 @@ alphabet's middle, and serial correlation at lag one. Fisher's method combines t
 into one statistic; low means random.
 
 What the statistic is for ordinary text of that length and alphabet is measured on all
-documents: each gives one stretch of its own letters. A candidate's p-value is the
+documents: every distinct text once, cut from end to end into stretches of each length
+class; runs with a digit are no ordinary text. A candidate's p-value is the
 share of ordinary stretches of its length class at most as high, and Benjamini and
 Hochberg's procedure is run within each size of alphabet and length class. Short strings, where
 text looks random too, thus need a lower statistic than long ones.
@@ -24,11 +25,11 @@ import re
 import string
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, map_rows, sha, stored
+from .common import LOWER, ROWS_AT_ONCE, map_rows, sha, stored
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -106,19 +107,88 @@ def _bin(stat: float) -> int:
     return min(_TOP, int(stat * _STEP))
 
 
-def _letters(raw: bytes, at: int, n: int) -> np.ndarray | None:
-    """n letters of the text from about at on, as ranks 0-25."""
-    part = np.frombuffer(raw[at : at + 3 * n].translate(LOWER), np.uint8)
-    part = part[(part >= 97) & (part <= 122)]
-    return part[:n].astype(np.int64) - 97 if len(part) >= n else None
+#: Repeated texts' hashes (8 bytes each) that are broadcast; more are joined by shuffle.
+MAX_BROADCAST_HASHES = 4_000_000
+_DIGIT_RUN = re.compile(rb"(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}")
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, base array, candidates array, plain): one row for each row of docs.
+def _letters(raw: bytes) -> np.ndarray:
+    """The letters of the text's ordinary runs, as ranks 0-25."""
+    part = np.frombuffer(_DIGIT_RUN.sub(b"", raw).translate(LOWER), np.uint8)
+    return part[(part >= 97) & (part <= 122)] - np.uint8(97)
 
-    plain is the document's own ordinary stretch, of a length class by its hash, as it
-    scores in each size of alphabet.
-    """
+
+def _erfc(z: np.ndarray) -> np.ndarray:
+    """erfc, to a relative error of 1.2e-7 (Chebyshev fit)."""
+    a = np.abs(z)
+    t = 1 / (1 + a / 2)
+    fit = np.zeros_like(t)
+    for c in (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368):
+        fit = fit * t + c
+    out = t * np.exp(-a * a - 1.26551223 + t * fit)
+    return np.where(z < 0, 2 - out, out)
+
+
+def batteries(x: np.ndarray) -> dict[int, np.ndarray]:
+    """battery() of each row of letter ranks, spread over each size of alphabet."""
+    m, n = x.shape
+    letters = np.bincount((np.arange(m)[:, None] * 26 + x).ravel(), minlength=26 * m).reshape(m, 26).astype(np.float64)
+    high = x >= 13
+    a = high.sum(1).astype(float)
+    b = n - a
+    both = 2 * a * b / n
+    runs = 1 + (high[:, 1:] != high[:, :-1]).sum(1)
+    var = np.maximum(1e-9, both * (both - 1) / (n - 1))
+    p_runs = np.where((a > 0) & (b > 0), np.maximum(1e-300, _erfc(np.abs(runs - 1 - both) / np.sqrt(2 * var))), 2.0 ** (1 - n))
+    out = {}
+    for size in SIZES:
+        spread = np.arange(26) * size // 26
+        counts = letters if size >= 26 else letters @ np.eye(size)[spread]
+        mean, var = size - 1, 2 * (size - 1) * (n - 1) / n
+        chi, free = ((counts * counts).sum(1) - n * n / size) * size / n * 2 * mean / var, 2 * mean * mean / var
+        cube = ((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
+        p_chi = np.maximum(1e-300, 0.5 * _erfc(cube / math.sqrt(2)))
+        # Sums of whole numbers under 2**24: exact in single precision.
+        v = spread.astype(np.float32)[x]
+        s1 = v.sum(1, dtype=np.float64)
+        mid = s1 / n
+        total = np.einsum("ij,ij->i", v, v) - s1 * mid
+        lag = np.einsum("ij,ij->i", v[:, 1:], v[:, :-1]) - mid * (2 * s1 - v[:, 0] - v[:, -1]) + (n - 1) * mid * mid
+        some = total > 1e-6
+        p_serial = np.where(some, np.maximum(1e-300, _erfc(np.abs(lag / np.where(some, total, 1) + 1 / n) * math.sqrt(n / 2))), 1e-300)
+        out[size] = -2 * (np.log(p_chi) + np.log(p_runs) + np.log(p_serial))
+    return out
+
+
+def ordinary(docs: DataFrame) -> DataFrame:
+    """(size, len, bin, m): ordinary stretches of all lengths over each distinct text, counted within tasks first."""
+    keyed = docs.where(F.length("text") > 0).select("text", F.xxhash64("text").alias("h"))
+    again = stored(keyed.groupBy("h").count().where("count > 1").select("h"), "secret-repeated")
+    again = F.broadcast(again) if again.count() <= MAX_BROADCAST_HASHES else again
+    texts = keyed.join(again, "h", "left_anti").select("text").unionAll(keyed.join(again, "h", "left_semi").select("text").dropDuplicates(["text"]))
+
+    def run(batches):
+        total = np.zeros((len(SIZES), len(LENGTHS), _TOP + 1), np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS_AT_ONCE):
+                held = [_letters(t) for t in b.column(0).slice(at, ROWS_AT_ONCE).cast(pa.binary()).to_pylist()]
+                for k, least in enumerate(LENGTHS):
+                    for more in range(4):
+                        n = least + more
+                        # Whole stretches, and one that ends with the text.
+                        parts = [y for x in held if len(x) >= n and len(x) % 4 == more for y in (x[: len(x) // n * n], x[len(x) - n :] if len(x) % n else x[:0])]
+                        rows = np.concatenate(parts).reshape(-1, n) if parts else ()
+                        for z in range(0, len(rows), 1 << 14):
+                            for j, stat in enumerate(batteries(rows[z : z + (1 << 14)]).values()):
+                                total[j, k] += np.bincount(np.minimum(_TOP, (stat * _STEP).astype(np.int64)), minlength=_TOP + 1)
+        j, k, bins = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(SIZES)[j], pa.int32()), pa.array(k, pa.int32()), pa.array(bins, pa.int32()), pa.array(total[j, k, bins])], names=["size", "len", "bin", "m"])
+
+    return texts.mapInArrow(run, "size int, len int, bin int, m long").groupBy("size", "len", "bin").agg(F.sum("m").alias("m"))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """(doc_id, base array, candidates array): one row for each row of docs."""
 
     def run(chunks):
         for chunk in chunks:
@@ -132,28 +202,21 @@ def scan(docs: DataFrame) -> DataFrame:
                         idx = _INDEX[e]
                         x = np.fromiter((idx[c] for c in m[0]), np.int64, len(m[0]))
                         found.append({"start": m.start(), "end": m.end(), "enc": ENCODINGS.index(e), "size": len(idx), "len": length_class(len(x)), "bin": _bin(battery(x, len(idx)))})
-                plain = []
-                if len(raw) > 64:
-                    mix = xxhash.xxh64_intdigest(raw)
-                    k = mix % len(LENGTHS)
-                    x = _letters(raw, (mix >> 16) % len(raw), LENGTHS[k] + (mix >> 40) % 4)
-                    if x is not None:
-                        plain = [{"size": n, "len": k, "bin": _bin(battery(x * n // 26, n))} for n in SIZES]
-                yield doc_id, [{"start": a, "end": b, "kind": k} for a, b, k in base_spans(text, raw)], found, plain
+                yield doc_id, [{"start": a, "end": b, "kind": k} for a, b, k in base_spans(text, raw)], found
 
     span = "struct<start:int,end:int,kind:int>"
     cand = "struct<start:int,end:int,enc:int,size:int,len:int,bin:int>"
-    return map_rows(docs, ["doc_id", "text"], f"doc_id long, base array<{span}>, candidates array<{cand}>, plain array<struct<size:int,len:int,bin:int>>", run)
+    return map_rows(docs, ["doc_id", "text"], f"doc_id long, base array<{span}>, candidates array<{cand}>", run)
 
 
-def limits(scanned: DataFrame, fdr: float = FDR) -> dict[tuple[int, int], int]:
+def limits(scanned: DataFrame, plain: DataFrame, fdr: float = FDR) -> dict[tuple[int, int], int]:
     """The highest bin that is a discovery, for each size of alphabet and length class.
 
     Counts by (size, length class, bin) come from all documents; that table is
     bounded by its keys.
     """
-    count = lambda c, n, m: scanned.select(F.explode(c).alias("c")).select("c.size", "c.len", "c.bin", F.lit(n).alias("n"), F.lit(m).alias("m"))
-    rows = count("candidates", 1, 0).unionAll(count("plain", 0, 1)).groupBy("size", "len", "bin").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect()
+    found = scanned.select(F.explode("candidates").alias("c")).groupBy("c.size", "c.len", "c.bin").agg(F.count("*").alias("n"))
+    rows = found.join(plain, ["size", "len", "bin"], "full").na.fill(0, ["n", "m"]).collect()
     out = {}
     for key in {(r["size"], r["len"]) for r in rows}:
         n, m = np.zeros(_TOP + 1, np.int64), np.zeros(_TOP + 1, np.int64)
@@ -172,7 +235,7 @@ def limits(scanned: DataFrame, fdr: float = FDR) -> dict[tuple[int, int], int]:
 def find(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """doc_id, base spans and found spans (start, end, enc), one row for each row of docs."""
     scanned = stored(scan(docs), "secret-scan")
-    most = limits(scanned, fdr)
+    most = limits(scanned, ordinary(docs), fdr)
     keys = F.create_map(*[F.lit(x) for (n, k), v in sorted(most.items()) for x in (n * 100 + k, v)]) if most else F.lit(None).cast("map<int,int>")
     hits = F.filter("candidates", lambda c: F.coalesce(c["bin"] <= F.try_element_at(keys, c["size"] * 100 + c["len"]), F.lit(False)))
     return scanned.select("doc_id", "base", F.transform(hits, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["enc"].alias("enc"))).alias("found"))

@@ -56,3 +56,26 @@ def test_quality_model_is_sharded_kneser_ney_of_code_points(spark, monkeypatch):
     labels = spark.createDataFrame([(i, 1) for i in range(len(train))], "doc_id long, quality int")
     out = quality_lm.digest(df.withColumn("lang", F.lit("x")), labels).collect()
     assert len(out) == len(rows) and any(r.kept for r in out) and not next(r for r in out if r.doc_id == len(rows) - 1).kept
+
+
+def test_secret_null_covers_whole_texts_and_copies_count_once(spark):
+    rng = np.random.default_rng(3)
+    x = rng.choice(26, (200, 24), p=np.arange(1, 27) / 351)
+    for size, stats in secrets.batteries(x).items():
+        assert np.allclose(stats, [secrets.battery(r * size // 26, size) for r in x], rtol=1e-5, atol=1e-5)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(3000)]
+    plain = [" ".join(rng.choice(words, 400)) for _ in range(30)]
+    key = "".join(rng.choice(list("0123456789ABCDEF"), 40))
+    rows = [(i, t + (f" {key} " if i < 6 else "")) for i, t in enumerate(plain)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    count = lambda d: sorted(map(tuple, secrets.ordinary(d).where("len = 0").groupBy("size").agg(F.sum("m")).collect()))
+    once = count(df)
+    letters = sum(len(secrets._letters(t.encode())) for _, t in rows)
+    assert all(letters / 20 < n < letters / 16 + len(rows) for _, n in once)
+    copied = df.unionAll(df.where("doc_id = 9").withColumn("doc_id", F.explode(F.sequence(F.lit(100), F.lit(140)))))
+    a, b = (secrets.ordinary(d).groupBy("size", "len").agg(F.sum("m").alias("m")).collect() for d in (df, copied))
+    total = lambda rows: sum(r.m for r in rows)
+    assert total(a) == total(b)
+    # A small table finds its secrets.
+    found = {r.doc_id for r in secrets.digest(df).where("spans like '%random-%'").collect()}
+    assert found == set(range(6))
