@@ -1,7 +1,8 @@
 """Secret scans: fixed base patterns, and a randomness battery under false-discovery control.
 
-Every stretch of 16 or more key characters that mixes character classes is a candidate.
-Its encoding (hex, base32, base36, base64) is inferred and three tests for uniform
+Every stretch of 16 or more key characters is a candidate, and so is each of its parts
+between "-", "_" and "/" that is as long. Its encoding (hex, base32, base36, base64, one
+class of characters, or words with separators) is inferred and three tests for uniform
 random symbols are made: chi-squared of the alphabet, runs above and below the
 alphabet's middle, and serial correlation at lag one. Fisher's method combines them
 into one statistic; low means random.
@@ -37,6 +38,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _HINTS = (b"passw", b"secret", b"token", b"key")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+_PART = re.compile(r"[A-Za-z0-9+]{16,}")
 KINDS = ("assign", "access", "hex")
 #: Share of false discoveries allowed in a class, and the lower ends of the length classes.
 FDR, LENGTHS = 0.05, (16, 20, 24, 32, 48, 96)
@@ -44,8 +46,11 @@ _ALPHABETS = {
     "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": string.ascii_uppercase + "234567",
     "base36": string.digits + string.ascii_lowercase, "BASE36": string.digits + string.ascii_uppercase,
     "base64": string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/", "base64url": string.ascii_uppercase + string.ascii_lowercase + string.digits + "-_",
+    "lower": string.ascii_lowercase, "upper": string.ascii_uppercase, "digits": string.digits, "separated": string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/-_",
 }
 ENCODINGS = tuple(_ALPHABETS)
+#: Encodings that mix classes; the others have a null of their own size.
+_MIXED = ENCODINGS[:7]
 _INDEX = {k: {c: i for i, c in enumerate(v)} for k, v in _ALPHABETS.items()}
 SIZES = tuple(sorted({len(v) for v in _ALPHABETS.values()}))
 _STEP, _TOP = 20, 2000
@@ -68,7 +73,22 @@ def encoding_of(token: str) -> str | None:
     upper, lower, digit = (bool(chars.intersection(x)) for x in (string.ascii_uppercase, string.ascii_lowercase, string.digits))
     if upper + lower + digit < 2 or chars & {"-", "_"} and not (upper and lower and digit):
         return None
-    return next((k for k in ENCODINGS if chars <= _INDEX[k].keys()), None)
+    return next((k for k in _MIXED if chars <= _INDEX[k].keys()), None)
+
+
+def alphabet_of(token: str) -> str:
+    """encoding_of(), or the alphabet of one character class or of separated words."""
+    chars = set(token)
+    return encoding_of(token) or next((k for k in ("digits", "lower", "upper") if chars <= _INDEX[k].keys()), "separated")
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of runs of key characters, and of their parts between separators."""
+    out = []
+    for m in _CANDIDATE.finditer(text):
+        out.append(m.span())
+        out += [p for p in ((m.start() + q.start(), m.start() + q.end()) for q in _PART.finditer(m[0])) if p != m.span()]
+    return out
 
 
 def _normal_tail(z: float) -> float:
@@ -196,12 +216,11 @@ def scan(docs: DataFrame) -> DataFrame:
                 raw = raw or b""
                 text = raw.decode()
                 found = []
-                for m in _CANDIDATE.finditer(text):
-                    e = encoding_of(m[0])
-                    if e:
-                        idx = _INDEX[e]
-                        x = np.fromiter((idx[c] for c in m[0]), np.int64, len(m[0]))
-                        found.append({"start": m.start(), "end": m.end(), "enc": ENCODINGS.index(e), "size": len(idx), "len": length_class(len(x)), "bin": _bin(battery(x, len(idx)))})
+                for start, end in candidates(text):
+                    e = alphabet_of(token := text[start:end])
+                    idx = _INDEX[e]
+                    x = np.fromiter((idx[c] for c in token), np.int64, len(token))
+                    found.append({"start": start, "end": end, "enc": ENCODINGS.index(e), "size": len(idx), "len": length_class(len(x)), "bin": _bin(battery(x, len(idx)))})
                 yield doc_id, [{"start": a, "end": b, "kind": k} for a, b, k in base_spans(text, raw)], found
 
     span = "struct<start:int,end:int,kind:int>"

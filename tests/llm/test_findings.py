@@ -79,3 +79,18 @@ def test_secret_null_covers_whole_texts_and_copies_count_once(spark):
     # A small table finds its secrets.
     found = {r.doc_id for r in secrets.digest(df).where("spans like '%random-%'").collect()}
     assert found == set(range(6))
+
+
+def test_secrets_of_one_class_and_between_separators_reach_the_battery(spark):
+    rng = np.random.default_rng(4)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    lower, digit = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    words = [draw("etaoinshrdlu", rng.integers(2, 9)) for _ in range(3000)]
+    makers = [lambda: "key-" + draw(lower + digit, 32), lambda: "hf_" + draw(lower + digit, 40), lambda: draw(digit, 40), lambda: "state/" + draw(lower + digit, 36) + "/of-the-art"]
+    rows = []
+    for i in range(120):
+        body = " ".join(rng.choice(words, 300))
+        rows.append((i, body + " " + (makers[i % 4]() if i < 40 else "state-of-the-art-and-so-on") + " end"))
+    found = {r.doc_id for r in secrets.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).where("spans like '%random-%'").collect()}
+    assert all(len(found & set(range(k, 40, 4))) >= 5 for k in range(4)) and len(found - set(range(40))) <= 2, found
+    assert [secrets.alphabet_of(x) for x in ("onlyletters", "ab-cd", "1234", "ABcd12+/-")] == ["lower", "separated", "digits", "separated"]
