@@ -6,8 +6,9 @@ written by rule, with their article marked). One linear scan finds the contiguou
 region of the largest sum; a boilerplate element inside it is one step of the scan and
 none of the text. Blocks of the region are joined in page order.
 
-Boilerplate is an element by name (nav, aside, form, ...) or by a class, id or role that
-says so. A header or footer inside an article counts as boilerplate like any other.
+Boilerplate is an element by name (nav, aside, form, ...) or by a whole word of its class,
+id or role that says so, unless it wraps an article, main or h1 or, on pages without these, half of the
+words that stand outside elements named as boilerplate. A header or footer inside an article counts as boilerplate like any other.
 
 Defined cases: null or empty html, and pages without words outside boilerplate, give the
 empty text. Unclosed, truncated and overlapping tags are read as far as they go; an
@@ -34,7 +35,7 @@ RAW = ("script", "style", "textarea", "noscript", "iframe", "template", "xmp")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements closed by the start of another block.
-_SELF_CLOSING = {"p": None, "li": "li", "dt": "dd", "dd": "dt", "option": "option", "tr": "tr", "td": "td", "th": "th"}
+_SELF_CLOSING = {"li": ("li",), "dt": ("dd", "dt"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
 _WORDS_OF_BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related replies reply share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
@@ -44,20 +45,66 @@ _SPACE = re.compile(r"\s+")
 _QUOTED_END = re.compile(r"""(?:[^"'>]|"[^"]*"|'[^']*')*+>""")
 
 
-def is_boilerplate(name: str, attributes: str) -> bool:
-    if name in BOILERPLATE:
-        return True
+def named_boilerplate(name: str, attributes: str) -> bool:
+    """Whether a whole word of the class, id or role is one of boilerplate; whether it wraps the article isn't asked."""
     if name in ("html", "body", "article", "main") or not attributes:
         return False
-    return any(not _WORDS_OF_BOILERPLATE.isdisjoint(re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())) for m in _ATTRIBUTE.finditer(attributes))
+    # Every word of a token must be one: "cookie-notice" is boilerplate, "has-sidebar" isn't.
+    return any(_WORDS_OF_BOILERPLATE.issuperset(re.findall("[a-z]+", t)) and re.search("[a-z]", t) for m in _ATTRIBUTE.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").lower().split())
+
+
+def _implied_end(stack: list[str], name: str) -> int | None:
+    """Where the stack is cut by the start of an element whose predecessor needs no end tag."""
+    ends = _SELF_CLOSING.get(name)
+    if ends is None and name in INLINE:
+        return None
+    for at in range(len(stack) - 1, -1, -1):
+        top = stack[at]
+        if top in (ends or ("p",)):
+            return at
+        if name in ("tr", "td", "th"):
+            over = top != "table" and (top != "tr" or name == "tr")
+        else:
+            over = top in INLINE or bool(ends) and top in ("p", "div", "address")
+        if not over:
+            break
+    return len(stack) - 1 if stack and stack[-1] == "p" and ends else None
 
 
 def steps(page: str) -> list[tuple[str, str]]:
     """The page as (kind, text): kind "text", "link" or "<name"; boilerplate is one "boilerplate"."""
+    # First all elements that only their attributes call boilerplate are read as text, to see what they wrap.
+    spans: list[list[int]] = []
+    out = _steps(page, frozenset(), spans)
+    if not spans:
+        return out
+    words = [0]
+    for kind, s in out:
+        words.append(words[-1] + (len(s.split()) if kind in ("text", "link") else 0))
+    marks = [0]
+    for kind, _ in out:
+        marks.append(marks[-1] + (kind in ("<article", "<main", "<h1")))
+    small = frozenset(at for at, a, b in spans if marks[b] == marks[a] and (marks[-1] or 2 * (words[b] - words[a]) < max(1, words[-1])))
+    return _steps(page, small, None) if small else out
+
+
+def _steps(page: str, dropped: frozenset[int], spans: list[list[int]] | None) -> list[tuple[str, str]]:
+    """steps() where the elements that start at dropped are boilerplate; spans gets [place, first step, last + 1] of named ones."""
     out: list[tuple[str, str]] = []
+    open_spans: list[tuple[int, list[int]]] = []
     stack: list[str] = []
     dead = 0  # depth of the stack at which boilerplate began, plus one
     links = 0
+
+    def left() -> None:
+        """After the stack became shorter: what ended with it."""
+        nonlocal dead
+        if dead and len(stack) < dead:
+            dead = 0
+            out.append(("boilerplate", ""))
+        while open_spans and len(stack) < open_spans[-1][0]:
+            open_spans.pop()[1][2] = len(out)
+
     pos, n = 0, len(page)
     while pos < n:
         lt = page.find("<", pos)
@@ -93,9 +140,7 @@ def steps(page: str) -> list[tuple[str, str]]:
                     links -= top == "a"
                     if top == name:
                         break
-                if dead and len(stack) < dead:
-                    dead = 0
-                    out.append(("boilerplate", ""))
+                left()
             if not dead:
                 out.append(("</" + name, ""))
             continue
@@ -105,22 +150,23 @@ def steps(page: str) -> list[tuple[str, str]]:
             if not dead:
                 out.append(("boilerplate", ""))
             continue
-        ends = _SELF_CLOSING.get(name, "" if name in INLINE else "p")
-        if name == "p" or ends == "p":
-            ends = "p"
-        if ends and ends in stack[-3:] and not dead:
-            while stack:
-                top = stack.pop()
-                links -= top == "a"
-                if top == ends:
-                    break
+        at = _implied_end(stack, name)
+        if at is not None:
+            links -= stack[at:].count("a")
+            del stack[at:]
+            left()
         if not dead:
             out.append(("<" + name, ""))
         if name not in VOID and not attributes.endswith("/"):
             stack.append(name)
             links += name == "a"
-            if not dead and is_boilerplate(name, attributes):
+            if not dead and (name in BOILERPLATE or lt in dropped):
                 dead = len(stack)
+            elif not dead and spans is not None and named_boilerplate(name, attributes):
+                spans.append([lt, len(out) - 1, 0])
+                open_spans.append((len(stack), spans[-1]))
+    for _, span in open_spans:
+        span[2] = len(out)
     return out
 
 

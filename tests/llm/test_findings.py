@@ -94,3 +94,16 @@ def test_secrets_of_one_class_and_between_separators_reach_the_battery(spark):
     found = {r.doc_id for r in secrets.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).where("spans like '%random-%'").collect()}
     assert all(len(found & set(range(k, 40, 4))) >= 5 for k in range(4)) and len(found - set(range(40))) <= 2, found
     assert [secrets.alphabet_of(x) for x in ("onlyletters", "ab-cd", "1234", "ABcd12+/-")] == ["lower", "separated", "digits", "separated"]
+
+
+def test_html_wrappers_and_unclosed_boilerplate():
+    w = html_text.learn_weights()
+    text = "<h1>Head line</h1><p>" + "many words of the article " * 12 + "</p>"
+    want = "Head line\n" + ("many words of the article " * 12).strip()
+    for tag in ("div class='content has-sidebar'", "div id='page' class='site menu-open'", "section class='post social'", "div class='social'"):
+        assert html_text.main_text(f"<body><nav>a b</nav><{tag}>{text}</{tag.split()[0]}></body>", w) == want
+    body = "Main text of this page goes on and on"
+    assert html_text.main_text(f"<div><p class='ad'>Buy<p>{body}</div>", w) == body
+    assert html_text.main_text(f"<table><tr><td class=sidebar>Buy<td>{body}</table>", w) == body
+    assert "Buy" not in html_text.main_text(f"<ul><li class=menu>Buy<ul><li>Buy more</ul><li>{body}</ul>", w)
+    assert html_text.main_text(f"<body><div class='ad'>Buy this</div><p>{body}</p></body>", w) == body
