@@ -1,12 +1,13 @@
 """Packing into sequences of 2048 tokens: first-fit decreasing in randomised groups.
 
-A document's ids (and the end id) are cut every 2048; full pieces are sequences of
-their own, the remainders are packed. Documents are dealt to groups by a hash, each
-group is packed on its own by first-fit decreasing, where a tournament tree over the
-capacities of the bins finds the first bin that fits in O(log bins). Groups are dealt
-by a hash, so they are even and any lost one is recomputed alike.
+A document's ids (and the end id) are cut every 2048. Each piece is dealt to a group by a
+hash of its content and its place in the input, so neither the pieces of a long document
+nor rows that repeat meet in one group. Each group is packed on its own by first-fit
+decreasing, where a tournament tree over the capacities of the bins finds the first bin
+that fits in O(log bins).
 
-Only piece descriptions are shuffled, never ids; ``sequences`` builds the padded ids.
+Pieces travel as descriptions, never as ids, and are written before they are dealt: a
+task that is run again can't deal them otherwise. ``sequences`` builds the padded ids.
 
 Defined cases: null or empty text is the end id alone; a null doc_id is packed like any
 other; repeated rows are packed each; an empty table gives no rows.
@@ -15,32 +16,22 @@ other; repeated rows are packed each; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
-import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, stored
 
 LENGTH, END_ID = 2048, 1
-#: Documents in a group, about. A group is one task's work and its bins are in memory.
-GROUP_DOCS = 8192
-#: Distinct space-separated stretches whose ids a worker keeps.
-CACHE = 400_000
-#: A white-space run with a space inside or at the end: the split at spaces isn't one of the tokenizer's then.
-_INNER_SPACE = re.compile(r"\s (?:\s|$)")
+#: Pieces in a group, about. A group is one task's work and its bins are in memory.
+GROUP_PIECES = 16_384
 
 
 class Encoder:
-    """Ids of public_tokenizers' byte_bpe_50k by tiktoken, which has the same vocabulary.
-
-    The tokenizer never joins across a space that stands between two other characters,
-    so ids are looked up by space-separated stretch; other texts are encoded whole.
-    """
+    """Ids of public_tokenizers' byte_bpe_50k by tiktoken, which has the same vocabulary."""
 
     def __init__(self, name: str = "byte_bpe_50k") -> None:
         import public_tokenizers
@@ -50,25 +41,9 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         special = {"<|endoftext|>": len(ranks)}
         self.tiktoken = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        encode = self.tiktoken.encode
-
-        class Known(dict):
-            def __missing__(self, chunk: str) -> list[int]:
-                if len(self) >= CACHE:
-                    self.clear()
-                got = encode(" " + chunk, allowed_special="all")
-                if len(chunk) < 64:
-                    self[chunk] = got
-                return got
-
-        self.known = Known()
 
     def ids(self, text: str) -> np.ndarray:
-        if _INNER_SPACE.search(text):
-            return np.array(self.tiktoken.encode(text, allowed_special="all"), np.uint32)
-        first, *rest = text.split(" ")
-        known = self.known
-        return np.fromiter(chain(self.tiktoken.encode(first, allowed_special="all"), chain.from_iterable(known[x] for x in rest)), np.uint32)
+        return self.tiktoken.encode_to_numpy(text, allowed_special="all")
 
 
 _encoders: dict[str, Encoder] = {}
@@ -82,19 +57,19 @@ def encoder(name: str) -> Encoder:
 
 
 def cut(docs: DataFrame, name: str = "byte_bpe_50k", length: int = LENGTH) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, salt): pieces of every document."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, place): pieces of every document; place counts the pieces of a task."""
 
     def run(chunks):
-        enc = encoder(name)
+        enc, place = encoder(name), 0
         for chunk in chunks:
             for doc_id, text in chunk:
                 ids = np.append(enc.ids((text or b"").decode()), np.uint32(END_ID)).astype("<u4")
-                salt = zlib.crc32(ids.tobytes())
                 for k in range(0, len(ids), length):
                     piece = ids[k : k + length]
-                    yield doc_id, k, len(piece), zlib.crc32(piece.tobytes()), len(ids), salt
+                    yield doc_id, k, len(piece), zlib.crc32(piece.tobytes()), len(ids), place
+                    place += 1
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long", run)
+    return map_rows(docs, ["doc_id", "text"], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long", run)
 
 
 class Bins:
@@ -132,16 +107,16 @@ def first_fit_decreasing(lengths: np.ndarray, length: int = LENGTH) -> tuple[np.
     return bins, offsets
 
 
-def pack(docs: DataFrame, name: str = "byte_bpe_50k", length: int = LENGTH, group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(docs: DataFrame, name: str = "byte_bpe_50k", length: int = LENGTH, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Pieces with sequence_id and offset. The group is the upper part of sequence_id."""
-    groups = max(1, round(docs.count() / group_docs))
-    pieces = cut(docs, name, length)
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "salt"), F.lit(groups)))
+    pieces = stored(cut(docs, name, length), "packing-pieces")
+    groups = max(1, round(pieces.count() / group_pieces))
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "place"), F.lit(groups)))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", na_position="first")
         bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(np.int64), length)
-        return pdf.drop(columns=["grp", "salt"]).assign(sequence_id=(np.int64(key[0]) << 32) + bins, offset=offsets)
+        return pdf.drop(columns=["grp", "place"]).assign(sequence_id=(np.int64(key[0]) << 32) + bins, offset=offsets)
 
     columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return dealt.groupBy("grp").applyInPandas(one, columns)
