@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -114,7 +115,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                         grams, at = _wide(own[0])
                         yield from rows(_bytes(grams), np.bincount(at.ravel(), minlength=len(grams)) * int(train[g[0]]))
                         continue
-                keys, at = np.unique(letters.keys(own), return_inverse=True)
+                at, keys = pd.factorize(letters.keys(own))
                 parts.append((keys, np.bincount(at, np.repeat([float(train[i]) for i in g], [len(x) for x in own]), len(keys))))
                 held += len(keys)
                 if held > _HELD:
@@ -209,7 +210,7 @@ def _chunks(t: pa.Table) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
 def _distinct(t: pa.Table, letters: Letters) -> np.ndarray:
     parts, held = [], 0
     for _, units in _chunks(t):
-        parts.append(np.unique(letters.keys(units)))
+        parts.append(pd.unique(letters.keys(units)))
         held += len(parts[-1])
         if held > _HELD:
             parts = [np.unique(np.concatenate(parts))]
@@ -235,14 +236,14 @@ def scores(docs: DataFrame, shards: DataFrame, columns: tuple[str, ...] = ("doc_
         out = []
         for raw in left.column("rows").to_pylist():
             t, letters = _read(raw)
-            keys = _distinct(t, letters) if letters else None
+            keys = pd.Index(_distinct(t, letters)) if letters else None
             n = len(keys) if letters else len(_wide(_units(t.to_batches()[0].column(len(columns)))[0])[0])
             p = np.full(n, np.nan)
             p[right.column("at").to_numpy()] = np.log(right.column("p").to_numpy())
             if np.isnan(p).any():
                 raise ValueError("n-grams of a piece are missing from the shards")
             for b, units in _chunks(t):
-                each = p[np.searchsorted(keys, letters.keys(units)) if letters else _wide(units[0])[1].ravel()]
+                each = p[keys.get_indexer(letters.keys(units)) if letters else _wide(units[0])[1].ravel()]
                 size = np.array([len(u) for u in units])
                 log_sum = np.bincount(np.repeat(np.arange(len(units)), size), each, len(units))
                 out.append(pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(size.astype(np.int64)), pa.array(log_sum)], names=[*columns, "n_units", "log_sum"]))
