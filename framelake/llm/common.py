@@ -32,19 +32,60 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where none is set."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    A local master shares the driver's disk, so a temporary folder will do where none is set;
+    on a cluster a missing setting is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="framelake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Folders written by stored() and not deleted yet.
+_STORED: set[str] = set()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    _STORED.add(path)
+    return out
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that stored() wrote; without paths all of them, once results are written."""
+    for path in paths or tuple(_STORED):
+        if path in _STORED:
+            _STORED.discard(path)
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def beside(docs: DataFrame, added: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(docs), where columns of docs named like those it adds are out of its way.
+
+    They come back under their own names; the added ones that clash get leading underscores.
+    """
+    taken = {c.lower() for c in docs.columns}
+    moved = {c: f"_own_{i}_{c}" for i, c in enumerate(docs.columns) if c.lower() in added}
+    if not moved:
+        return work(docs)
+    out = work(docs.withColumnsRenamed(moved))
+    back = [F.col(moved.get(c, c)).alias(c) for c in docs.columns]
+    for c in out.columns[len(docs.columns) :]:
+        name = c
+        while name.lower() in taken:
+            name = "_" + name
+        back.append(F.col(c).alias(name))
+    return out.select(*back)
 
 
 def map_rows(

@@ -2,29 +2,36 @@
 
 Patterns are windows of 13 item words; an item of fewer words is one window of its own
 length. For each window length, blocks of two words have a shift: how far the search
-may jump without passing an occurrence. Blocks of shift 0 end a window; their bucket
-holds the windows with that suffix and direct comparison confirms.
+may jump without passing an occurrence. Shifts lie in a table of bytes indexed by a hash
+of the block, where the least of those that meet stands; a block of shift 0 may end a
+window, whose bucket is picked by a hash of its words, and direct comparison confirms.
 
 Items are taken in blocks of at most ``BLOCK_BYTES`` of text; every block is searched
-over all documents and the hits of the blocks are united, so the broadcast tables stay
-bounded however many items there are.
+over all documents and the hits of the blocks are united. A block's tables are arrays
+of about 25 bytes a word and the text itself, so what is broadcast stays bounded
+however many items there are.
 
 Defined cases: null or wordless texts have no words and are never contaminated;
 wordless items have no windows; repeated item_ids count once; repeated documents are
-all returned; a null item_id is named by the empty string.
+all returned; a null item_id is named by the empty string; columns of docs that are
+named like those added stay as they are and the added ones get a leading underscore.
 """
 
 from __future__ import annotations
 
+import zlib
+from bisect import bisect_right
 from collections import defaultdict
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_row, map_rows, sha
+from .common import beside, each_row, map_rows
 
 WINDOW = 13
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 #: A document is contaminated if hit words times this reach its words.
 SHARE = 20
 #: Lower-cased bytes of words; everything else separates.
@@ -39,43 +46,78 @@ class WuManber:
     """Search for windows of words; windows of one length share one shift table."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW) -> None:
-        owners: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
+        by_length: dict[int, list[tuple[str, list[bytes]]]] = defaultdict(list)
         for item, text in items:
-            words = words_of(text)
-            m = min(window, len(words))
-            for i in range(len(words) - m + 1 if m else 0):
-                owners[m][tuple(words[i : i + m])].add(item)
-        self.tables = []
-        for m, windows in sorted(owners.items()):
-            size = min(2, m)
-            shift: dict[bytes, int] = {}
-            bucket: dict[bytes, dict[tuple, set]] = defaultdict(dict)
-            for w, who in windows.items():
-                for end in range(size, m + 1):
-                    block = b" ".join(w[end - size : end])
-                    shift[block] = min(shift.get(block, m), m - end)
-                bucket[b" ".join(w[m - size :])][w] = who
-            self.tables.append((m, size, m - size + 1, shift, dict(bucket)))
+            if words := words_of(text):
+                by_length[min(window, len(words))].append((item, words))
+        self.tables = [_Windows(m, held) for m, held in sorted(by_length.items())]
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Hit stretches [start, end) of words, not united, and the items found."""
-        found, items, n = [], set(), len(words)
-        for m, size, far, shift, bucket in self.tables:
-            i = m
-            while i <= n:
-                block = words[i - 1] if size == 1 else words[i - 2] + b" " + words[i - 1]
-                step = shift.get(block, far)
-                if step:
-                    i += step
-                    continue
-                who = bucket[block].get(tuple(words[i - m : i]))
-                if who:
-                    found.append((i - m, i))
-                    items |= who
-                i += 1
+        found, items = [], set()
+        for t in self.tables:
+            t.find(words, found, items)
         return found, items
 
 
+class _Windows:
+    """The windows of ``m`` words of some items."""
+
+    def __init__(self, m: int, items: list[tuple[str, list[bytes]]]) -> None:
+        self.m, self.size = m, min(2, m)
+        self.items = [item for item, _ in items]
+        lines = [b" ".join(w) for _, w in items]
+        self.text = b" ".join(lines)
+        lengths = np.array([len(w) for _, ws in items for w in ws], np.int64)
+        #: Where each word ends in the text, and each item's first word.
+        self.ends = np.cumsum(lengths + 1) - 1
+        self.starts = self.ends - lengths
+        self.firsts = np.cumsum([0, *(len(w) for _, w in items[:-1])]).tolist()
+        cells = 1 << max(10, (2 * len(lengths)).bit_length())
+        self.mask = cells - 1
+        #: Jumps are at most m - size + 1; a cell holds at most 255.
+        self.far = min(255, m - self.size + 1)
+        shift = np.full(cells, self.far, np.uint8)
+        hashes, places = [], []
+        for first, (_, words), line in zip(self.firsts, items, lines):
+            # The block that ends at word e of an item ends windows from e = m - 1 on.
+            for e in range(self.size - 1, len(words)):
+                cell = zlib.crc32(words[e] if self.size == 1 else words[e - 1] + b" " + words[e]) & self.mask
+                shift[cell] = min(shift[cell], max(0, m - 1 - e))
+            base = int(self.starts[first])
+            begin, end = (self.starts[first : first + len(words)] - base).tolist(), (self.ends[first : first + len(words)] - base).tolist()
+            for i in range(len(words) - m + 1):
+                hashes.append(xxhash.xxh64_intdigest(line[begin[i] : end[i + m - 1]]))
+                places.append(first + i)
+        order = np.argsort(np.array(hashes, np.uint64), kind="stable")
+        self.shift = shift.tobytes()
+        self.hashes, self.places = np.array(hashes, np.uint64)[order], np.array(places, np.int32)[order]
+
+    def find(self, words: list[bytes], found: list[tuple[int, int]], items: set) -> None:
+        m, pair, far, mask, shift, crc = self.m, self.size == 2, self.far, self.mask, self.shift, zlib.crc32
+        i, n = m, len(words)
+        while i <= n:
+            step = shift[crc(words[i - 2] + b" " + words[i - 1] if pair else words[i - 1]) & mask]
+            if step:
+                i += step
+                continue
+            who = self._owners(b" ".join(words[i - m : i]))
+            if who:
+                found.append((i - m, i))
+                items.update(who)
+            i += 1
+
+    def _owners(self, line: bytes) -> set:
+        h = np.uint64(xxhash.xxh64_intdigest(line))
+        k, out = int(self.hashes.searchsorted(h)), set()
+        while k < len(self.hashes) and self.hashes[k] == h:
+            at = int(self.places[k])
+            if self.text[self.starts[at] : self.ends[at + self.m - 1]] == line:
+                out.add(self.items[bisect_right(self.firsts, at) - 1])
+            k += 1
+        return out
+
+
 def united(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(stretches):
@@ -103,6 +145,10 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     One narrow pass for each block of items; a pass adds to what the passes before
     it found in the row.
     """
+    return beside(docs, ("n_words", "hits", "items"), lambda d: _search(d, benchmark, window))
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     from pyspark.sql import types as T
 
     out = docs
@@ -131,11 +177,20 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """docs with n_words, n_hit, items and contaminated added."""
-    found = search(docs, benchmark, window)
-    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"]))
-    out = found.withColumn("n_hit", n_hit).drop("hits")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    """docs with n_words, items, n_hit and contaminated added."""
+
+    def work(d: DataFrame) -> DataFrame:
+        n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"]))
+        out = _search(d, benchmark, window).withColumn("n_hit", n_hit).drop("hits")
+        return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+
+    return beside(docs, ("n_words", "hits", "items", "n_hit", "contaminated"), work)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
+    """The rows of docs that are not contaminated, with the columns of docs."""
+    out = contamination(docs, benchmark, window, share)
+    return out.where(~F.col(out.columns[-1])).select(*docs.columns)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -146,8 +201,6 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["WuManber", "contamination", "digest", "search", "sha", "united", "words_of"]
-
 SQL = r"""
 WITH dw AS (
   SELECT row_number() OVER () AS r, doc_id,

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, ROWS_AT_ONCE, map_rows, sha, stored
+from .common import LOWER, ROWS_AT_ONCE, map_rows, stored
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -277,6 +277,3 @@ def digest(docs: DataFrame) -> DataFrame:
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(spans, ",").alias("spans"),
     )
-
-
-__all__ = ["base_spans", "battery", "digest", "encoding_of", "find", "limits", "scan", "sha"]

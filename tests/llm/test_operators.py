@@ -186,6 +186,24 @@ def test_wu_manber_equals_scanning():
         assert set(found) == want and who == owners
 
 
+def test_decontamination_keeps_clashing_columns(spark):
+    docs_ = spark.createDataFrame([(1, "one two three", 7, "x", True), (2, "four five six", 8, "y", None)], "doc_id long, text string, HITS int, items string, contaminated boolean")
+    items = spark.createDataFrame([(5, "two three")], "item_id long, text string")
+    found = decontaminate.search(docs_, items)
+    assert found.columns == [*docs_.columns, "n_words", "_hits", "_items"]
+    assert {(r.doc_id, r.HITS, r["items"], len(r._hits)) for r in found.collect()} == {(1, 7, "x", 1), (2, 8, "y", 0)}
+    assert [r.asDict() for r in decontaminate.uncontaminated(docs_, items).collect()] == [{"doc_id": 2, "text": "four five six", "HITS": 8, "items": "y", "contaminated": None}]
+
+
+def test_wu_manber_tables_stay_small():
+    rng = np.random.default_rng(0)
+    text = b" ".join(b"%x" % k for k in rng.integers(0, 2**24, 100_000))
+    t = decontaminate.WuManber([("a", text)]).tables[0]
+    held = len(t.text) + len(t.shift) + sum(x.nbytes for x in (t.ends, t.starts, t.hashes, t.places))
+    assert held < 8 * len(text)
+    assert t.find(text.split()[50:70], found := [], who := set()) is None and len(found) == 8 and who == {"a"}
+
+
 def test_toxicity_learns_words_and_keeps_clean_text(spark):
     rng = np.random.default_rng(5)
     vocabulary = ["".join(rng.choice(list("abcdefghi"), 6)) for _ in range(400)]
@@ -326,6 +344,15 @@ def test_sequences_round_trip(docs):
     assert all(len(s) == 2048 or len(s).bit_count() == 1 for s in seq.values())
 
 
+def test_repeated_rows_and_long_documents_spread_over_groups(spark):
+    df = spark.range(30_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same words again").alias("text"))
+    df = df.union(spark.createDataFrame([(8, "word " * 100_000)], "doc_id long, text string"))
+    got = packing.pack(df, group_pieces=1000).withColumn("grp", F.expr("sequence_id >> 32"))
+    sizes = [r["count"] for r in got.groupBy("grp").count().collect()]
+    assert len(sizes) == 30 and max(sizes) < 2000 and sum(sizes) == got.count() > 30_000
+    assert got.where("doc_id = 8").select("grp").distinct().count() > 15
+
+
 def test_encoder_splits_as_the_tokenizer_does():
     import public_tokenizers
     from tokenizers import Tokenizer
