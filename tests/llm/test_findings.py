@@ -92,7 +92,9 @@ def test_secrets_of_one_class_and_between_separators_reach_the_battery(spark):
         body = " ".join(rng.choice(words, 300))
         rows.append((i, body + " " + (makers[i % 4]() if i < 40 else "state-of-the-art-and-so-on") + " end"))
     found = {r.doc_id for r in secrets.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).where("spans like '%random-%'").collect()}
-    assert all(len(found & set(range(k, 40, 4))) >= 5 for k in range(4)) and len(found - set(range(40))) <= 2, found
+    # Forty digits are the least telling: letters spread over ten symbols look nearly as even.
+    least = (9, 9, 3, 9)
+    assert all(len(found & set(range(k, 40, 4))) >= least[k] for k in range(4)) and len(found - set(range(40))) <= 2, found
     assert [secrets.alphabet_of(x) for x in ("onlyletters", "ab-cd", "1234", "ABcd12+/-")] == ["lower", "separated", "digits", "separated"]
 
 

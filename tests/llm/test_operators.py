@@ -418,11 +418,46 @@ def test_html_region_is_the_largest_sum():
     rng = np.random.default_rng(0)
     for _ in range(100):
         w = rng.normal(0, 1, 12)
-        found = [(f"k{i}", "") for i in range(12)]
-        a, b = html_text.region(found, {f"k{i}": v for i, v in enumerate(w)})
+        a, b = html_text.region(w.tolist())
         assert abs(w[a:b].sum() - max([0, *(w[i:j].sum() for i in range(12) for j in range(i + 1, 13))])) < 1e-9
 
 
+def test_html_region_decides(monkeypatch):
+    w = html_text.learn_weights()
+    link = lambda k: f"<li><a href=/{k}>Entry {k}</a></li>"
+    menu = "<div class='x9'><ul>" + "".join(map(link, range(30))) + "</ul></div>"
+    body = "<div class=zz><h1>Head</h1><p>" + "words of the article " * 20 + "</p><p>Last <a href=u>one</a>.</p></div>"
+    page = f"<html><body><div>Some offer that stands alone</div>{menu}{body}{menu}<div>All rights reserved here</div></body></html>"
+    want = "Head\n" + ("words of the article " * 20).strip() + "\nLast one."
+    assert html_text.main_text(page, w) == want
+    monkeypatch.setattr(html_text, "region", lambda s: (0, len(s)))
+    assert html_text.main_text(page, w) != want
+
+
+def test_html_weights_are_learned_from_the_pages_given():
+    teach = [(f"<body><div class=promo>good words number {k}</div><p>other words {k}</p></body>", f"good words number {k}") for k in range(40)]
+    w = html_text.learn_weights(teach)
+    by_name = dict(zip(html_text.FEATURES, w.features))
+    assert by_name["p"] < 0 < w.word and by_name[".ad"] == 0
+    assert html_text.main_text("<body><p>other</p><div class=promo>good</div></body>", w) == "good"
+
+
+def test_html_is_exact_on_most_new_labelled_pages():
+    w = html_text.learn_weights()
+    pages = html_text.labelled_pages(200, seed=5)
+    assert np.mean([html_text.main_text(p, w) == t for p, t in pages]) > 0.9
+
+
+def test_html_is_linear_in_long_pages():
+    import time
+
+    w = html_text.learn_weights()
+    for page in ("<div>" * 100_000 + "x" + "</p>" * 100_000, "<b>" * 100_000 + "x" + "</i>" * 100_000, "<p><table>" + "<b>" * 50_000 + "<li class=ad>x" * 50_000, "<div class=ad>" * 50_000 + "y"):
+        began = time.process_time()
+        html_text.main_text(page, w)
+        assert time.process_time() - began < 2
+
+
 def test_html_pages_of_the_table(spark):
     import html
 
