@@ -50,10 +50,11 @@ def shared_dir(spark: SparkSession) -> str:
 _STORED: set[str] = set()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends there."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written to the shared folder (in folders by a column) and read again: lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    to = df.write.option("compression", "zstd")
+    (to.partitionBy(by) if by else to).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     _STORED.add(path)

@@ -1,10 +1,17 @@
-"""Line dedup that can be undone: exact reference tables behind sharded cuckoo filters.
+"""Line dedup that can be undone: exact reference-count tables behind sharded cuckoo filters.
 
-State is two tables. ``refs`` holds one row per (line key, document); ``counts`` is
-its exact aggregate per key. Each shard of keys that are dropped now has a cuckoo
-filter; filters only say where to look, the count table decides. Inserting documents
-unions their references and deleting documents removes them; filters follow by
-insertion and removal of single keys, so any insertion can be taken back.
+An index is kept in the shared folder as three tables:
+
+* references, a log: each insertion appends its (line key, document) rows, each deletion
+  the ids it takes away; a reference lives unless its document was deleted later;
+* counts, one row a line key with its number of documents and the largest one, in shards
+  by key;
+* a cuckoo filter for each shard, over the keys whose lines are dropped now.
+
+Inserting or deleting documents rewrites only the shards of their keys: counts of those
+keys change, and keys that come to be dropped or stop being so are added to or removed from their
+shard's filter one by one. A filter only says where to look, the counts decide. Every
+change gives a new index and leaves the old one as it was.
 
 A key is a 128-bit hash of the stripped, A-Z-lowered line; only keys of at least
 ``min_chars`` code points count. Keys found in at least ``min_docs`` documents lose
@@ -12,7 +19,8 @@ their lines except in the largest doc_id that holds them.
 
 Defined cases: null text is one empty line. A null doc_id counts towards no document
 and so never keeps a dropped key. Repeated rows of one doc_id count once and are all
-returned. An empty table gives no rows. Other columns pass through untouched.
+returned. An empty table gives no rows. Other columns pass through untouched; where
+one is named like an added column, the added one gets a leading underscore.
 """
 
 from __future__ import annotations
@@ -20,16 +28,22 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, each_row, map_rows, sha, stored
+from .common import LOWER, beside, each_row, map_rows, stored
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Dropped keys (24 bytes each) that may be broadcast; beyond it lines are joined.
 MAX_BROADCAST_KEYS = 1_000_000
-#: Keys in one filter shard, about.
-SHARD_KEYS = 200_000
+#: Keys in a shard, about, and the most shards (they are folders; beyond it shards grow).
+SHARD_KEYS, MAX_SHARDS = 500_000, 4096
+#: Keys that ask one filter in one task, about.
+ASKED_KEYS = 1_000_000
+#: Documents from which on a dropped key is hot; of n references at most n / HOT_DOCS are.
+HOT_DOCS = 100_000
+#: Ids or hot keys that may be broadcast.
+MAX_BROADCAST_ROWS = 4_000_000
 
 
 def key_of(line: bytes, min_chars: int = MIN_CHARS) -> tuple[int, int] | None:
@@ -131,48 +145,127 @@ def references(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return map_rows(docs, ["doc_id", "text"], "h1 long, h2 long, doc_id long", run)
 
 
+def _sized(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """df to be broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def _built(keys: list[int], room: float = 1.5) -> CuckooFilter:
+    f = CuckooFilter(int(len(keys) * room))
+    for k in keys:
+        f.add(k)
+    return f
+
+
+def _update(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """One shard's filter after its changes: left is the old filter, right its keys as (shard, h1, change)."""
+    old = CuckooFilter.from_bytes(left["filter"].iloc[0]) if len(left) else None
+    kept = right["change"].to_numpy() >= 0
+    if old is None or kept.sum() > old.table.size * 0.9:
+        old = _built(right["h1"][kept].tolist())
+    else:
+        for h, by in zip(right["h1"].tolist(), right["change"].tolist()):
+            if by > 0:
+                old.add(h)
+            elif by < 0:
+                old.remove(h)
+    return pd.DataFrame({"shard": [right["shard"].iloc[0]], "filter": [old.to_bytes()], "n_keys": [int(kept.sum())]})
+
+
+_FILTER = "shard int, filter binary, n_keys long"
+
+
 class LineIndex:
-    """An index of line references over stored tables; every change gives a new one."""
+    """References, counts and filters in stored tables; every change gives a new index.
+
+    ``at`` says for each shard in which of ``counts`` and ``filters`` (one table a change)
+    its rows are now; ``log`` lists references added and ids deleted, in order.
+    """
 
-    def __init__(self, refs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> None:
-        self.refs, self.min_chars, self.min_docs = refs, min_chars, min_docs
-        counts = refs.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep_doc"))
-        #: Keys whose lines go now, with the document that keeps its lines.
-        self.dropped = stored(counts.where(F.col("n_docs") >= min_docs).select("h1", "h2", "keep_doc", "n_docs"), "line-counts")
-        self.n_dropped = self.dropped.count()
+    def __init__(self, log: list[tuple[str, DataFrame]], counts: list[DataFrame], filters: list[DataFrame], at: dict[int, int], shards: int, min_chars: int, min_docs: int) -> None:
+        self.log, self._counts, self._filters, self.at, self.shards, self.min_chars, self.min_docs = log, counts, filters, at, shards, min_chars, min_docs
+        #: Shards that the change which made this index rewrote.
+        self.touched = sorted(s for s, k in at.items() if k == len(counts) - 1)
+        self.n_dropped = self.filters.agg(F.sum("n_keys")).first()[0] or 0
 
     @classmethod
     def of(cls, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
-        return cls(stored(references(docs, min_chars).distinct(), "line-refs"), min_chars, min_docs)
+        refs = stored(references(docs, min_chars).distinct(), "line-refs")
+        counts = _counted(refs)
+        shards = min(MAX_SHARDS, max(1, -(-refs.count() // SHARD_KEYS)))
+        counts = _by_shard(counts.withColumn("shard", _shard(shards)))
+        filters = stored(_changes(counts.withColumn("before", F.lit(0)), min_docs).groupBy("shard").applyInPandas(lambda keys: _update(keys[:0], keys), _FILTER), "line-filters")
+        return cls([("add", refs)], [counts], [filters], dict.fromkeys(range(shards), 0), shards, min_chars, min_docs)
+
+    def _current(self, tables: list[DataFrame], only: list[int] | None = None) -> DataFrame:
+        """The rows of shards (of only these), each from the table that has them now; folders of others aren't read."""
+        out, wanted = None, set(self.at if only is None else only)
+        for k, t in enumerate(tables):
+            mine = [s for s, g in self.at.items() if g == k and s in wanted]
+            if mine:
+                part = t if len(mine) == self.shards else t.where(F.col("shard").isin(mine))
+                out = part if out is None else out.unionByName(part)
+        return tables[0].limit(0) if out is None else out
+
+    @property
+    def counts(self) -> DataFrame:
+        return self._current(self._counts)
+
+    @property
+    def filters(self) -> DataFrame:
+        return self._current(self._filters)
+
+    @property
+    def dropped(self) -> DataFrame:
+        """Keys whose lines go now, with the document that keeps its lines."""
+        return self.counts.where(F.col("n_docs") >= self.min_docs)
+
+    @property
+    def refs(self) -> DataFrame:
+        """The living references: those whose document no later deletion took."""
+        out = None
+        for kind, t in self.log:
+            if kind == "add":
+                out = t if out is None else out.unionByName(t)
+            else:
+                out = out.join(_sized(t), "doc_id", "left_anti").select("h1", "h2", "doc_id")
+        return out
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        new = self.refs.unionByName(references(docs, self.min_chars)).distinct()
-        return LineIndex(stored(new, "line-refs"), self.min_chars, self.min_docs)
+        found = references(docs, self.min_chars).distinct()
+        new = stored(found.join(self.refs, ["h1", "h2", "doc_id"], "left_anti"), "line-refs")
+        return self._changed(("add", new), _counted(new).withColumn("by", F.col("n_docs")))
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Without the documents in doc_ids(doc_id): as if they had never come."""
-        left = self.refs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select("h1", "h2", "doc_id")
-        return LineIndex(stored(left, "line-refs"), self.min_chars, self.min_docs)
-
-    def filters(self) -> DataFrame:
-        """(shard, filter, n_keys): a cuckoo filter for each shard of dropped keys."""
-        n = max(1, -(-self.n_dropped // SHARD_KEYS))
-
-        def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            f = CuckooFilter(len(pdf))
-            for h in pdf["h1"].tolist():
-                f.add(h)
-            return pd.DataFrame({"shard": [key[0]], "filter": [f.to_bytes()], "n_keys": [len(pdf)]})
-
-        sharded = self.dropped.select(F.pmod("h2", F.lit(n)).cast("int").alias("shard"), "h1")
-        return sharded.groupBy("shard").applyInPandas(build, "shard int, filter binary, n_keys long")
+        gone = stored(doc_ids.where("doc_id is not null").select("doc_id").distinct(), "line-deleted")
+        lost = stored(self.refs.join(_sized(gone), "doc_id", "left_semi").groupBy("h1", "h2").agg(F.count("*").alias("lost")), "line-lost")
+        left = self.refs.join(_sized(gone), "doc_id", "left_anti").join(_sized(lost), ["h1", "h2"], "left_semi")
+        keep = left.groupBy("h1", "h2").agg(F.max("doc_id").alias("keep_doc"))
+        return self._changed(("delete", gone), lost.join(keep, ["h1", "h2"], "left").select("h1", "h2", "keep_doc", (-F.col("lost")).alias("by")))
+
+    def _changed(self, entry: tuple[str, DataFrame], delta: DataFrame) -> LineIndex:
+        """After delta(h1, h2, by, keep_doc): only its shards are read and written again."""
+        delta = stored(delta.select("h1", "h2", "by", F.col("keep_doc").alias("_keep"), _shard(self.shards).alias("shard")), "line-delta")
+        touched = [r["shard"] for r in delta.select("shard").distinct().collect()]
+        old = self._current(self._counts, touched)
+        both = old.join(delta, ["shard", "h1", "h2"], "full")
+        now = F.coalesce("n_docs", F.lit(0)) + F.coalesce("by", F.lit(0))
+        keep = F.when(F.col("by") < 0, F.col("_keep")).otherwise(F.greatest("keep_doc", "_keep"))
+        both = _by_shard(both.select("h1", "h2", now.alias("n_docs"), keep.alias("keep_doc"), F.coalesce("n_docs", F.lit(0)).alias("before"), "shard"))
+        filters = self._current(self._filters, touched).groupBy("shard").cogroup(_changes(both, self.min_docs).groupBy("shard")).applyInPandas(lambda a, b: _update(a, b) if len(b) else a, _FILTER)
+        at = self.at | dict.fromkeys(touched, len(self._counts))
+        counts = both.where("n_docs > 0").drop("before")
+        return LineIndex([*self.log, entry], [*self._counts, counts], [*self._filters, stored(filters, "line-filters")], at, self.shards, self.min_chars, self.min_docs)
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """docs with ``text`` cut, plus n_lines (before) and n_dropped; all else kept."""
-        keep = [c for c in docs.columns if c != "text"]
-        if self.n_dropped <= MAX_BROADCAST_KEYS:
-            return self._by_broadcast(docs, keep)
-        return self._by_join(docs, keep)
+
+        def work(d: DataFrame) -> DataFrame:
+            keep = [c for c in d.columns if c != "text"]
+            return self._by_broadcast(d, keep) if self.n_dropped <= MAX_BROADCAST_KEYS else self._by_join(d, keep)
+
+        return beside(docs, ("n_lines", "n_dropped", "_gone", "_id"), work)
 
     def _cutter(self, docs: DataFrame, keep: list[str], extra: list[str], test) -> DataFrame:
         """The narrow pass over whole texts; test(doc_id, keys, extra value) marks lines to drop."""
@@ -199,10 +292,10 @@ class LineIndex:
 
     def _by_broadcast(self, docs: DataFrame, keep: list[str]) -> DataFrame:
         sc = docs.sparkSession.sparkContext
-        filters = self.filters().toPandas()
+        filters = self.filters.where("n_keys > 0").toPandas()
         rows = self.dropped.select("h1", "h2", "keep_doc").toPandas()
         rows = rows.sort_values("h1", kind="stable")
-        table = sc.broadcast((dict(zip(filters["shard"].tolist(), filters["filter"].tolist())), max(1, -(-self.n_dropped // SHARD_KEYS)), *(rows[c].to_numpy(np.int64) for c in ("h1", "h2", "keep_doc"))))
+        table = sc.broadcast((dict(zip(filters["shard"].tolist(), filters["filter"].tolist())), self.shards, *(rows[c].to_numpy(np.int64) for c in ("h1", "h2", "keep_doc"))))
         held: dict = {}
 
         def test(doc_id, keys):
@@ -224,27 +317,60 @@ class LineIndex:
 
         return self._cutter(docs, keep, [], test)
 
+    def asked(self, keys: DataFrame, n_keys: int) -> DataFrame:
+        """Those of the distinct keys(h1, h2) that their shard's filter may hold; a group is a slice of a shard's keys beside its filter."""
+        slices = max(1, -(-n_keys // (self.shards * ASKED_KEYS)))
+        part = F.pmod("h1", F.lit(slices)).cast("int").alias("part")
+
+        def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            keys_, filters = left[["h1", "h2"]], right["filter"]
+            return keys_[CuckooFilter.from_bytes(filters.iloc[0]).may_hold(keys_["h1"].to_numpy(np.int64))] if len(keys_) and len(filters) else keys_[:0]
+
+        split = keys.select("h1", "h2", _shard(self.shards).alias("shard"), part)
+        filters = self.filters.where("n_keys > 0").select("shard", "filter", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("part"))
+        return split.groupBy("shard", "part").cogroup(filters.groupBy("shard", "part")).applyInPandas(ask, "h1 long, h2 long")
+
     def _by_join(self, docs: DataFrame, keep: list[str]) -> DataFrame:
-        """Beyond the broadcast bound: references join dropped keys, then documents.
+        """Beyond the broadcast bound: the documents' keys ask the filters, what may be dropped meets the counts, then the documents.
 
-        A null doc_id has no references, so its lines are looked up by themselves.
+        Hot keys join by broadcast (their number is bounded), so no task gets all documents of one.
+        A null doc_id has no references, so its lines are looked up by a hash of its text.
         """
-        lost = self.refs.join(self.dropped.select("h1", "h2", "keep_doc"), ["h1", "h2"]).where("doc_id != keep_doc")
-        per_doc = lost.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("_gone"))
-        nameless = docs.where("doc_id is null")
-        joined = docs.where("doc_id is not null").join(per_doc, "doc_id", "left").select(*docs.columns, "_gone")
-
-        def test(_, keys, gone):
-            return {(x["h1"], x["h2"]) for x in gone or ()}
-
-        out = self._cutter(joined, keep, ["_gone"], test)
-        if nameless.limit(1).count():
-            ids = nameless.select("text").distinct().withColumn("doc_id", F.xxhash64("text"))
-            refs = references(ids, self.min_chars).distinct().withColumnRenamed("doc_id", "_id")
-            per = refs.join(self.dropped, ["h1", "h2"]).groupBy("_id").agg(F.collect_list(F.struct("h1", "h2")).alias("_gone"))
-            more = nameless.withColumn("_id", F.xxhash64("text")).join(per, "_id", "left").select(*docs.columns, "_gone")
-            out = out.unionByName(self._cutter(more, keep, ["_gone"], test))
-        return out
+        rows = docs.withColumn("_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.col("doc_id")))
+
+        def cut(part: DataFrame, nameless: bool) -> DataFrame:
+            ids = part.select(F.col("_id").alias("doc_id"), "text")
+            refs = stored(references(ids, self.min_chars).distinct(), "line-asking")
+            keys = stored(refs.select("h1", "h2").distinct(), "line-keys")
+            lost = stored(self.asked(keys, keys.count()).join(self.dropped.select("h1", "h2", "keep_doc", "n_docs"), ["h1", "h2"]), "line-lost")
+            hot, cold = (_sized(lost.where(f"n_docs >= {HOT_DOCS}")), lost.where(f"n_docs < {HOT_DOCS}"))
+            met = refs.join(hot, ["h1", "h2"]).unionByName(refs.join(cold, ["h1", "h2"]))
+            met = met if nameless else met.where("doc_id != keep_doc")
+            per_doc = met.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("h1", "h2")).alias("_gone"))
+            return self._cutter(part.join(per_doc, "_id", "left").select(*docs.columns, "_gone"), keep, ["_gone"], lambda _, keys_, gone: {(x["h1"], x["h2"]) for x in gone or ()})
+
+        out = cut(rows.where("doc_id is not null"), False)
+        nameless = rows.where("doc_id is null")
+        return out.unionByName(cut(nameless, True)) if nameless.limit(1).count() else out
+
+
+def _shard(shards: int) -> Column:
+    return F.pmod("h2", F.lit(shards)).cast("int")
+
+
+def _counted(refs: DataFrame) -> DataFrame:
+    return refs.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep_doc"))
+
+
+def _by_shard(counts: DataFrame) -> DataFrame:
+    """counts written in a folder for each shard."""
+    return stored(counts.repartition("shard"), "line-counts", by="shard")
+
+
+def _changes(counts: DataFrame, min_docs: int) -> DataFrame:
+    """(shard, h1, change) of the keys that are dropped now (1: newly) or were until now (-1)."""
+    now, before = F.col("n_docs") >= min_docs, F.col("before") >= min_docs
+    return counts.where(now | before).select("shard", "h1", (now.cast("int") - before.cast("int")).alias("change"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -257,8 +383,6 @@ def digest(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-__all__ = ["CuckooFilter", "LineIndex", "dedup_lines", "digest", "references", "sha"]
-
 SQL = """
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

@@ -506,6 +506,45 @@ def test_line_dedup_is_reversible(odd, none):
     assert line_dedup.digest(none).count() == 0
 
 
+def test_line_index_changes_touch_their_shards_only(spark, docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 60)
+    line = "A line that stands in a number of the documents, number {}"
+    some = docs.where("doc_id % 10 != 3").select("doc_id", "text")
+    new = spark.createDataFrame([(10**6 + k, f"{line.format(7)}\n{line.format(8) if k < 4 else ''}") for k in range(6)], "doc_id long, text string")
+    index = line_dedup.LineIndex.of(some)
+    assert index.shards > 8
+    table = lambda x, name: Counter(tuple(r) for r in getattr(x, name).select(*sorted(getattr(x, name).columns)).collect())
+    held = lambda x: {r.shard: line_dedup.CuckooFilter.from_bytes(r.filter) for r in x.filters.collect()}
+    more = index.insert(new)
+    keys = {line_dedup.key_of(line.format(k).encode()) for k in (7, 8)}
+    assert set(more.touched) == {k[1] % index.shards for k in keys} and len(more.touched) < 3
+    assert more.n_dropped == index.n_dropped + 1 and table(more.insert(new), "counts") == table(more, "counts")
+    whole = line_dedup.LineIndex.of(some.unionByName(new))
+    for x, y in ((more, whole), (more.delete(new.select("doc_id")), index)):
+        assert table(x, "refs") == table(y, "refs")
+        want = Counter((r.h1, r.h2, r.keep_doc, r.n_docs) for r in y.counts.collect())
+        assert Counter((r.h1, r.h2, r.keep_doc, r.n_docs) for r in x.counts.collect()) == want and x.n_dropped == y.n_dropped
+        filters = held(x)
+        for r in x.dropped.collect():
+            assert filters[r.h2 % x.shards].may_hold(np.array([r.h1])).all()
+        assert Counter(map(tuple, x.apply(some).collect())) == Counter(map(tuple, y.apply(some).collect()))
+    # Documents that kept a line go: the next largest one keeps it.
+    gone = docs.where("doc_id % 2 = 0")
+    less = line_dedup.LineIndex.of(docs).delete(gone.select("doc_id"))
+    assert Counter(map(tuple, less.dropped.select("h1", "h2", "keep_doc", "n_docs").collect())) == Counter(map(tuple, line_dedup.LineIndex.of(docs.where("doc_id % 2 = 1")).dropped.select("h1", "h2", "keep_doc", "n_docs").collect()))
+
+
+def test_line_dedup_of_a_hot_line_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_DOCS", 50)
+    line = "this very line stands in every document of them"
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit(line + "\n"), F.col("id").cast("string")).alias("text"), F.lit(3).alias("N_Lines"))
+    for most in (10**6, 0):
+        monkeypatch.setattr(line_dedup, "MAX_BROADCAST_KEYS", most)
+        got = line_dedup.dedup_lines(df)
+        assert got.columns == ["doc_id", "text", "N_Lines", "_n_lines", "n_dropped"]
+        assert {(r.doc_id, r.text, r.N_Lines, r._n_lines, r.n_dropped) for r in got.collect()} == {(k, f"{line}\n{k}" if k == 299 else str(k), 3, 2, int(k != 299)) for k in range(300)}
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(0)
     keys, other = rng.integers(-(2**62), 2**62, 5000), rng.integers(-(2**62), 2**62, 20_000)
