@@ -1,20 +1,27 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier.
 
-1. Voters are mined from a bounded sample of labelled training rows: words and word
-   beginnings that mark toxic rows (lexicon voters), and fixed pattern voters.
-2. A generative model (EM over the votes alone) estimates each voter's accuracy and
-   the class share. Voters whose votes stay correlated given the class share their
-   evidence: a voter's log odds are divided by one plus its correlations.
+1. Voters are proposed by document frequency alone: every word and word beginning in the
+   sampled rows that enough of them hold, and fixed pattern voters. Labels of training
+   rows only orient them: a term that doesn't stand out in toxic rows abstains for good.
+   A word of a text votes by the longest term it has.
+2. A generative model (EM over the votes, no labels) estimates each voter's rate of voting
+   in either class, and the class share. From its posterior the correlations of voters
+   given the class are estimated. Voters of nearly the same votes are made one. Voters that
+   vote together more than the class explains (such as the words of one language) form
+   families, and the model is estimated again with a toxic class for each family.
 3. A logistic classifier is trained on the model's posterior labels and scores every
-   whole text with one look-up a word.
+   whole text with one look-up a word. Labels of training rows set its scale and offset.
 
-Only rows whose crc32 of the id modulo 5 is not 0 teach anything; labels, lang, source
-and doc_id are never inputs of a score.
+Rows that teach are a bounded sample (``SAMPLE_ROWS`` of each class, by a hash of the id),
+whose words are written once; near copies among them teach once. Only rows whose crc32 of
+the id modulo 5 is not 0 teach anything; labels, lang, source and doc_id are never inputs
+of a score.
 
 Defined cases: null and empty texts score like a text without words (the class share
 when nothing votes); rows without a label, or with a null label, teach nothing; labels
 that disagree for one doc_id count each; without labels of both classes every score is
-0 and nothing is toxic. Repeated rows are all returned.
+0 and nothing is toxic. Repeated rows are all returned. Columns of docs named like those
+added stay; the added ones get a leading underscore.
 """
 
 from __future__ import annotations
@@ -28,20 +35,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows, stored
+from .common import beside, held_out, map_rows, stored
 
 #: Labelled rows that may teach, of each class, taken in order of a hash of the id.
 SAMPLE_ROWS = 20_000
-#: Lexicon voters kept at most.
-MAX_VOTERS = 400
-#: Toxic rows a term must occur in, the least precision of a term, prefix lengths.
-MIN_ROWS, MIN_PRECISION, PREFIXES = 4, 0.9, range(3, 9)
-#: Most frequent terms of toxic rows looked at, and precise ones among them.
-MAX_CANDIDATES, MAX_PRECISE = 100_000, 5_000
-#: Voters that should cover a toxic row.
-COVER = 3
-#: Accuracy that a lexicon voter is believed to have before its votes are seen, and with as much weight.
-PRIOR = 0.98
+#: Rows that must hold a proposed term, prefix lengths, and the largest share of rows that may.
+MIN_ROWS, PREFIXES, MAX_SHARE = 4, range(3, 9), 0.2
+#: Standard deviations by which toxic rows must exceed their share among those that hold a term.
+ORIENTED = 4.5
+#: Size of the model: the terms that stand out most.
+MAX_VOTERS = 3_000
+#: Correlations given the class from which on two voters are of one family, and one; families that get a class of their own.
+RELATED, CORRELATED, FAMILIES = 0.1, 0.5, 8
 #: A-Z lowered; bytes that are no part of a word become spaces.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Possessive runs from word starts only: a run of any length is tried once.
@@ -50,227 +55,279 @@ _PATTERNS = (
     (re.compile(rb"(?<![A-Z])[A-Z]{4,}+(?:[^A-Za-z]++[A-Z]{3,}+){4}"), "capitals"),
     (re.compile(rb"([#*$%&])\1{2,}"), "symbols"),
 )
-
-
-def _prefixes(word: str) -> set[str]:
-    return {word[:k] + "*" for k in PREFIXES if k <= len(word)} | {word}
+#: Numbers of different voting words that are features of their own.
+_COUNTS = (1, 2, 3)
 
 
 def words_of(text: bytes | None) -> set[bytes]:
     return set((text or b"").translate(WORDS).split())
 
 
-def _terms(text: bytes | None, wanted=None) -> set[str]:
-    """Terms of a text, each once; wanted: only those."""
-    out: set[str] = set()
-    for w in words_of(text):
-        if len(w) < 200:
-            s = w.decode("utf-8", "replace")
-            if wanted is None:
-                out |= _prefixes(s)
-            else:
-                out.update(t for t in (s, *(s[:k] + "*" for k in PREFIXES if k <= len(s))) if t in wanted)
-    return out
+def terms_of(word: bytes) -> list[str]:
+    """The word and its beginnings (ending in *), the longest first."""
+    s = word.decode("utf-8", "replace")
+    return [s, *(s[:k] + "*" for k in reversed(PREFIXES) if k <= len(s))]
 
 
 @dataclass
 class Model:
-    """Weights of the linear classifier over lexicon terms and pattern voters."""
+    """Weights of the linear classifier over lexicon terms, pattern voters and counts of voting words."""
 
     terms: dict[str, int] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = -1e9
-    accuracy: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
+    rates: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
     share: float = 0.0
 
-    def voters(self, known: dict, text: bytes | None) -> list[int]:
+    def features(self, known: dict, words: set[bytes], patterns: list[int]) -> list[int]:
         found: set[int] = set()
-        for w in words_of(text):
-            hit = known.get(w)
-            if hit is None:
+        voting = 0
+        for w in words:
+            hit = known.get(w, -2)
+            if hit == -2:
                 if len(known) > 300_000:
                     known.clear()
-                s = w.decode("utf-8", "replace")
-                hit = known[w] = tuple(self.terms[p] for p in _prefixes(s) if p in self.terms)
-            if hit:
-                found.update(hit)
+                hit = known[w] = next((self.terms[t] for t in terms_of(w) if t in self.terms), -1)
+            if hit >= 0:
+                voting += 1
+                found.add(hit)
         n = len(self.terms)
-        return sorted(found | {n + k for k, (p, _) in enumerate(_PATTERNS) if p.search(text or b"")})
-
-    def features(self, votes: list[int]) -> list[int]:
-        """Votes, and whether one or several lexicon voters fired."""
-        n, m = len(self.terms), len(self.terms) + len(_PATTERNS)
-        lexicon = sum(v < n for v in votes)
-        return [*votes, *([m] if lexicon else []), *([m + 1] if lexicon > 1 else [])]
+        m = n + len(_PATTERNS)
+        return sorted(found) + [n + k for k in patterns] + [m + k for k, c in enumerate(_COUNTS) if voting >= c]
 
-    def score(self, votes: list[int]) -> float:
+    def score(self, known: dict, text: bytes | None) -> float:
         if not len(self.weights):
             return 0.0
-        z = self.bias + float(self.weights[self.features(votes)].sum())
+        z = self.bias + float(self.weights[self.features(known, words_of(text), patterns_of(text))].sum())
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def patterns_of(text: bytes | None) -> list[int]:
+    return [k for k, (p, _) in enumerate(_PATTERNS) if p.search(text or b"")]
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of at most SAMPLE_ROWS labelled training rows of each class."""
+    """(toxic, words, patterns) of at most SAMPLE_ROWS labelled training rows of each class, one for each group of near copies of a class.
+
+    Copies agree in two of the three least hashes of their long words.
+    """
     known = labels.where("toxic in (0, 1)").select("doc_id", "toxic").where(~held_out()).distinct()
     # The sample is chosen among ids alone, so no text is sorted.
     ids = docs.where(~held_out()).select("doc_id").distinct()
     have = known.join(ids, "doc_id", "left_semi").withColumn("h", F.xxhash64(F.col("doc_id"), F.lit("sample")))
     sample = have.where("toxic = 1").orderBy("h", "doc_id").limit(SAMPLE_ROWS).union(have.where("toxic = 0").orderBy("h", "doc_id").limit(SAMPLE_ROWS))
-    return stored(docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").select("text", "toxic"), "toxicity-sample")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").select("toxic", "text")
+
+    def read(chunks):
+        for chunk in chunks:
+            for toxic, text in chunk:
+                words = words_of(text)
+                long = [w for w in words if len(w) >= 8] or list(words) or [b""]
+                least = [min(zlib.crc32(w, seed) for w in long) for seed in (0, 77, 7777)]
+                yield toxic, [w.decode("utf-8", "replace") for w in sorted(words)], patterns_of(text), *least
 
+    found = stored(map_rows(rows, ["toxic", "text"], "toxic int, words array<string>, patterns array<int>, u long, v long, w long", read), "toxicity-words")
+    for a, b in (("u", "v"), ("v", "w"), ("u", "w")):
+        # Whole rows are compared, so the one that stays doesn't depend on the order.
+        found = found.groupBy("toxic", a, b).agg(F.min(F.struct("words", "patterns", "u", "v", "w")).alias("s")).select("toxic", "s.*")
+    return stored(found.select("toxic", "words", "patterns"), "toxicity-sample")
 
-def mine_terms(sample: DataFrame) -> list[str]:
-    """Words and beginnings (ending in *) that mark toxic rows, at most MAX_VOTERS.
 
-    Terms of toxic rows come first, then how often those stand in other rows; the
-    precise ones are then chosen greedily by the toxic rows that nothing chosen covers
-    yet, so that words which copies of one toxic text share bring no voters. All
-    tables that reach the driver are bounded by the sample and by MAX_CANDIDATES.
+def propose(sample: DataFrame) -> dict[str, tuple[int, int]]:
+    """Terms that enough rows hold and that labels orient towards toxic: (toxic rows, other rows) where each votes.
+
+    A term is oriented by the rows where it is the longest of a word; what a term that
+    falls away held goes to the next shorter one.
     """
-    spark = sample.sparkSession
-
-    def counting(wanted):
-        def run(chunks):
-            counts: dict[str, int] = Counter()
-            for chunk in chunks:
-                for (text,) in chunk:
-                    counts.update(_terms(text, wanted.value if wanted else None))
-                    if len(counts) > 500_000:
-                        yield from counts.items()
-                        counts.clear()
-            yield from counts.items()
-
-        return run
-
-    def count(rows: DataFrame, wanted=None) -> DataFrame:
-        return map_rows(rows, ["text"], "term string, n long", counting(wanted)).groupBy("term").agg(F.sum("n").alias("n"))
-
-    toxic, clean = sample.where("toxic = 1"), sample.where("toxic = 0")
-    pos = {r["term"]: r["n"] for r in count(toxic).where(F.col("n") >= MIN_ROWS).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()}
-    if not pos or not clean.limit(1).count():
-        return []
-    # Most terms fall on an eighth of the clean rows; only those left are counted in the rest.
-    neg: dict[str, int] = Counter()
-    precise = list(pos)
-    eighth = F.pmod(F.xxhash64("text"), F.lit(8)) == 0
-    for part in (clean.where(eighth), clean.where(~eighth)):
-        neg.update({r["term"]: r["n"] for r in count(part, spark.sparkContext.broadcast(frozenset(precise))).collect()})
-        precise = [t for t in precise if pos[t] >= MIN_PRECISION * (pos[t] + neg[t])]
-    precise = sorted(precise, key=lambda t: (-pos[t], neg.get(t, 0), -len(t), t))[:MAX_PRECISE]
-    wanted = spark.sparkContext.broadcast({t: k for k, t in enumerate(precise)})
-
-    def present(chunks):
+    size = dict(sample.groupBy("toxic").count().collect())
+    if not size.get(1) or not size.get(0):
+        return {}
+    total = size[0] + size[1]
+    base = size[1] / total
+
+    def counting(chunks):
+        counts: dict[str, list[int]] = {}
+        for chunk in chunks:
+            for toxic, words in chunk:
+                for t in {t for w in words for t in terms_of(w.encode() if isinstance(w, str) else w)}:
+                    counts.setdefault(t, [0, 0])[toxic] += 1
+                if len(counts) > 500_000:
+                    yield from ((t, b, a) for t, (a, b) in counts.items())
+                    counts.clear()
+        yield from ((t, b, a) for t, (a, b) in counts.items())
+
+    counted = map_rows(sample, ["toxic", "words"], "term string, pos long, neg long", counting).groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    n = F.col("pos") + F.col("neg")
+    proposed = counted.where((n >= MIN_ROWS) & (n <= max(MIN_ROWS, MAX_SHARE * total)))
+    stands_out = (F.col("pos") - n * base) / F.sqrt(n * (base * (1 - base)))
+    best = proposed.withColumn("z", stands_out).where((F.col("z") >= ORIENTED) & (F.col("pos") >= MIN_ROWS)).orderBy(F.desc("z"), "term").limit(MAX_VOTERS)
+    found = {r["term"]: (r["pos"], r["neg"]) for r in best.collect()}
+    # A beginning whose rows are all a longer beginning's, and a word whose rows are all its longest beginning's, add nothing.
+    longest = lambda t: t[: PREFIXES[-1]] + "*"
+    idle = {t[:-2] + "*" for t, c in found.items() if t.endswith("*") and found.get(t[:-2] + "*") == c}
+    idle |= {t for t, c in found.items() if not t.endswith("*") and found.get(longest(t)) == c}
+    return _oriented(sample, sorted(found.keys() - idle), base)
+
+
+def _oriented(sample: DataFrame, terms: list[str], base: float) -> dict[str, tuple[int, int]]:
+    number = {t: k for k, t in enumerate(terms)}
+
+    def run(chunks):
         for chunk in chunks:
-            for (text,) in chunk:
-                at = wanted.value
-                long = [w for w in words_of(text) if len(w) >= 8] or list(words_of(text)) or [b""]
-                yield sorted(at[t] for t in _terms(text, at)), [min(zlib.crc32(w, seed) for w in long) for seed in (0, 77, 7777)]
-
-    # (row, term) incidence of the sampled toxic rows, one row for each group of near copies.
-    # Copies agree in two of three least hashes of their long words.
-    seen: set[tuple] = set()
-    rows = []
-    for r in map_rows(toxic, ["text"], "at array<int>, least array<long>", present).where("size(at) > 0").orderBy("least", "at").collect():
-        u, v, w = r["least"]
-        pairs = {(0, u, v), (1, v, w), (2, u, w)}
-        if seen.isdisjoint(pairs):
-            rows.append(np.array(r["at"], np.int64))
-        seen |= pairs
-    holds = np.zeros((len(rows), len(precise)), bool)
-    for i, r in enumerate(rows):
-        holds[i, r] = True
-    least = max(2, -(-len(rows) // 200))
-    new, covered = holds.sum(0), np.zeros(len(rows), int)
-    chosen: list[int] = []
-    while len(chosen) < MAX_VOTERS and len(precise):
-        k = int(new.argmax())  # ties: more rows, fewer others, the longer term
-        if new[k] < least:
-            break
-        chosen.append(k)
-        stem = precise[k].rstrip("*")
-        new[[j for j, t in enumerate(precise) if t.rstrip("*").startswith(stem) or t.endswith("*") and stem.startswith(t[:-1])]] = -len(rows)
-        covered += holds[:, k]
-        new -= holds[(covered == COVER) & holds[:, k]].sum(0)
-    return [precise[k] for k in chosen]
-
-
-def label_model(votes: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float, np.ndarray]:
-    """(rates [voter, class], class share, posterior) by EM; votes are 0/1, no labels.
-
-    A voter votes toxic or abstains, and abstaining says nothing; the voter "silence"
-    votes clean where no lexicon voter votes. Every voter's accuracy is drawn towards PRIOR. Evidence of voters that stay correlated given the class is
-    divided among them. Row order doesn't matter.
+            for toxic, words in chunk:
+                chains = {tuple(number[t] for t in terms_of(w.encode() if isinstance(w, str) else w) if t in number) for w in words}
+                yield toxic, sorted(map(list, chains - {()}))
+
+    # A row's chains: for each of its words the terms it has, the longest first. Bounded by the sample.
+    got = map_rows(sample, ["toxic", "words"], "toxic int, chains array<array<int>>", run).where("size(chains) > 0").collect()
+    rows = [(r["toxic"], [tuple(c) for c in r["chains"]]) for r in got]
+    alive = set(range(len(terms)))
+    while True:
+        votes = np.zeros((len(terms), 2), np.int64)
+        for toxic, chains in rows:
+            for k in {next((k for k in c if k in alive), -1) for c in chains} - {-1}:
+                votes[k, toxic] += 1
+        n = votes.sum(1)
+        z = (votes[:, 1] - n * base) / np.sqrt(np.maximum(n, 1) * (base * (1 - base)))
+        falls = {k for k in alive if votes[k, 1] < MIN_ROWS or z[k] < ORIENTED}
+        # The longest of those that fall go first, so that the shorter ones are judged with what they left.
+        most = max((len(terms[k]) for k in falls), default=0)
+        if not falls:
+            return {terms[k]: (int(votes[k, 1]), int(votes[k, 0])) for k in alive}
+        alive -= {k for k in falls if len(terms[k]) == most}
+
+
+def label_model(row: np.ndarray, voter: np.ndarray, n: int, start: np.ndarray, share: float, rounds: int = 40) -> tuple[np.ndarray, float, np.ndarray]:
+    """(rates [voter, class], class share, posterior) by EM over votes (row, voter) of n rows, without labels.
+
+    start are the rates to begin with. The order of rows and votes doesn't matter.
+    """
+    m = len(start)
+    rates, r = _em(row, voter, n, np.clip(start, 1e-6, 0.5), np.array([1 - share, share]), rounds)
+    alike = _correlations(row, voter, n, r[:, 1], rates)
+    one, family = _groups(alike >= CORRELATED), _groups(alike >= RELATED)
+    both = np.unique(np.stack([row, one[voter]], 1), axis=0)
+    # A toxic class for each of the families that vote most, and one for all others.
+    size = np.bincount(family[both[:, 1]], r[both[:, 0], 1], m)
+    first = [f for f in np.argsort(-size, kind="stable")[:FAMILIES].tolist() if size[f] > 0]
+    number = np.full(m, len(first))
+    for k, f in enumerate(first):
+        number[family == f] = k
+    votes = np.zeros((n, len(first) + 1))
+    np.add.at(votes, (both[:, 0], number[both[:, 1]]), 1)
+    toxic = (votes == votes.max(1, keepdims=True)) * (r[:, 1:] + 1e-3)
+    r = np.concatenate([r[:, :1], toxic / toxic.sum(1, keepdims=True) * r[:, 1:]], 1)
+    _, r = _em(both[:, 0], both[:, 1], n, _rates(both[:, 0], both[:, 1], n, m, r), r.mean(0), rounds)
+    q = 1 - r[:, 0]
+    return _rates(row, voter, n, m, np.stack([1 - q, q], 1)), float(q.mean()), q
+
+
+def _rates(row: np.ndarray, voter: np.ndarray, n: int, m: int, r: np.ndarray) -> np.ndarray:
+    """Rates [voter, class] given the rows' classes r, with one row more in each class, where each voter votes as often as in all rows."""
+    every = np.bincount(voter, minlength=m) / n
+    return np.clip(np.stack([(np.bincount(voter, c[row], m) + every) / (c.sum() + 1) for c in r.T], 1), 1e-6, 1 - 1e-6)
+
+
+def _em(row: np.ndarray, voter: np.ndarray, n: int, rates: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rates, the rows' classes) after so many rounds."""
+    for _ in range(rounds):
+        on, off = np.log(rates), np.log(1 - rates)
+        z = np.stack([np.log(max(1e-6, s)) + b.sum() + np.bincount(row, (a - b)[voter], n) for s, a, b in zip(share, on.T, off.T)], 1)
+        r = np.exp(z - z.max(1, keepdims=True))
+        r /= r.sum(1, keepdims=True)
+        share, rates = r.mean(0), _rates(row, voter, n, len(rates), r)
+    return rates, r
+
+
+def _correlations(row: np.ndarray, voter: np.ndarray, n: int, q: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """Correlations of voters given the class."""
+    m = len(rates)
+    both = np.zeros((m, m), np.float32)
+    order = np.argsort(row, kind="stable")
+    cuts = np.searchsorted(row[order], np.arange(0, n + 2048, 2048))
+    for a, i, j in zip(range(0, n, 2048), cuts[:-1], cuts[1:]):
+        b = min(n, a + 2048)
+        v = np.zeros((b - a, m), np.float32)
+        v[row[order[i:j]] - a, voter[order[i:j]]] = 1
+        v -= (np.outer(1 - q[a:b], rates[:, 0]) + np.outer(q[a:b], rates[:, 1])).astype(np.float32)
+        both += v.T @ v
+    scale = np.sqrt(np.maximum(np.diag(both), 1e-9))
+    return both / np.outer(scale, scale)
+
+
+def _groups(linked: np.ndarray) -> np.ndarray:
+    """The least member of each one's connected group."""
+    group = np.arange(len(linked))
+    for i, j in zip(*np.nonzero(linked)):
+        a, b = group[i], group[j]
+        if a != b:
+            group[group == max(a, b)] = min(a, b)
+    return group
+
+
+def _logistic(row: np.ndarray, feature: np.ndarray, m: int, q: np.ndarray, steps: int = 600, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Gradient descent with momentum on soft labels, classes balanced; features are 0/1 at (row, feature).
+
+    Each weight's step is scaled by its curvature, so rare features are learned as fast as frequent ones.
     """
-    lexical = votes[:, : votes.shape[1] - len(_PATTERNS)].any(1)
-    votes = np.concatenate([votes, ~lexical[:, None]], 1).astype(float)
-    m = votes.shape[1]
-    q = np.where(lexical, 0.9, 0.02)
-    weight = np.ones(m)
-    for step in range(rounds):
-        share = float(np.clip(q.mean(), 1e-4, 1 - 1e-4))
-        toxic, clean = q @ votes, (1 - q) @ votes
-        good = np.arange(m) < m - len(_PATTERNS) - 1
-        prior = np.where(good, PRIOR, 1 - PRIOR) * (votes.sum(0) + 1)
-        toxic, clean = (toxic + prior) / 2, (clean + votes.sum(0) + 1 - prior) / 2
-        rates = np.clip(np.stack([clean / ((1 - q).sum() + 1), toxic / (q.sum() + 1)], 1), 1e-6, 1 - 1e-6)
-        if step == rounds // 2:
-            left = votes - np.outer(1 - q, rates[:, 0]) - np.outer(q, rates[:, 1])
-            scale = np.sqrt((left**2).sum(0)) + 1e-9
-            corr = np.abs(left.T @ left / np.outer(scale, scale))
-            np.fill_diagonal(corr, 0)
-            corr[-1] = corr[:, -1] = 0
-            weight = 1 / (1 + np.where(corr > 0.5, corr, 0).sum(1))
-        z = np.log(share / (1 - share)) + votes @ (np.log(rates[:, 1] / rates[:, 0]) * weight)
-        q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return rates[:-1], share, q
-
-
-def _logistic(x: np.ndarray, q: np.ndarray, steps: int = 400, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Full-batch gradient descent with momentum on soft labels, classes balanced."""
-    w, b, vw, vb = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0
+    n = len(q)
+    w, b, vw, vb = np.zeros(m), 0.0, np.zeros(m), 0.0
     each = np.where(q > 0.5, 0.5 / max(1, (q > 0.5).sum()), 0.5 / max(1, (q <= 0.5).sum()))
+    pace = 0.05 / (np.bincount(feature, each[row], m) / 4 + l2)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[feature], n) + b, -30, 30)))
         g = each * (p - q)
-        vw, vb = 0.9 * vw - 2.0 * (x.T @ g + l2 * w), 0.9 * vb - 2.0 * g.sum()
+        vw, vb = 0.9 * vw - pace * (np.bincount(feature, g[row], m) + l2 * w), 0.9 * vb - 0.2 * g.sum()
         w, b = w + vw, b + vb
     return w, float(b)
 
 
+def _calibration(z: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[float, float]:
+    """(scale, offset) of the logits that fit the labels best, by Newton's method; the scale stays positive."""
+    x, w = np.stack([z, np.ones(len(z))], 1), np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
+        w = w + np.clip(np.linalg.solve(hess, x.T @ (y - p) - 0.1 * (w - [1.0, 0.0])), -1, 1)
+    return max(1e-3, float(w[0])), float(w[1])
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     sample = training_rows(docs, labels)
-    terms = mine_terms(sample)
-    if not terms:
+    proposed = propose(sample)
+    if not proposed:
         return Model()
+    terms = sorted(proposed)
     model = Model({t: k for k, t in enumerate(terms)})
 
     def run(chunks):
         known: dict = {}
         for chunk in chunks:
-            for text, _ in chunk:
-                yield (model.voters(known, text),)
-
-    # Votes of the bounded sample: small integer lists, counted by pattern of votes.
-    got = map_rows(sample, ["text", "toxic"], "votes array<int>", run).groupBy("votes").count().toPandas()
-    m = len(terms) + len(_PATTERNS)
-    n = got["count"].to_numpy()
-    votes = np.zeros((len(got), m))
-    for i, v in enumerate(got["votes"]):
-        votes[i, list(v)] = 1
-    every = np.repeat(np.arange(len(got)), n)
-    rates, share, q = label_model(votes[every])
-    q = q[np.unique(every, return_index=True)[1]]
-    x = np.zeros((len(got), m + 2))
-    for i, v in enumerate(got["votes"]):
-        x[i, model.features([int(k) for k in v])] = 1
-    model.weights, model.bias = _logistic(x[every], q[every])
-    model.accuracy, model.share = rates, share
+            for toxic, words, patterns in chunk:
+                yield toxic, model.features(known, set(map(str.encode, words)), list(patterns))
+
+    # Features of the bounded sample: small integer lists, counted by pattern.
+    got = map_rows(sample, ["toxic", "words", "patterns"], "toxic int, features array<int>", run).groupBy("toxic", "features").count().orderBy("toxic", "features").collect()
+    rows = [(r["toxic"], r["features"]) for r in got for _ in range(r["count"])]
+    y, n, m = np.array([t for t, _ in rows]), len(rows), len(terms) + len(_PATTERNS)
+    row = np.repeat(np.arange(n), [len(f) for _, f in rows])
+    feature = np.array([k for _, f in rows for k in f], np.int64)
+    start = np.full((m, 2), 0.01)
+    start[: len(terms)] = [((proposed[t][1] + 1) / (n - y.sum() + 2), (proposed[t][0] + 1) / (y.sum() + 2)) for t in terms]
+    voting = feature < m
+    model.rates, model.share, q = label_model(row[voting], feature[voting], n, start, float(y.mean()))
+    w, b = _logistic(row, feature, m + len(_COUNTS), q)
+    scale, offset = _calibration(np.bincount(row, w[feature], n) + b, y)
+    model.weights, model.bias = w * scale, b * scale + offset
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score and predicted added; one narrow pass over whole texts."""
+    return beside(docs, ("score", "predicted"), lambda d: _score(d, model))
+
+
+def _score(docs: DataFrame, model: Model) -> DataFrame:
     from pyspark.sql import types as T
 
     keep = docs.columns
@@ -282,7 +339,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         known: dict = {}
         for chunk in chunks:
             for row in chunk:
-                s = model.score(model.voters(known, row[at]))
+                s = model.score(known, row[at])
                 values = list(row)
                 for i in strings:
                     values[i] = None if values[i] is None else values[i].decode()
@@ -292,18 +349,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return map_rows(docs, keep, schema, run)
 
 
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that aren't predicted toxic, with the columns of docs."""
+    out = score(docs, model)
+    return out.where(F.col(out.columns[-1]) == 0).select(*docs.columns)
+
+
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
-    narrow = docs.select("doc_id", "text")
-    # The text goes into the pass and does not come out of it.
-    known_model = model
 
+    # The text goes into the pass and does not come out of it.
     def run(chunks):
         known: dict = {}
         for chunk in chunks:
             for doc_id, text in chunk:
-                s = known_model.score(known_model.voters(known, text))
+                s = model.score(known, text)
                 yield doc_id, s, int(s >= 0.5)
 
-    out = map_rows(narrow, ["doc_id", "text"], "doc_id long, score double, predicted int", run)
+    out = map_rows(docs.select("doc_id", "text"), ["doc_id", "text"], "doc_id long, score double, predicted int", run)
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -1,6 +1,7 @@
 """Each operator against brute force, on the smallest table and on a table of odd rows."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -595,6 +596,92 @@ def test_pipeline_stages(spark, docs, odd):
 
 
 def test_columns_that_clash_stay(odd):
-    assert toxicity.score(odd.drop("score"), toxicity.Model()).columns[-2:] == ["score", "predicted"]
-    out = line_dedup.dedup_lines(odd.withColumn("n_extra", F.lit(1)))
-    assert {"score", "n_extra"} <= set(out.columns)
+    out = toxicity.score(odd, toxicity.Model())
+    assert out.columns == [*odd.columns, "_score", "predicted"] and out.where("score != 'clash' or _score != 0").count() == 0
+    assert toxicity.clean(odd, toxicity.Model()).columns == odd.columns
+    taken = odd.withColumns({"n_lines": F.lit("mine"), "_N_LINES": F.lit(2), "hits": F.lit(3)})
+    out = line_dedup.dedup_lines(taken)
+    assert out.columns == [*taken.columns, "__n_lines", "n_dropped"] and out.where("n_lines != 'mine' or _N_LINES != 2").count() == 0
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(odd.sparkSession, taken, DATA).columns == taken.columns
+
+
+def brute_label_model(rows, start, share, rounds):
+    """The label model in plain Python: rows are sets of voters."""
+    n, m = len(rows), len(start)
+
+    def rates_of(rows, r):
+        every = [sum(j in v for v in rows) / n for j in range(m)]
+        return [[(sum(p[c] for p, v in zip(r, rows) if j in v) + every[j]) / (sum(p[c] for p in r) + 1) for c in range(len(r[0]))] for j in range(m)]
+
+    def em(rows, rates, share):
+        for _ in range(rounds):
+            r = []
+            for v in rows:
+                w = [s * math.prod(p[c] if j in v else 1 - p[c] for j, p in enumerate(rates)) for c, s in enumerate(share)]
+                r.append([x / sum(w) for x in w])
+            share = [sum(p[c] for p in r) / n for c in range(len(share))]
+            rates = [[max(1e-6, x) for x in p] for p in rates_of(rows, r)]
+        return rates, r
+
+    def groups(least):
+        group = list(range(m))
+        for a in range(m):
+            for b in range(m):
+                if cov[a][b] >= least * math.sqrt(cov[a][a] * cov[b][b]):
+                    group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+        return group
+
+    rates, r = em(rows, start, [1 - share, share])
+    left = [[(j in v) - p[0] * rates[j][0] - p[1] * rates[j][1] for j in range(m)] for v, p in zip(rows, r)]
+    cov = [[sum(x[a] * x[b] for x in left) for b in range(m)] for a in range(m)]
+    one, family = groups(toxicity.CORRELATED), groups(toxicity.RELATED)
+    merged = [{one[j] for j in v} for v in rows]
+    names = sorted({family[one[j]] for j in range(m)}, key=lambda f: (-sum(p[1] for v, p in zip(merged, r) for j in v if family[j] == f), f))
+    split = []
+    for v, p in zip(merged, r):
+        votes = [sum(family[j] == f for j in v) for f in names] + [0]
+        best = [x == max(votes) for x in votes]
+        split.append([p[0], *(p[1] * x / sum(best) for x in best)])
+    _, r = em(merged, [[max(1e-6, x) for x in p] for p in rates_of(merged, split)], [sum(p[c] for p in split) / n for c in range(len(names) + 1 + 1)])
+    q = [1 - p[0] for p in r]
+    return rates_of(rows, [[1 - x, x] for x in q]), sum(q) / n, q
+
+
+def votes_of(rng, n, toxic_rates, clean_rates, share=0.3):
+    y = rng.random(n) < share
+    v = rng.random((n, len(toxic_rates))) < np.where(y[:, None], toxic_rates, clean_rates)
+    return y, [np.flatnonzero(x).tolist() for x in v]
+
+
+def flat(rows):
+    return np.array([i for i, r in enumerate(rows) for _ in r]), np.array([j for r in rows for j in r])
+
+
+def test_label_model_equals_brute_force():
+    rng = np.random.default_rng(2)
+    _, rows = votes_of(rng, 150, [0.5, 0.4, 0.45, 0.3, 0.2], [0.05, 0.02, 0.1, 0.02, 0.2])
+    rows = [sorted({*r, *([1] if 0 in r else [])} - ({1} if 0 not in r else set())) for r in rows]  # voter 1 repeats voter 0
+    start = np.tile([0.1, 0.4], (5, 1))
+    got = toxicity.label_model(*flat(rows), len(rows), start, 0.3, rounds=20)
+    want = brute_label_model(list(map(set, rows)), start.tolist(), 0.3, 20)
+    assert np.allclose(got[0], want[0], atol=1e-5) and abs(got[1] - want[1]) < 1e-5 and np.allclose(got[2], want[2], atol=1e-4)
+
+
+def test_label_model_finds_out_a_bad_voter_and_copies_of_one():
+    rng = np.random.default_rng(3)
+    y, rows = votes_of(rng, 4000, [0.5, 0.4, 0.45, 0.5, 0.3], [0.03, 0.02, 0.03, 0.02, 0.3])
+    # All five are believed to be equally good at first; the last one votes at random. Then the first one has four copies.
+    rates, share, q = toxicity.label_model(*flat(rows), len(rows), np.tile([0.05, 0.4], (5, 1)), 0.3)
+    assert np.allclose(rates, np.stack([[0.03, 0.02, 0.03, 0.02, 0.3], [0.5, 0.4, 0.45, 0.5, 0.3]], 1), atol=0.1)
+    assert abs(share - y.mean()) < 0.05 and ((q > 0.5) == y).mean() > 0.9
+    copied = [[*r, *(range(5, 9) if 0 in r else ())] for r in rows]
+    rates, share, q = toxicity.label_model(*flat(copied), len(rows), np.tile([0.05, 0.4], (9, 1)), 0.3)
+    assert ((q > 0.5) == y).mean() > 0.88 and (rates[5:] == rates[0]).all()
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs_, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.digest(docs_, marks).join(marks.where("toxic is not null"), "doc_id").where("held_out").collect()
+    toxic, clean = [r.predicted for r in rows if r.toxic], [r.predicted for r in rows if not r.toxic]
+    assert np.mean(toxic) > 0.9 and np.mean(clean) < 0.01
