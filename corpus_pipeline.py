@@ -11,23 +11,14 @@ from framelake.llm import decontaminate, line_dedup, packing, simhash, toxicity
 from framelake.llm.common import read, shared_dir, ship_code
 
 
-def _beside(docs: DataFrame, added: str, work) -> DataFrame:
-    """work on docs with columns named like those it adds out of the way; docs' columns come back."""
-    names = set(added.split())
-    moved = {c: f"_own_{i}_{c}" for i, c in enumerate(docs.columns) if c.lower() in names}
-    out = work(docs.withColumnsRenamed(moved))
-    return out.select(*[F.col(moved.get(c, c)).alias(c) for c in docs.columns])
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_code(spark)
-    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return _beside(docs, "score predicted", lambda d: toxicity.score(d, model).where("predicted = 0"))
+    return toxicity.clean(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_code(spark)
-    out = _beside(docs, "n_lines n_dropped", line_dedup.dedup_lines)
+    out = line_dedup.dedup_lines(docs).select(*docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out
@@ -40,8 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_code(spark)
-    items = read(spark, sf_dir, "benchmark")
-    return _beside(docs, "n_words n_hit hits items contaminated", lambda d: decontaminate.contamination(d, items).where("not contaminated"))
+    return decontaminate.uncontaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
