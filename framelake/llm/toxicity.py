@@ -41,8 +41,8 @@ from .common import beside, held_out, map_rows, stored
 SAMPLE_ROWS = 20_000
 #: Rows that must hold a proposed term, prefix lengths, and the largest share of rows that may.
 MIN_ROWS, PREFIXES, MAX_SHARE = 4, range(3, 9), 0.2
-#: Standard deviations by which toxic rows must exceed their share among those that hold a term.
-ORIENTED = 4.5
+#: Standard deviations by which toxic rows must exceed their share among those that hold a term, and the least ratio of its rates in the two classes.
+ORIENTED, LIFT = 4.5, 5
 #: Size of the model: the terms that stand out most.
 MAX_VOTERS = 3_000
 #: Correlations given the class from which on two voters are of one family, and one; families that get a class of their own.
@@ -160,7 +160,8 @@ def propose(sample: DataFrame) -> dict[str, tuple[int, int]]:
     n = F.col("pos") + F.col("neg")
     proposed = counted.where((n >= MIN_ROWS) & (n <= max(MIN_ROWS, MAX_SHARE * total)))
     stands_out = (F.col("pos") - n * base) / F.sqrt(n * (base * (1 - base)))
-    best = proposed.withColumn("z", stands_out).where((F.col("z") >= ORIENTED) & (F.col("pos") >= MIN_ROWS)).orderBy(F.desc("z"), "term").limit(MAX_VOTERS)
+    lift = F.col("pos") / size[1] / ((F.col("neg") + 1) / size[0])
+    best = proposed.withColumn("z", stands_out).where((F.col("z") >= ORIENTED) & (lift >= LIFT) & (F.col("pos") >= MIN_ROWS)).orderBy(F.desc("z"), "term").limit(MAX_VOTERS)
     found = {r["term"]: (r["pos"], r["neg"]) for r in best.collect()}
     # A beginning whose rows are all a longer beginning's, and a word whose rows are all its longest beginning's, add nothing.
     longest = lambda t: t[: PREFIXES[-1]] + "*"
@@ -189,7 +190,8 @@ def _oriented(sample: DataFrame, terms: list[str], base: float) -> dict[str, tup
                 votes[k, toxic] += 1
         n = votes.sum(1)
         z = (votes[:, 1] - n * base) / np.sqrt(np.maximum(n, 1) * (base * (1 - base)))
-        falls = {k for k in alive if votes[k, 1] < MIN_ROWS or z[k] < ORIENTED}
+        lift = votes[:, 1] / base / ((votes[:, 0] + 1) / (1 - base))
+        falls = {k for k in alive if votes[k, 1] < MIN_ROWS or z[k] < ORIENTED or lift[k] < LIFT}
         # The longest of those that fall go first, so that the shorter ones are judged with what they left.
         most = max((len(terms[k]) for k in falls), default=0)
         if not falls:
@@ -200,7 +202,8 @@ def _oriented(sample: DataFrame, terms: list[str], base: float) -> dict[str, tup
 def label_model(row: np.ndarray, voter: np.ndarray, n: int, start: np.ndarray, share: float, rounds: int = 40) -> tuple[np.ndarray, float, np.ndarray]:
     """(rates [voter, class], class share, posterior) by EM over votes (row, voter) of n rows, without labels.
 
-    start are the rates to begin with. The order of rows and votes doesn't matter.
+    start are the rates to begin with; share, the toxic rows' part of all, is given. The
+    order of rows and votes doesn't matter.
     """
     m = len(start)
     rates, r = _em(row, voter, n, np.clip(start, 1e-6, 0.5), np.array([1 - share, share]), rounds)
@@ -217,7 +220,8 @@ def label_model(row: np.ndarray, voter: np.ndarray, n: int, start: np.ndarray, s
     np.add.at(votes, (both[:, 0], number[both[:, 1]]), 1)
     toxic = (votes == votes.max(1, keepdims=True)) * (r[:, 1:] + 1e-3)
     r = np.concatenate([r[:, :1], toxic / toxic.sum(1, keepdims=True) * r[:, 1:]], 1)
-    _, r = _em(both[:, 0], both[:, 1], n, _rates(both[:, 0], both[:, 1], n, m, r), r.mean(0), rounds)
+    part = np.concatenate([[1 - share], r[:, 1:].sum(0) / max(1e-9, r[:, 1:].sum()) * share])
+    _, r = _em(both[:, 0], both[:, 1], n, _rates(both[:, 0], both[:, 1], n, m, r), part, rounds)
     q = 1 - r[:, 0]
     return _rates(row, voter, n, m, np.stack([1 - q, q], 1)), float(q.mean()), q
 
@@ -235,7 +239,9 @@ def _em(row: np.ndarray, voter: np.ndarray, n: int, rates: np.ndarray, share: np
         z = np.stack([np.log(max(1e-6, s)) + b.sum() + np.bincount(row, (a - b)[voter], n) for s, a, b in zip(share, on.T, off.T)], 1)
         r = np.exp(z - z.max(1, keepdims=True))
         r /= r.sum(1, keepdims=True)
-        share, rates = r.mean(0), _rates(row, voter, n, len(rates), r)
+        # The clean part stays as given; toxic classes share the rest.
+        share = np.concatenate([share[:1], r[:, 1:].sum(0) / max(1e-9, r[:, 1:].sum()) * (1 - share[0])])
+        rates = _rates(row, voter, n, len(rates), r)
     return rates, r
 
 
