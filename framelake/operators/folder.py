@@ -22,8 +22,10 @@ def tracked(name: Column, prefix: str = "") -> Column:
 def natural_key(name: Column) -> Column:
     """A sort key by which runs of digits compare as numbers, in any case."""
     low = F.lower(name)
+    # Digits after their own number of digits: longer runs are greater, however long.
+    number = lambda d: F.concat(F.lpad(F.length(d).cast("string"), 9, "0"), d)
     parts = F.regexp_extract_all(low, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 20, "0")).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), number(F.regexp_replace(p, "^0+(?=.)", ""))).otherwise(p)), "")
 
 
 def revision(name: Column) -> Column:
@@ -87,3 +89,17 @@ def device_folders(listing: DataFrame, keys: list[str], device: Column, mtime: s
     newest = F.max(F.struct(mtime, *keep)).alias("b")
     rows = listing.withColumn("device", device).where("device is not null")
     return rows.groupBy(*keys, "device").agg(newest).select(*keys, "device", *[F.col(f"b.{c}") for c in keep], F.col(f"b.{mtime}"))
+
+
+def union_of_names(*listings: DataFrame, name: str = "name") -> DataFrame:
+    """Every name in any of the listings, once."""
+    out = listings[0].select(name)
+    for other in listings[1:]:
+        out = out.union(other.select(name))
+    return out.distinct()
+
+
+def disjoint(sets: DataFrame, others: DataFrame, owner: str, member: str) -> DataFrame:
+    """(owner, disjoint): whether none of an owner's members is among the others' members."""
+    met = sets.join(others.select(member).distinct().withColumn("_met", F.lit(1)), member, "left")
+    return met.groupBy(owner).agg((F.count("_met") == 0).alias("disjoint"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.functions.stats import averaged_median, clamp, finite_or_zero, median_and_mad, upper_median
+from framelake.functions.stats import averaged_median, clamp, finite_or_zero, median_and_mad, strided, upper_median
 
 #: The smallest flat, the luminance weights, the spread factor of a MAD.
 MIN_FLAT = 1.0 / 65535
@@ -66,24 +66,49 @@ def frame_stats(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return pixels.groupBy(*keys).agg(F.avg("v").alias("mean"), averaged_median("v").alias("median"), F.stddev_pop("v").alias("stddev"))
 
 
-def calibrate(pixels: DataFrame, dark: DataFrame | None, flat: DataFrame | None, on: list[str], broadcast_rows: int = 2_000_000) -> DataFrame:
+def extent(pixels: DataFrame) -> tuple[int, int]:
+    """(width, height) of the frame that pixels hold."""
+    r = pixels.agg(F.max("x").alias("x"), F.max("y").alias("y")).first()
+    return (0, 0) if r["x"] is None else (r["x"] + 1, r["y"] + 1)
+
+
+def calibrate(pixels: DataFrame, dark: DataFrame | None, flat: DataFrame | None, on: list[str], broadcast_rows: int = 2_000_000, size: tuple[str, str] | None = None) -> DataFrame:
     """v less dark, over flat, at most 1; negatives stay and non-finite becomes 0.
 
-    Masters are one frame; they are broadcast only below broadcast_rows pixels and
-    joined by shuffle above.
+    size names the columns with a light's width and height: a master of another size is
+    skipped whole for that light, and a light without any passes as it is. Masters are one frame;
+    they are broadcast only below broadcast_rows pixels and joined by shuffle above.
     """
     out = pixels
     for master, name in ((dark, "d"), (flat, "f")):
         if master is not None:
             small = master.limit(broadcast_rows + 1).count() <= broadcast_rows
             out = out.join(F.broadcast(master) if small else master, on, "left")
+    fits = {}
+    for master, name in ((dark, "d"), (flat, "f")):
+        if master is not None and size:
+            w, h = extent(master)
+            fits[name] = (F.col(size[0]) == w) & (F.col(size[1]) == h)
+            out = out.withColumn(name, F.when(fits[name], F.col(name)))
     v = F.col("v")
     if dark is not None:
         v = v - F.coalesce(F.col("d"), F.lit(0.0))
     if flat is not None:
         v = v / F.greatest(F.coalesce(F.col("f"), F.lit(1.0)), F.lit(MIN_FLAT))
     finite = ~F.isnan(v) & (F.abs(v) < float("inf"))
-    return out.withColumn("v", F.when(finite, F.least(v, F.lit(1.0))).otherwise(0.0)).select(*pixels.columns)
+    done = F.when(finite, F.least(v, F.lit(1.0))).otherwise(0.0)
+    if fits:
+        done = F.when(~F.array_contains(F.array(*fits.values()), True), F.col("v")).otherwise(done)
+    return out.withColumn("v", done).select(*pixels.columns)
+
+
+def same_size(pixels: DataFrame, frames: DataFrame, frame: str = "frame", order: str = "frame") -> DataFrame:
+    """Pixels of the frames that have the size of the first valid one. frames: frame, width, height, channels, null where unreadable."""
+    valid = frames.where(F.col("width").isNotNull())
+    shape = F.struct("width", "height", "channels")
+    first = valid.agg(F.min_by(shape, order).alias("_first"))  # one row
+    kept = valid.crossJoin(F.broadcast(first)).where(shape == F.col("_first")).select(frame)
+    return pixels.join(kept, frame, "left_semi")
 
 
 def master_mean(pixels: DataFrame, on: list[str]) -> DataFrame:
@@ -91,9 +116,9 @@ def master_mean(pixels: DataFrame, on: list[str]) -> DataFrame:
 
 
 def master_flat(pixels: DataFrame, bias: DataFrame | None, on: list[str]) -> DataFrame:
-    """Mean of the bias-free frames, floored, over its own averaged median."""
+    """Mean of the bias-free frames, floored, over its own averaged median; a bias of another size is skipped."""
     p = pixels
-    if bias is not None:
+    if bias is not None and extent(bias) == extent(pixels):
         p = p.join(bias.withColumnRenamed("v", "_bias"), on, "left").withColumn("v", F.col("v") - F.coalesce(F.col("_bias"), F.lit(0.0)))
     mean = p.groupBy(*on).agg(F.greatest(F.avg("v"), F.lit(MIN_FLAT)).alias("v"))
     middle = mean.agg(averaged_median("v").alias("_middle"))  # one row
@@ -105,22 +130,28 @@ def mtf(x: Column, m: Column) -> Column:
     return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(F.try_divide((m - 1) * x, (2 * m - 1) * x - m))
 
 
-def auto_stretch(pixels: DataFrame, image: list[str], target: float = 0.25, shadows: float = 2.8, black: float = 0.0, strength: float = 0.0) -> DataFrame:
-    """Stretch of each image, linked over channels by its mean-of-channels sample."""
-    linked = pixels.groupBy(*image, "y", "x").agg(F.avg("v").alias("v"))
+def auto_stretch(pixels: DataFrame, image: list[str], target: float = 0.25, shadows: float = 2.8, black: float = 0.0, strength: float = 0.0, size: tuple[int, int] | None = None) -> DataFrame:
+    """Stretch of each image, linked over channels by its mean-of-channels sample.
+
+    black (0 to 0.2) is clipped off the linear data first; strength (-1 to 1, 0 does nothing) moves the
+    midtone. With size, the images' (width, height), statistics take a regular sample of at most 262,144
+    positions; without it they take all.
+    """
+    black, factor = min(max(black, 0.0), 0.2), 2.0 ** -min(max(strength, -1.0), 1.0)
+    if black:
+        pixels = pixels.withColumn("v", F.greatest(F.lit(0.0), (F.col("v") - black) / (1 - black)))
+    sample = strided(pixels, F.col("y") * size[0] + F.col("x"), size[0] * size[1]) if size else pixels
+    linked = sample.groupBy(*image, "y", "x").agg(F.avg("v").alias("v"))
     s = median_and_mad(linked, image, "v")
-    spread = F.when(F.col("mad") > 0, F.lit(MADN) * F.col("mad")).otherwise(F.greatest(F.col("median"), F.lit(1e-10)))
-    low = clamp(F.col("median") - F.lit(shadows) * spread)
-    s = s.withColumn("shadow", low)
-    mid = mtf((F.col("median") - F.col("shadow")) / F.greatest(1 - F.col("shadow"), F.lit(1e-10)), F.lit(target))
-    if strength:
-        mid = clamp(mid * 2.0 ** (-strength), 1e-6, 1 - 1e-6)
+    sigma = F.lit(MADN) * F.col("mad")
+    spread = F.when(sigma > 1e-10, sigma).otherwise(F.greatest(F.col("median"), F.lit(1e-10)))
+    s = s.withColumn("shadow", clamp(F.col("median") - F.lit(shadows) * spread))
+    room = F.greatest(1 - F.col("shadow"), F.lit(1e-9))
+    mid = mtf(clamp((F.col("median") - F.col("shadow")) / room, 1e-9), F.lit(target))
+    if factor != 1.0:
+        mid = clamp(mid * factor, 1e-4, 1 - 1e-4)
     s = s.withColumn("midtone", mid).select(*image, "shadow", "midtone")
-    r = (F.col("v") - F.col("shadow")) / F.greatest(1 - F.col("shadow"), F.lit(1e-10))
-    out = mtf(clamp(r), F.col("midtone"))
-    black = min(max(black, 0.0), 0.2)
-    if black:
-        out = F.greatest(F.lit(0.0), (out - black) / (1 - black))
+    out = mtf(clamp((F.col("v") - F.col("shadow")) / room), F.col("midtone"))
     return pixels.join(s, image).withColumn("v", out).select(*pixels.columns)
 
 

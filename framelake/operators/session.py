@@ -22,7 +22,7 @@ def csv_field(c: Column) -> Column:
 
 
 def markdown_cell(c: Column) -> Column:
-    return F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    return F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>"))
 
 
 def value_or_dash(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.operators import register
@@ -35,10 +35,10 @@ def deproject(xi: Column, eta: Column, ra0: float, dec0: float) -> tuple[Column,
     return ra, F.degrees(F.atan2(math.sin(d0) + eta * math.cos(d0), F.sqrt(xi * xi + den * den)))
 
 
-def nearest(points: DataFrame, others: DataFrame, keys: list[str], radius: float) -> DataFrame:
+def nearest(points: DataFrame, others: DataFrame, keys: list[str], radius: float, keep: list[str] = ()) -> DataFrame:
     """For each point the nearest other strictly within radius, over a grid of cells that wide.
 
-    points: keys, id, px, py; others: keys, other, ox, oy. A point looks into its 3 x 3
+    points: keys, id, px, py, and keep, which are part of a point's name; others: keys, other, ox, oy. A point looks into its 3 x 3
     cells, so the join is an equi-join and never meets all pairs.
     """
     cell = lambda c: F.floor(F.col(c) / radius).cast("int")
@@ -49,7 +49,7 @@ def nearest(points: DataFrame, others: DataFrame, keys: list[str], radius: float
     far = F.sqrt((F.col("px") - F.col("ox")) ** 2 + (F.col("py") - F.col("oy")) ** 2)
     m = p.join(o, [*keys, "_cx", "_cy"]).withColumn("distance", far).where(F.col("distance") < radius)
     best = F.min(F.struct("distance", "other")).alias("b")
-    return m.groupBy(*keys, "id").agg(best).select(*keys, "id", "b.other", "b.distance")
+    return m.groupBy(*keys, *keep, "id").agg(best).select(*keys, *keep, "id", "b.other", "b.distance")
 
 
 def magnitude_flux(mag: Column) -> Column:
@@ -61,30 +61,69 @@ def wrap_angle(degrees: Column) -> Column:
     return 180.0 - F.pmod(180.0 - degrees, F.lit(360.0))
 
 
-def plate_solve(stars: DataFrame, catalog: DataFrame, ra: float, dec: float, width: float, height: float, scale: float, most: int = 40, least: int = 8) -> DataFrame:
-    """One row a frame and parity that solves: the similarity from pixels to the catalog's plane.
+def north_up(rotation: Column, width: Column, height: Column, auto_zoom: bool = True, most: float = 15.0) -> Column:
+    """The canvas of a frame turned by rotation degrees: struct(out_width, out_height, zoom).
 
-    stars: frame, star, sx, sy, flux; scale is arcseconds a pixel. The cone is 1.2 half
-    diagonals; projected stars inside the frame are ranked by flux before they are matched.
+    Small turns keep the frame's size and zoom until no corner is empty; larger ones, or
+    all without auto_zoom, get the whole turned box.
     """
-    half = 0.5 * math.hypot(width, height) * scale / 3600
+    c, s = F.abs(F.cos(F.radians(rotation))), F.abs(F.sin(F.radians(rotation)))
+    small = (F.abs(wrap_angle(rotation)) <= most) & F.lit(auto_zoom)
+    side = lambda own, a, b: F.greatest(F.lit(1), F.round(F.when(small, own.cast("double")).otherwise(a + b)).cast("long"))
+    zoom = F.when(small, c + F.greatest(width / height, height / width) * s).otherwise(1.0)
+    return F.struct(side(width, width * c, height * s).alias("out_width"), side(height, width * s, height * c).alias("out_height"), zoom.alias("zoom"))
+
+
+#: Stars and tolerance of the triangle match, reach of the frame from its centre in half diagonals, and of the catalog cone, inlier radius in pixels.
+SOLVE_STARS, SOLVE_TOLERANCE, REACH, CONE_REACH, INLIER_PIXELS = 40, 0.01, 1.1, 1.2, 3.0
+
+
+def plate_solve(stars: DataFrame, catalog: DataFrame, ra: float, dec: float, width: float, height: float, scale: float, most: int = SOLVE_STARS, least: int = 8) -> DataFrame:
+    """(frame, scale, rotation, tx, ty, inliers, mirrored, center_ra, center_dec, rotation_degrees) of each frame that solves.
+
+    stars: frame, star, sx, sy, flux; scale is arcseconds a pixel. Catalog stars that some
+    turn of the frame can show are projected to its pixels, in either parity, and the
+    brightest are matched with the frame's brightest by triangles. The parity with more
+    inliers wins; once more every star is paired with the nearest catalog star under that
+    solution and fitted, which is taken where it has more inliers. Equal counts go to the plain parity.
+    """
+    half = 0.5 * math.hypot(width, height)
     xi, eta = project(F.col("ra"), F.col("dec"), ra, dec)
     k = 3600 * math.degrees(1) / scale
-    near = cone(catalog, ra, dec, 1.2 * half).withColumns({"xi": xi * k, "eta": eta * k, "flux": magnitude_flux(F.col("mag"))})
-    out = None
-    for parity in (1, -1):
-        c = near.select("flux", (F.lit(width / 2) + parity * F.col("xi")).alias("sx"), (F.lit(height / 2) - F.col("eta")).alias("sy"))
-        c = c.where(F.col("sx").between(0, width) & F.col("sy").between(0, height)).orderBy(F.desc("flux"), "sx", "sy").limit(most)
-        from pyspark.sql import Window
-
-        c = c.withColumn("star", F.row_number().over(Window.orderBy(F.desc("flux"), "sx", "sy")).cast("long") - 1)
-        t = register.triangles(c.withColumn("one", F.lit(1)), ["one"], most)
-        s = register.triangles(stars, ["frame"], most).withColumn("one", F.lit(1))
-        votes = register.triangle_votes(s, t, ["frame"], ["one"])
-        pairs = register.greedy_match(votes, ["frame"])
-        src = stars.select("frame", F.col("star").alias("src"), F.col("sx").alias("x"), F.col("sy").alias("y"))
-        dst = c.select(F.col("star").alias("dst"), F.col("sx").alias("u"), F.col("sy").alias("v"))
-        p = pairs.join(src, ["frame", "src"]).join(F.broadcast(dst), "dst").withColumn("ord", F.col("src"))
-        fit = register.ransac(p, ["frame"], least).withColumn("parity", F.lit(parity))
-        out = fit if out is None else out.unionByName(fit)
-    return out
+    near = cone(catalog, ra, dec, CONE_REACH * half * scale / 3600).withColumns({"xi": xi * k, "eta": eta * k, "flux": magnitude_flux(F.col("mag"))})
+    near = near.where(F.hypot("xi", "eta") <= REACH * half)
+    both = F.explode(F.array(F.lit(False), F.lit(True))).alias("mirrored")
+    grid = near.select("flux", "xi", "eta", both).select("mirrored", "flux", (width / 2 + F.when(F.col("mirrored"), -F.col("xi")).otherwise(F.col("xi"))).alias("sx"), (height / 2 - F.col("eta")).alias("sy"))
+    rank = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("flux"), "sx", "sy")).cast("long") - 1
+    grid = grid.withColumn("star", rank(["mirrored"]))
+    ours = stars.withColumnRenamed("star", "_id").withColumn("star", rank(["frame"]))
+    t = register.triangles(grid.where(F.col("star") < most), ["mirrored"], most)
+    s = register.triangles(ours.where(F.col("star") < most).select("frame", "star", "sx", "sy", "flux"), ["frame"], most).withColumn("mirrored", both)
+    votes = register.triangle_votes(s, t, ["frame"], ["mirrored"], SOLVE_TOLERANCE, keep=["mirrored"])
+    keys = ["frame", "mirrored"]
+    src = ours.select("frame", F.col("star").alias("src"), F.col("sx").alias("x"), F.col("sy").alias("y"))
+    dst = grid.select("mirrored", F.col("star").alias("dst"), F.col("sx").alias("u"), F.col("sy").alias("v"))
+    pairs = register.greedy_match(votes, keys).join(src, ["frame", "src"]).join(dst, ["mirrored", "dst"]).withColumn("ord", F.col("src"))
+    first = _counted(register.ransac(pairs, keys), pairs, keys)
+    order = F.struct("inliers", (~F.col("mirrored")).alias("plain"))
+    names = ["mirrored", "scale", "rotation", "tx", "ty", "inliers"]
+    best = first.groupBy("frame").agg(F.max_by(F.struct(*names), order).alias("b")).select("frame", "b.*").where(F.col("inliers") >= least)
+    # Every star against the whole grid, under the first solution.
+    u, v = register.transform(F.col("x"), F.col("y"))
+    moved = src.join(best, "frame").select("frame", "mirrored", F.col("src").alias("id"), "x", "y", u.alias("px"), v.alias("py"))
+    found = nearest(moved, dst.select("mirrored", F.col("dst").alias("other"), F.col("u").alias("ox"), F.col("v").alias("oy")), ["mirrored"], INLIER_PIXELS, keep=["frame"])
+    more = found.withColumnsRenamed({"id": "src", "other": "dst"}).join(src, ["frame", "src"]).join(dst, ["mirrored", "dst"]).withColumn("ord", F.col("src"))
+    again = _counted(register.ransac(more, keys, least), more, keys).select(*keys, *[F.col(c).alias(f"_{c}") for c in names[1:]])
+    better = F.coalesce(F.col("_inliers") > F.col("inliers"), F.lit(False))
+    won = best.join(again, keys, "left").select(*keys, *[F.when(better, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in names[1:]])
+    gx, gy = register.transform(F.lit(width / 2), F.lit(height / 2))
+    off = F.when(F.col("mirrored"), -(gx - width / 2)).otherwise(gx - width / 2)
+    ra_, dec_ = deproject(off / k, (height / 2 - gy) / k, ra, dec)
+    return won.select("frame", *names[1:], "mirrored", ra_.alias("center_ra"), dec_.alias("center_dec"), wrap_angle(F.degrees("rotation")).alias("rotation_degrees"))
+
+
+def _counted(fits: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """fits with the number of their pairs that lie within the inlier radius."""
+    u, v = register.transform(F.col("x"), F.col("y"))
+    met = pairs.join(fits, keys).where(F.hypot(u - F.col("u"), v - F.col("v")) < INLIER_PIXELS)
+    return fits.join(met.groupBy(*keys).agg(F.count("*").alias("inliers")), keys)

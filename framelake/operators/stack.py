@@ -102,6 +102,25 @@ def crop_rect(coverage: DataFrame, keys: list[str], share: float = 0.9, line_sha
     return rows.groupBy(*keys).agg(F.min("y").alias("y0"), F.max("y").alias("y1")).join(cols.groupBy(*keys).agg(F.min("x").alias("x0"), F.max("x").alias("x1")), keys)
 
 
+def guarded_crop(rect: DataFrame, width: int, height: int, least: int = 6) -> DataFrame:
+    """rect with cropped: whether it is a real crop that keeps at least six tenths of the frame; if not it becomes the full frame."""
+    area = (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)
+    full = (F.col("x0") == 0) & (F.col("y0") == 0) & (F.col("x1") == width - 1) & (F.col("y1") == height - 1)
+    out = rect.withColumn("cropped", ~full & (area >= width * height * least // 10))
+    whole = {"x0": 0, "y0": 0, "x1": width - 1, "y1": height - 1}
+    return out.withColumns({c: F.when(F.col("cropped"), F.col(c)).otherwise(F.lit(v)).cast("long") for c, v in whole.items()})
+
+
+def master(pixels: DataFrame, keys: list[str], width: int, height: int, weight: str | None = None) -> DataFrame:
+    """(keys, y, x, mean): the stack's weighted mean, cropped to its covered region unless that takes too much."""
+    mean = weighted_mean(pixels, [*keys, "y", "x"], weight=weight)
+    rect = guarded_crop(crop_rect(mean, keys), width, height)
+    whole = {"x0": 0, "y0": 0, "x1": width - 1, "y1": height - 1}
+    inside = mean.join(rect, keys, "left").withColumns({c: F.coalesce(c, F.lit(v)) for c, v in whole.items()})
+    inside = inside.where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
+    return inside.select(*keys, (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), "mean")
+
+
 def reseed_epochs(frames: DataFrame, session: str, order: list[str], failed: Column, after: int = RESEED_AFTER) -> DataFrame:
     """run: consecutive failures so far; epoch: reseeds before this frame. A run ends at a reseed."""
     w = Window.partitionBy(session).orderBy(*order)

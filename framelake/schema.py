@@ -22,7 +22,7 @@ FRAMES = struct(
 PIXEL_ROWS = struct("path string, c int, y int", T.StructField("row", T.ArrayType(T.FloatType())))
 SNAPSHOT = struct("index int, timestamp timestamp, source_file string, snapshot_file string, estimated_integration_seconds double, width int, height int, mean double, median double, stddev double")
 MANIFEST = struct(
-    "session_id string, target string, telescope string, camera string, filter string, sub_exposure_seconds double, location string, bortle int, notes string, started_at timestamp, ended_at timestamp,"
+    "session_id string, target string, telescope string, camera string, filter string, sub_exposure_seconds double, location string, bortle int, notes string, started_at timestamp, ended_at timestamp, mount string, master_expected boolean, stack_frame_count int,"
     " accepted_frames int, rejected_frames int, total_integration_seconds double, master_outcome string",
     T.StructField("snapshots", T.ArrayType(SNAPSHOT)),
 )

@@ -21,6 +21,8 @@ BLOCK, CARD = 2880, 80
 #: Big-endian sample types by BITPIX, and what scaled integers are divided by.
 SAMPLES = {8: ("u1", 255.0), 16: (">i2", 65535.0), 32: (">i4", 4294967295.0), -32: (">f4", 1.0), -64: (">f8", 1.0)}
 MOST_SIDE = 100_000
+#: Names of FITS files: .fit, .fits and .fts in any case, for Spark's listings and for plain names.
+FILES, _FILE_NAME = "*.{[fF][iI][tT],[fF][iI][tT][sS],[fF][tT][sS]}", re.compile(r".*\.(fit|fits|fts)$", re.I)
 _NUMBER = re.compile(r"[+-]?(\d+(\.\d*)?|\.\d+)([EeDd][+-]?\d+)?$")
 
 
@@ -108,8 +110,11 @@ def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
 
 
-def frames(spark: SparkSession, path: str, glob: str = "*.fi*ts*") -> DataFrame:
-    """One row a file with header and metadata columns; an unreadable file has its error instead."""
+def frames(spark: SparkSession, path: str, glob: str = FILES) -> DataFrame:
+    """One row a file with header and metadata columns; an unreadable file has its error instead.
+
+    Whole files are read; where all executors see the folder, FitsDataSource reads their heads alone.
+    """
 
     def run(batches):
         for pdf in batches:
@@ -125,7 +130,7 @@ def frames(spark: SparkSession, path: str, glob: str = "*.fi*ts*") -> DataFrame:
     return _files(spark, path, glob).mapInPandas(run, FRAMES)
 
 
-def pixel_rows(spark: SparkSession, path: str, glob: str = "*.fi*ts*", top_down: bool = True, clamp: bool = True) -> DataFrame:
+def pixel_rows(spark: SparkSession, path: str, glob: str = FILES, top_down: bool = True, clamp: bool = True) -> DataFrame:
     """(path, c, y, row): scanlines of the readable files, a file's rows yielded plane by plane."""
 
     def run(batches):
@@ -148,20 +153,27 @@ def pixels(rows: DataFrame) -> DataFrame:
     return rows.select("path", "c", "y", F.posexplode("row").alias("x", "v")).withColumn("v", F.col("v").cast("double"))
 
 
-def write_frames(rows: DataFrame, keys: list[str]) -> DataFrame:
+def write_frames(rows: DataFrame, keys: list[str], frames: str | None = None, exposure: str | None = None, cards: str | None = None) -> DataFrame:
     """(keys, content): one encoded file for each key of scanline rows; the caller stores the column.
 
-    A group is one image.
+    frames, exposure and cards name columns of rows with an image's STACKCNT, TOTALEXP and
+    further text cards (a map). A group is one image.
     """
+    extra = [c for c in (frames, exposure, cards) if c]
     from pyspark.sql import types as T
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["c", "y"])
         a = np.array(pdf["row"].tolist(), np.float32).reshape(pdf["c"].nunique(), pdf["y"].nunique(), -1)
-        return pd.DataFrame({**dict(zip(keys, ([k] for k in key))), "content": [encode(a)]})
+        return pd.DataFrame({**dict(zip(keys, ([k] for k in key))), "content": [encode(a, *(_card_values(pdf.iloc[0], frames, exposure, cards)))]})
 
     schema = T.StructType([*rows.select(*keys).schema.fields, T.StructField("content", T.BinaryType())])
-    return rows.select(*keys, "c", "y", "row").groupBy(*keys).applyInPandas(one, schema)
+    return rows.select(*keys, "c", "y", "row", *extra).groupBy(*keys).applyInPandas(one, schema)
+
+
+def _card_values(first: pd.Series, frames: str | None, exposure: str | None, cards: str | None) -> tuple[int, float, dict[str, str]]:
+    some = lambda name: first[name] if name and first[name] is not None and first[name] == first[name] else None
+    return int(some(frames) or 0), float(some(exposure) or 0), dict(some(cards) or {})
 
 
 def text_or_null(c: Column) -> Column:
@@ -200,7 +212,7 @@ class _Reader(DataSourceReader):
     def partitions(self):
         import glob
 
-        return [_Part(p) for p in sorted(glob.glob(f"{self.root}/**/*.fi*t*", recursive=True))]
+        return [_Part(p) for p in sorted(glob.glob(f"{self.root}/**/*", recursive=True)) if _FILE_NAME.match(p)]
 
     def read(self, partition):
         with open(partition.path, "rb") as f:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.operators.session import csv_field, markdown_cell, value_or_dash
+from framelake.operators.session import caption, csv_field, markdown_cell, value_or_dash
 from framelake.schema import MANIFEST
 
-CSV_COLUMNS = ("index", "timestamp", "source_file", "snapshot_file", "estimated_integration_seconds", "width", "height", "mean", "median", "stddev")
+CSV_COLUMNS = ("index", "timestamp", "source_file", "snapshot_file", "estimated_integration_seconds", "sub_exposure_seconds", "width", "height", "mean", "median", "stddev")
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
@@ -31,14 +31,43 @@ def snapshots(manifests: DataFrame) -> DataFrame:
     return manifests.select("session_id", "sub_exposure_seconds", F.explode("snapshots").alias("s")).select("session_id", "sub_exposure_seconds", "s.*")
 
 
-def frame_csv(snaps: DataFrame) -> DataFrame:
-    """(session_id, index, line)"""
-    cells = [csv_field(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in CSV_COLUMNS]
-    return snaps.select("session_id", "index", F.concat_ws(",", *cells).alias("line"))
+def iso(ts: Column) -> Column:
+    """UTC with milliseconds, in a session whose time zone is UTC."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def frame_csv(snaps: DataFrame, session: str = "session_id") -> DataFrame:
+    """(session, index, line): the column names at index 0 of each session, then its snapshots."""
+    text = lambda c: iso(F.col(c)) if c == "timestamp" else F.col(c).cast("string")
+    cells = [csv_field(F.coalesce(text(c), F.lit(""))) for c in CSV_COLUMNS]
+    lines = snaps.select(session, F.col("index").cast("long").alias("index"), F.concat_ws(",", *cells).alias("line"))
+    head = snaps.select(session).distinct().select(session, F.lit(0).cast("long").alias("index"), F.lit(",".join(CSV_COLUMNS)).alias("line"))
+    return head.unionByName(lines)
 
 
 def summary_markdown(manifests: DataFrame) -> DataFrame:
-    """(session_id, markdown): a title and a two-column table."""
-    rows = [("Target", "target"), ("Telescope", "telescope"), ("Camera", "camera"), ("Filter", "filter"), ("Location", "location"), ("Accepted", "accepted_frames"), ("Rejected", "rejected_frames"), ("Integration (s)", "total_integration_seconds"), ("Master", "master_outcome")]
-    lines = [F.concat(F.lit(f"| {name} | "), markdown_cell(value_or_dash(F.col(c).cast("string"))), F.lit(" |")) for name, c in rows]
-    return manifests.select("session_id", F.concat_ws("\n", F.concat(F.lit("# "), "session_id"), F.lit(""), F.lit("| | |"), F.lit("|---|---|"), *lines).alias("markdown"))
+    """(session_id, markdown): the session, its equipment and its final stack, and the files to look at."""
+    text = lambda c: F.col(c).cast("string")
+    or_unknown = lambda c: F.coalesce(c, F.lit("unknown"))
+    sub = F.col("sub_exposure_seconds")
+    seconds = F.concat(F.when(sub % 1 == 0, sub.cast("long").cast("string")).otherwise(sub.cast("string")), F.lit("s"))
+    known, shots = F.col("stack_frame_count").isNotNull(), F.coalesce(F.size("snapshots"), F.lit(0))
+    stack = F.col("stack_frame_count")
+    # Fixed texts: sections and field names of the document.
+    sections = {
+        "Session": [("Session id", text("session_id")), ("Target", value_or_dash(F.col("target"))), ("Started", value_or_dash(iso(F.col("started_at")))), ("Ended", value_or_dash(iso(F.col("ended_at")))), ("Sub exposure", value_or_dash(seconds)), ("Snapshots", F.greatest(shots, F.lit(0)).cast("string"))],
+        "Equipment and site": [("Telescope", value_or_dash(F.col("telescope"))), ("Camera", value_or_dash(F.col("camera"))), ("Mount", value_or_dash(F.col("mount"))), ("Filter", value_or_dash(F.col("filter"))), ("Location", value_or_dash(F.col("location"))), ("Bortle", value_or_dash(text("bortle"))), ("Notes", F.when(F.trim("notes") != "", F.col("notes")))],
+        "Final stack": [
+            ("Master expected", or_unknown(F.when(F.col("master_expected"), "yes").when(~F.col("master_expected"), "no"))), ("Master outcome", or_unknown(F.col("master_outcome"))),
+            ("Current-stack frames", or_unknown(stack.cast("string"))), ("Current-stack integration", F.when(known, caption(stack * sub, stack, sub))),
+            ("Session accepted", F.coalesce(text("accepted_frames"), F.greatest(shots, F.lit(0)).cast("string"))), ("Session rejected", or_unknown(text("rejected_frames"))),
+        ],
+    }
+    files = ["- `session-summary.md` — this human-readable summary", "- `manifest.json` — machine-readable session record", "- `master.fit` — final native-stack master when written", "- `replay.mp4` — session replay when enabled", "- `latest.png` — latest preview image"]
+    lines = [F.lit("# Session Summary"), F.lit("")]
+    for title, rows in sections.items():
+        lines += [F.lit(f"## {title}"), F.lit(""), F.lit("| Field | Value |"), F.lit("| --- | --- |")]
+        # A row without a value is left out.
+        lines += [F.concat(F.lit(f"| {name} | "), markdown_cell(v), F.lit(" |")) for name, v in rows] + [F.lit("")]
+    lines += [F.lit("## Files to inspect"), F.lit(""), *map(F.lit, files), F.lit("")]
+    return manifests.select("session_id", F.array_join(F.filter(F.array(*lines), lambda x: x.isNotNull()), "\n").alias("markdown"))

@@ -199,8 +199,31 @@ def test_plate_solve(spark):
     seen = c.select((500 + xi * k * 0.999 + 3).alias("sx"), (500 - eta * k * 0.999 - 2).alias("sy"), sky.magnitude_flux(F.col("mag")).alias("flux")).toPandas().sort_values("flux", ascending=False)
     stars = spark.createDataFrame([(1, i, *map(float, r)) for i, r in enumerate(seen.to_numpy())], "frame int, star long, sx double, sy double, flux double")
     got = sky.plate_solve(stars, c, 10.0, 20.0, 1000, 1000, 4.0, most=14).collect()
-    assert [(r.frame, r.parity) for r in got] == [(1, 1)]
-    assert abs(got[0].scale - 1 / 0.999) < 1e-3
+    assert [(r.frame, r.mirrored) for r in got] == [(1, False)]
+    assert abs(got[0].scale - 1 / 0.999) < 1e-3 and got[0].inliers == 25  # more than the 14 that made triangles
+    # The frame's centre lies 3 pixels left of and 2 above the field's, at 4 seconds a pixel.
+    assert abs((got[0].center_ra - 10) * math.cos(math.radians(20)) * 900 + 3) < 0.1 and abs((got[0].center_dec - 20) * 900 + 2) < 0.1
+
+
+def test_plate_solve_of_turned_mirrored_and_crowded_frames(spark):
+    rng = np.random.default_rng(9)
+    cat = [(10 + float(u) / math.cos(math.radians(20)), 20 + float(v), float(m)) for u, v, m in zip(rng.uniform(-0.4, 0.4, 40), rng.uniform(-0.4, 0.4, 40), rng.uniform(6, 9, 40))]
+    # Bright stars that no turn of the frame can show.
+    cat += [(10 + 0.9 * math.cos(t) / math.cos(math.radians(20)), 20 + 0.9 * math.sin(t), 1.0) for t in np.linspace(0, 6, 30)]
+    c = spark.createDataFrame(cat, "ra double, dec double, mag double")
+    xi, eta = sky.project(F.col("ra"), F.col("dec"), 10.0, 20.0)
+    k = 3600 * math.degrees(1) / 4.0
+    grid = c.where("mag > 2").select((xi * k).alias("x"), (-eta * k).alias("y"), sky.magnitude_flux(F.col("mag")).alias("flux")).toPandas()
+    rows, turn = [], math.radians(30)
+    for frame, flip in ((1, 1), (2, -1)):
+        # Fitted is frame to grid: the frame shows the grid turned back by 30 degrees.
+        x, y = flip * grid["x"], grid["y"]
+        sx, sy = 500 + math.cos(turn) * x + math.sin(turn) * y, 500 - math.sin(turn) * x + math.cos(turn) * y
+        order = rng.permutation(len(grid))  # not by brightness
+        rows += [(frame, i, float(sx[j]), float(sy[j]), float(grid["flux"][j])) for i, j in enumerate(order)]
+    got = {r.frame: r for r in sky.plate_solve(spark.createDataFrame(rows, "frame int, star long, sx double, sy double, flux double"), c, 10.0, 20.0, 1000, 1000, 4.0, most=14).collect()}
+    assert {f: r.mirrored for f, r in got.items()} == {1: False, 2: True}
+    assert all(abs(r.rotation_degrees - 30) < 0.05 and r.inliers == 40 and abs(r.center_ra - 10) < 1e-3 and abs(r.center_dec - 20) < 1e-3 for r in got.values())
 
 
 def test_session_texts(spark):

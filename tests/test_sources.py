@@ -46,6 +46,9 @@ def test_round_trip_and_scaling(spark, tmp_path):
     assert [round(r.v * 65535) for r in got] == [2 * 8192, 3 * 8192, 0, 8192]
     again = fits.write_frames(rows.where("path like '%a.fits'"), ["path"]).first().content
     assert np.array_equal(fits.decode(bytes(again))[1], ramp)
+    told = rows.where("path like '%a.fits'").withColumns({"n": F.lit(3), "e": F.lit(60.0), "more": F.create_map(F.lit("OBJECT"), F.lit("it's M31"))})
+    cards = fits.read_header(bytes(fits.write_frames(told, ["path"], "n", "e", "more").first().content))["cards"]
+    assert (cards["STACKCNT"], cards["TOTALEXP"], cards["OBJECT"]) == ("3", "60", "it's M31")
     meta = fits.frames(spark, str(tmp_path)).where("error is null").select("path", fits.metadata(F.col("header")).alias("m"), fits.observed_at(fits.metadata(F.col("header"))["date_obs"], F.col("mtime")).alias("t"))
     m = {r.path.rsplit("/", 1)[1]: r for r in meta.collect()}
     assert m["a.fits"].m.object == "M31" and m["a.fits"].t == datetime.datetime(2024, 1, 2, 3, 4, 5, 500000)
@@ -56,6 +59,16 @@ def test_round_trip_and_scaling(spark, tmp_path):
         fits.decode(low[:-3])
 
 
+def test_every_extension_in_either_case(spark, tmp_path):
+    data = fits.encode(np.zeros((1, 2, 2), np.float32))
+    names = [f"{i}.{e}" for i, e in enumerate(("fit", "fits", "fts", "FIT", "FITS", "Fts"))]
+    for n in [*names, "x.txt", "y.fitsx", "z.png"]:
+        (tmp_path / n).write_bytes(data)
+    listed = lambda df: sorted(r.path.rsplit("/", 1)[1] for r in df.select("path").distinct().collect())
+    spark.dataSource.register(fits.FitsDataSource)
+    assert listed(fits.frames(spark, str(tmp_path))) == listed(fits.pixel_rows(spark, str(tmp_path))) == listed(spark.read.format("fits").load(str(tmp_path))) == sorted(names)
+
+
 def test_star_catalog(spark, tmp_path):
     stars = np.array([[10.0, 5.0, 7.0], [20.0, -5.0, 8.0]])
     (tmp_path / "cat.bin").write_bytes(star_catalog.encode(stars))
@@ -71,8 +84,13 @@ def test_session_documents(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"session_id": "s", "target": "M|31", "sub_exposure_seconds": 20, "snapshots": [{"index": 1, "source_file": "a,b.fit", "mean": 0.5}]}')
     m = session_files.read_manifests(spark, str(tmp_path / "m.json"))
     assert m.first().master_outcome is None
-    assert session_files.frame_csv(session_files.snapshots(m)).first().line == '1,,"a,b.fit",,,,,0.5,,'
-    assert "| Target | M\\|31 |" in session_files.summary_markdown(m).first().markdown
+    lines = {r["index"]: r.line for r in session_files.frame_csv(session_files.snapshots(m)).collect()}
+    assert lines == {0: ",".join(session_files.CSV_COLUMNS), 1: '1,,"a,b.fit",,,20.0,,,0.5,,'} and len(session_files.CSV_COLUMNS) == 11
+    text = session_files.summary_markdown(m.withColumns({"stack_frame_count": F.lit(6), "started_at": F.lit("2024-01-02 03:04:05.25").cast("timestamp")})).first().markdown
+    assert [x for x in text.split("\n") if x.startswith("#")] == ["# Session Summary", "## Session", "## Equipment and site", "## Final stack", "## Files to inspect"]
+    for line in ("| Target | M\\|31 |", "| Started | 2024-01-02T03:04:05.250Z |", "| Ended | — |", "| Mount | — |", "| Current-stack integration | 2m · 6 × 20s |", "| Master expected | unknown |", "| Session accepted | 1 |"):
+        assert line in text
+    assert "Notes" not in text and text.endswith("\n")
     session_files.write_manifests(m, str(tmp_path / "out"))
     assert session_files.read_manifests(spark, str(tmp_path / "out")).first().target == "M|31"
     assert '"session_id"' in session_files.manifest_json(m).first().json
