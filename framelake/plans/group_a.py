@@ -91,7 +91,7 @@ SELECT frame, round(CASE WHEN count(q) < 5 THEN 1.0 ELSE least(greatest(median(q
 def scale_factor(spark, d):
     st = s.stars(spark, d)
     first = s.table(spark, d, "embeddings").groupBy("label").agg(F.min("vec_id").alias("frame")).select("frame")
-    ref = st.join(F.broadcast(first), "frame", "left_semi").select("session", "star", F.col("flux").alias("ref_flux"))
+    ref = st.join(first, "frame", "left_semi").select("session", "star", F.col("flux").alias("ref_flux"))
     pairs = st.join(ref, ["session", "star"]).where(F.col("star") < 4 + F.col("frame") % 16)
     return stack.scale_factor(pairs, ["frame"]).withColumn("scale", F.round("scale", 6))
 

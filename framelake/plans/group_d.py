@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framelake.operators import background, filters, register, replay, sky
-from framelake.plans.registry import PX, STARS, query
+from framelake.operators import background, filters, planes, register, replay, sky
+from framelake.plans.registry import PX, SQL, STARS, query
 from framelake.sources import surrogates as s
 
 _REF = "ref AS (SELECT session, star AS dst, sx AS u, sy AS v, flux AS ref_flux FROM stars WHERE frame IN (SELECT min(vec_id) FROM embeddings GROUP BY label))"
@@ -13,7 +13,7 @@ _REF = "ref AS (SELECT session, star AS dst, sx AS u, sy AS v, flux AS ref_flux
 
 def _reference(spark, d, stars):
     first = s.table(spark, d, "embeddings").groupBy("label").agg(F.min("vec_id").alias("frame")).select("frame")
-    return stars.join(F.broadcast(first), "frame", "left_semi")
+    return stars.join(first, "frame", "left_semi")
 
 
 _BAYER = ", ".join(f"({i}, {r})" for i, r in enumerate(register.bayer_rank(8)))
@@ -86,6 +86,11 @@ def transform_lift(spark, d):
     return f.select("frame", F.round(F.col("tx") + 1e-10, 6).alias("tx"), F.round(F.col("ty") + 1e-10, 6).alias("ty"))
 
 
+def _transform():
+    f = F.col("frame")
+    return {"scale": F.lit(1.0) + (f % 5) * F.lit(0.01), "rotation": (f % 7) * F.lit(0.02), "tx": (f % 3) * F.lit(0.4), "ty": (f % 4) * F.lit(0.3)}
+
+
 @query(f"""WITH {PX}, t AS (SELECT frame, 1.0::DOUBLE + (frame % 5) * 0.01 AS s, (frame % 7) * 0.02::DOUBLE AS r, (frame % 3) * 0.4::DOUBLE AS tx, (frame % 4) * 0.3::DOUBLE AS ty FROM px GROUP BY frame),
 i AS (SELECT frame, cos(r) / s AS c, sin(r) / s AS n, tx, ty FROM t),
 g AS (SELECT frame, y, x, c * (x - tx) + n * (y - ty) AS sx, -n * (x - tx) + c * (y - ty) AS sy FROM i, range(8) a(y), range(8) b(x)),
@@ -94,8 +99,13 @@ SELECT k.frame, k.y, k.x, round(CASE WHEN inside THEN (1 - (sx - x0)) * (1 - (sy
 FROM k LEFT JOIN px a ON a.frame = k.frame AND a.y = y0 AND a.x = x0 LEFT JOIN px b ON b.frame = k.frame AND b.y = y0 AND b.x = least(x0 + 1, 7)
 LEFT JOIN px c ON c.frame = k.frame AND c.y = least(y0 + 1, 7) AND c.x = x0 LEFT JOIN px e ON e.frame = k.frame AND e.y = least(y0 + 1, 7) AND e.x = least(x0 + 1, 7)""")
 def warp_bilinear(spark, d):
-    f = F.col("frame")
-    t = s.table(spark, d, "embeddings").select(F.col("vec_id").alias("frame")).withColumns({"scale": F.lit(1.0) + (f % 5) * F.lit(0.01), "rotation": (f % 7) * F.lit(0.02), "tx": (f % 3) * F.lit(0.4), "ty": (f % 4) * F.lit(0.3)})
+    out = planes.long_view(planes.warp_bilinear(s.planes(spark, d).withColumns(_transform())), ["frame"], ["v", "m"])
+    return out.withColumn("v", F.round("v", 6))
+
+
+@query(SQL["warp_bilinear"])
+def warp_bilinear_long(spark, d):
+    t = s.table(spark, d, "embeddings").select(F.col("vec_id").alias("frame")).withColumns(_transform())
     out = register.warp_bilinear(s.px(spark, d), t, ["frame"], 8, 8)
     return out.select("frame", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.round("v", 6).alias("v"), "m")
 
@@ -194,6 +204,12 @@ bl AS (SELECT frame, y, x, sum(k * v) FILTER (c = 0) / sum(k) FILTER (c = 0) AS
 
 @query(f"WITH {PX}, {_BILINEAR} SELECT frame, y, x, round(coalesce(r, 0), 6) AS r, round(coalesce(g, 0), 6) AS g, round(coalesce(b, 0), 6) AS b FROM bl")
 def debayer_bilinear(spark, d):
+    out = planes.long_view(planes.debayer_bilinear(s.planes(spark, d), "RGGB"), ["frame"], ["r", "g", "b"])
+    return out.withColumns({c: F.round(c, 6) for c in "rgb"})
+
+
+@query(SQL["debayer_bilinear"])
+def debayer_bilinear_long(spark, d):
     out = filters.debayer_bilinear(s.px(spark, d), ["frame"], "RGGB", 8, 8)
     return out.withColumns({c: F.round(c, 6) for c in "rgb"})
 
@@ -209,6 +225,12 @@ SELECT frame, y, x, round(CASE WHEN pg IS NULL THEN coalesce(r, 0) WHEN h = 0 TH
 round(CASE WHEN pg IS NULL THEN coalesce(g, 0) WHEN h = 1 THEN v ELSE pg END, 6) AS g,
 round(CASE WHEN pg IS NULL THEN coalesce(b, 0) WHEN h = 2 THEN v WHEN h = 1 THEN CASE WHEN hb = 2 THEN rw ELSE cl END ELSE dg END, 6) AS b FROM z""")
 def debayer_malvar(spark, d):
+    out = planes.long_view(planes.debayer_malvar(s.planes(spark, d), "RGGB", min_rows=8), ["frame"], ["r", "g", "b"])
+    return out.withColumns({c: F.round(c, 6) for c in "rgb"})
+
+
+@query(SQL["debayer_malvar"])
+def debayer_malvar_long(spark, d):
     out = filters.debayer_malvar(s.px(spark, d), ["frame"], "RGGB", 8, 8, min_rows=8)
     return out.withColumns({c: F.round(c, 6) for c in "rgb"})
 

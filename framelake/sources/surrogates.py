@@ -18,6 +18,12 @@ def px(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("m", F.when((F.col("frame") * 7 + F.col("y") + F.col("x")) % 11 == 0, 0).otherwise(1))
 
 
+def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(frame, width, height, pixels): the frames of px, one a row."""
+    v = F.transform("embedding", lambda e: e.cast("double") + 0.5)
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.lit(8).alias("width"), F.lit(8).alias("height"), v.alias("pixels"))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(frame, session, stars, sigma)"""
     f = px(spark, sf_dir).groupBy("frame", "session").agg(F.stddev_pop("v").alias("sigma"))

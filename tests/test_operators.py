@@ -259,3 +259,22 @@ def test_directory_footprint(spark, tmp_path):
     for name, size in (("a.fit", 10), ("deep/b.fit", 20), ("deep/c.txt", 5)):
         (tmp_path / name).write_bytes(b"x" * size)
     assert tuple(folder.directory_footprint(spark, str(tmp_path)).first()) == (3, 35)
+
+
+def test_planes_need_no_shuffle_and_equal_the_long_forms(spark):
+    from framelake.operators import planes
+
+    rng = np.random.default_rng(4)
+    images = [(k, 9, 7, [float(v) for v in rng.random(63)], 1.02, 0.1 * k, 0.4, -0.3) for k in range(3)]
+    df = spark.createDataFrame(images, "frame int, width int, height int, pixels array<double>, scale double, rotation double, tx double, ty double")
+    long = planes.long_view(df, ["frame"], ["pixels"]).withColumnRenamed("pixels", "v")
+    rows = lambda d, c: {(r.frame, r.y, r.x): tuple(round(r[k], 9) for k in c) for r in d.collect()}
+    cases = [(planes.debayer_bilinear(df, "GRBG"), filters.debayer_bilinear(long, ["frame"], "GRBG", 9, 7), ["r", "g", "b"]), (planes.debayer_malvar(df, "GBRG", 5), filters.debayer_malvar(long, ["frame"], "GBRG", 9, 7, 5), ["r", "g", "b"]),
+             (planes.warp_bilinear(df), register.warp_bilinear(long, df.select("frame", "scale", "rotation", "tx", "ty"), ["frame"], 9, 7), ["v", "m"])]
+    for ours, theirs, columns in cases:
+        seen = planes.long_view(ours, ["frame"], columns)
+        assert "Exchange" not in seen._jdf.queryExecution().executedPlan().toString()
+        assert rows(seen, columns) == rows(theirs, columns)
+    none = df.withColumn("pixels", F.when(F.col("frame") > 0, F.col("pixels")))
+    assert [r.r is None for r in planes.debayer_bilinear(none, "RGGB").orderBy("frame").collect()] == [True, False, False]
+    assert planes.debayer_malvar(df.limit(0), "RGGB").count() == 0
