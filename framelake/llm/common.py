@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,6 +71,15 @@ def forget(spark: SparkSession, *paths: str) -> None:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What stored() writes inside is deleted at the end: for work whose result is written by then."""
+    before = set(_STORED)
+    yield
+    if new := _STORED - before:
+        forget(spark, *new)
+
+
 def beside(docs: DataFrame, added: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """work(docs), where columns of docs named like those it adds are out of its way.
 

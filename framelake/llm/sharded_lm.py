@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS_AT_ONCE, stored
+from .common import ROWS_AT_ONCE, forget, stored
 
 ORDER = 5
 #: Stands before a text; no code point.
@@ -138,9 +138,10 @@ def _discounts(level: DataFrame) -> list[float]:
 
 def model(counts: DataFrame) -> DataFrame:
     """(gram, p): P(last unit | those before) of every n-gram of counts, seen in training or not."""
-    level, parts = counts, []
+    level, parts, levels = counts, [], []
     for k in range(ORDER, 0, -1):
         level = stored(level, f"lm-{k}")
+        levels.append(level.stored_at)
         d = _discounts(level)
         cut = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
         grams = level.select("gram", "n", cut.alias("cut"), F.substring("gram", 1, _WIDTH * (k - 1)).alias("hist"), F.substring("gram", _WIDTH + 1, _WIDTH * (k - 1)).alias("rest"))
@@ -155,7 +156,9 @@ def model(counts: DataFrame) -> DataFrame:
         lower = p.select(F.col("gram").alias("rest"), F.col("p").alias("lower"))
         own = F.coalesce((F.col("n") - F.col("cut")) / F.col("total"), F.lit(0.0))
         p = grams.join(hist, "hist", "left").join(lower, "rest").select("gram", (own + F.coalesce(F.col("left") / F.col("total"), F.lit(1.0)) * F.col("lower")).alias("p"))
-    return stored(p, "lm")
+    p = stored(p, "lm")
+    forget(p.sparkSession, *levels)
+    return p
 
 
 def pieces(docs: DataFrame, columns: list[str]) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, map_rows, stored
+from .common import LOWER, forget, map_rows, stored
 
 SHINGLE, SEED, RADIUS, BITS = 4, 42, 4, 64
 #: Fingerprints a route should get, about; more fingerprints mean more routes.
@@ -197,14 +197,15 @@ def components(edges: DataFrame) -> DataFrame:
     own labels, so long chains halve. Aggregates are partial before each shuffle.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "simhash-edges")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("fp"), F.least("a", "m").alias("root")), "simhash-labels")
+    found = labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("fp"), F.least("a", "m").alias("root")), "simhash-labels")
     while True:
         near = both.join(labels.withColumnRenamed("fp", "b"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("root").alias("near"))
         best = labels.join(near, "fp").select("fp", F.least("root", "near").alias("best"), "root")
         jump = labels.select(F.col("fp").alias("best"), F.col("root").alias("jump"))
         new = best.join(jump, "best").select("fp", F.least("best", "jump").alias("root"), (F.least("best", "jump") != F.col("root")).alias("moved"))
         new = stored(new, "simhash-labels")
-        labels = new.select("fp", "root")
+        forget(new.sparkSession, found.stored_at)  # the round before is read no more
+        found, labels = new, new.select("fp", "root")
         if not new.where("moved").limit(1).count():
             return labels
 

@@ -595,6 +595,20 @@ def test_pipeline_stages(spark, docs, odd):
     assert corpus_pipeline.run(spark, DATA).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def test_stored_tables_are_deleted_once_results_are_written(spark, tmp_path):
+    from pathlib import Path
+
+    from framelake.llm import common
+
+    kept = common.stored(spark.range(3), "kept")
+    with common.scratch(spark):
+        gone = common.stored(spark.range(5), "gone")
+        gone.write.parquet(str(tmp_path / "out"))
+    assert Path(kept.stored_at).exists() and not Path(gone.stored_at).exists() and spark.read.parquet(str(tmp_path / "out")).count() == 5
+    common.forget(spark, kept.stored_at)
+    assert not Path(kept.stored_at).exists()
+
+
 def test_columns_that_clash_stay(odd):
     out = toxicity.score(odd, toxicity.Model())
     assert out.columns == [*odd.columns, "_score", "predicted"] and out.where("score != 'clash' or _score != 0").count() == 0
