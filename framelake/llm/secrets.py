@@ -112,7 +112,7 @@ def battery(x: np.ndarray, size: int) -> float:
         var = max(1e-9, (mean - 1) * (mean - 2) / (n - 1))
         p_runs = _normal_tail((runs - mean) / math.sqrt(var))
     else:
-        p_runs = 2.0 ** (1 - n)
+        p_runs = max(1e-300, 2.0 ** (1 - n))
     c = x - x.mean()
     total = float((c * c).sum())
     p_serial = _normal_tail((float((c[1:] * c[:-1]).sum()) / total + 1 / n) * math.sqrt(n)) if total else 1e-300

@@ -98,6 +98,11 @@ def test_secrets_of_one_class_and_between_separators_reach_the_battery(spark):
     assert [secrets.alphabet_of(x) for x in ("onlyletters", "ab-cd", "1234", "ABcd12+/-")] == ["lower", "separated", "digits", "separated"]
 
 
+def test_secret_battery_takes_runs_of_any_length():
+    for x in (np.zeros(5000, int), np.full(200_000, 25), np.arange(3000) % 2 * 25):
+        assert secrets.battery(x, 26) > 1000
+
+
 def test_html_wrappers_and_unclosed_boilerplate():
     w = html_text.learn_weights()
     text = "<h1>Head line</h1><p>" + "many words of the article " * 12 + "</p>"
