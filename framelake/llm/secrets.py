@@ -129,12 +129,13 @@ def _bin(stat: float) -> int:
 
 #: Repeated texts' hashes (8 bytes each) that are broadcast; more are joined by shuffle.
 MAX_BROADCAST_HASHES = 4_000_000
-_DIGIT_RUN = re.compile(rb"(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}")
+#: Whole runs, so that each is looked at once however long it is.
+_RUN, _DIGIT = re.compile(rb"[A-Za-z0-9+/_-]{16,}+"), re.compile(rb"[0-9]")
 
 
 def _letters(raw: bytes) -> np.ndarray:
     """The letters of the text's ordinary runs, as ranks 0-25."""
-    part = np.frombuffer(_DIGIT_RUN.sub(b"", raw).translate(LOWER), np.uint8)
+    part = np.frombuffer(_RUN.sub(lambda m: b"" if _DIGIT.search(m[0]) else m[0], raw).translate(LOWER), np.uint8)
     return part[(part >= 97) & (part <= 122)] - np.uint8(97)
 
 

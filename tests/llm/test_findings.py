@@ -103,6 +103,14 @@ def test_secret_battery_takes_runs_of_any_length():
         assert secrets.battery(x, 26) > 1000
 
 
+def test_ordinary_letters_of_a_very_long_run_take_linear_time():
+    import time
+
+    began = time.process_time()
+    assert len(secrets._letters(b"x" * 2_000_000)) == 2_000_000 and len(secrets._letters(b"x" * 2_000_000 + b"1 abc")) == 3
+    assert time.process_time() - began < 2
+
+
 def test_html_wrappers_and_unclosed_boilerplate():
     w = html_text.learn_weights()
     text = "<h1>Head line</h1><p>" + "many words of the article " * 12 + "</p>"
