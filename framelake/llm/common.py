@@ -47,6 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: A key with over one part in so many of all rows is hot, so fewer keys than this are.
+HOT_PARTS = 10_000
 #: Folders written by stored() and not deleted yet.
 _STORED: set[str] = set()
 
@@ -71,6 +73,24 @@ def forget(spark: SparkSession, *paths: str) -> None:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def join_one(rows: DataFrame, one: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
+    """rows joined with one(key, ...), which has one row a key, so that no task gets all rows of a hot key.
+
+    Hot keys, of which there are fewer than HOT_PARTS in tables of any size, meet their row
+    by broadcast; all others by shuffle. Null keys join nothing. counts(key, n) says how
+    often each key comes, where that is known already. Both tables should be stored ones.
+    """
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col(key).isNotNull() & (F.col("n") * HOT_PARTS > total)).select(key).toArrow()
+    if not found.num_rows:
+        return rows.join(one, key)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found))
+    often = rows.join(F.broadcast(one.join(hot, key)), key)
+    return often.unionByName(rows.join(hot, key, "left_anti").join(one, key))
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What stored() writes inside is deleted at the end: for work whose result is written by then."""

@@ -12,6 +12,9 @@ verified again before it counts. Three things keep this small:
   of its own. A hot group of near copies spreads over all its routes;
 * a task emits a spanning forest of the links it found, not the pairs of a bucket.
 
+Fingerprints that hold a large share of all rows get their component by broadcast of
+those few fingerprints, so their rows stay where they are.
+
 Components are then found over distinct fingerprints by label propagation with pointer
 jumping, each round written to the shared folder.
 
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, forget, map_rows, stored
+from .common import LOWER, forget, join_one, map_rows, stored
 
 SHINGLE, SEED, RADIUS, BITS = 4, 42, 4, 64
 #: Fingerprints a route should get, about; more fingerprints mean more routes.
@@ -194,17 +197,19 @@ def components(edges: DataFrame) -> DataFrame:
     """(fp, root) for every end of edges(a, b), by rounds of label propagation.
 
     A round takes the least label next to each node and then follows labels to their
-    own labels, so long chains halve. Aggregates are partial before each shuffle.
+    own labels, so long chains halve. Aggregates are partial before each shuffle, and a
+    node with very many links, or a label of very many nodes, is met by broadcast.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "simhash-edges")
+    degrees = stored(both.groupBy("b").agg(F.count("*").alias("n")), "simhash-degrees")
     found = labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("fp"), F.least("a", "m").alias("root")), "simhash-labels")
     while True:
-        near = both.join(labels.withColumnRenamed("fp", "b"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("root").alias("near"))
-        best = labels.join(near, "fp").select("fp", F.least("root", "near").alias("best"), "root")
+        near = join_one(both, labels.withColumnRenamed("fp", "b"), "b", degrees).groupBy(F.col("a").alias("fp")).agg(F.min("root").alias("near"))
+        best = stored(labels.join(near, "fp").select("fp", F.least("root", "near").alias("best"), "root"), "simhash-best")
         jump = labels.select(F.col("fp").alias("best"), F.col("root").alias("jump"))
-        new = best.join(jump, "best").select("fp", F.least("best", "jump").alias("root"), (F.least("best", "jump") != F.col("root")).alias("moved"))
+        new = join_one(best, jump, "best").select("fp", F.least("best", "jump").alias("root"), (F.least("best", "jump") != F.col("root")).alias("moved"))
         new = stored(new, "simhash-labels")
-        forget(new.sparkSession, found.stored_at)  # the round before is read no more
+        forget(new.sparkSession, found.stored_at, best.stored_at)  # the round before is read no more
         found, labels = new, new.select("fp", "root")
         if not new.where("moved").limit(1).count():
             return labels
@@ -213,14 +218,15 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, h, fp, root, component_id) for every row of docs; root names the component even without ids."""
     rows = stored(fingerprints(docs), "simhash-fps")
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-distinct")
+    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")), "simhash-distinct")
     labels = components(stored(links(distinct), "simhash-links"))
     # The fingerprints that have links are a small part; the others are their own class.
-    rooted = distinct.join(labels, "fp")
+    rooted = stored(distinct.join(labels, "fp"), "simhash-rooted")
     ids = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    linked = rooted.join(ids, "root").select("fp", "root", "component_id")
+    linked = join_one(rooted, ids, "root").select("fp", "root", "component_id")
     alone = distinct.join(labels, "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("first_doc").alias("component_id"))
-    return rows.join(linked.unionByName(alone), "fp").select("doc_id", "h", "fp", "root", "component_id")
+    classes = stored(linked.unionByName(alone), "simhash-classes")
+    return join_one(rows, classes, "fp", distinct.select("fp", "n")).select("doc_id", "h", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

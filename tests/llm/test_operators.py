@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from framelake.llm import decontaminate, html_text, line_dedup, packing, pii, quality_lm, quality_rules, queries, secrets, simhash, toxicity
+from framelake.llm import common, decontaminate, html_text, line_dedup, packing, pii, quality_lm, quality_rules, queries, secrets, simhash, toxicity
 
 from ..compare import assert_same
 from ..conftest import DATA
@@ -288,6 +288,20 @@ def test_simhash_edges(spark, odd, none):
     assert len(got) == 1 and simhash.digest(odd).count() == len(ODD)
 
 
+@pytest.mark.parametrize("parts", [2, 10, 10_000])
+def test_hot_fingerprints_and_hubs(spark, monkeypatch, parts):
+    """A third of all rows are copies and a star has many arms: the same result wherever the bound on hot keys is."""
+    monkeypatch.setattr(common, "HOT_PARTS", parts)
+    rows = [(k, "the same words in every copy of it") for k in range(60)] + [(100 + k, f"text {k} of {k * k} other words {k % 7}") for k in range(100)] + [(None, "")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = [brute_simhash(t) for _, t in rows]
+    want = Counter((i, f"{f:016x}", rows[r][0]) for (i, _), f, r in zip(rows, fps, brute_components(fps)))
+    assert Counter(map(tuple, simhash.digest(df).collect())) == want
+    star = spark.createDataFrame([(1000 + k, 5) if k % 2 else (5, 1000 + k) for k in range(200)] + [(k, k + 1) for k in range(20, 40)], "a long, b long")
+    got = {r.fp: r.root for r in simhash.components(star).collect()}
+    assert got == dict.fromkeys([5, *range(1000, 1200)], 5) | dict.fromkeys(range(20, 41), 20)
+
+
 def test_one_of_each_without_ids_and_with_repeated_ids(spark, none):
     a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "red green blue cyan pink grey")
     rows = [(None, a), (None, a), (None, b), (7, c), (7, c), (7, b + " more words than these"), (9, c)]
