@@ -91,6 +91,24 @@ def idle_episodes(frames: DataFrame, session: str, ts: str, minutes: float) -> D
     return df.where(F.col("_n") - F.col("_s") >= minutes * 60).select(session, F.col(ts).alias("idle_from"), (F.col("_n") - F.col("_s")).alias("idle_seconds"))
 
 
+def completion(looks: DataFrame, session: str, order: list[str], accepted: Column, deadline: Column, minutes: float) -> DataFrame:
+    """action of each look at a session (rows in ``order``, time first): end_session, safeguard or null.
+
+    The first look at or after the deadline ends the session. A look at least so many
+    minutes after the last accepted frame fires the safeguard, once for each such frame;
+    a look that ends the session fires nothing else, so the safeguard waits for the next.
+    """
+    past = Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    now = F.col(order[0])
+    df = looks.withColumns({"_last": F.last(F.when(accepted, now), ignorenulls=True).over(past), "_due": F.coalesce(now >= deadline, F.lit(False))})
+    df = df.withColumn("_ends", F.col("_due") & (F.sum(F.col("_due").cast("int")).over(past) == 1))
+    seconds = (F.unix_micros(F.to_timestamp(now)) - F.unix_micros(F.to_timestamp("_last"))) / 1e6
+    df = df.withColumn("_idle", F.coalesce((seconds >= minutes * 60) & ~F.col("_ends"), F.lit(False)))
+    episode = Window.partitionBy(session, "_last").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    fires = F.col("_idle") & (F.sum(F.col("_idle").cast("int")).over(episode) == 1)
+    return df.withColumn("action", F.when(F.col("_ends"), "end_session").when(fires, "safeguard")).drop("_last", "_due", "_ends", "_idle")
+
+
 def master_outcome(frames: DataFrame, session: str) -> DataFrame:
     """no_frames, written or awaiting_seed from acceptances in the last epoch. frames: accepted, epoch."""
     last = F.max("epoch").over(Window.partitionBy(session))

@@ -60,15 +60,17 @@ def admission(frames: DataFrame, session: str = "session", order: str = "frame")
     """outcome of each frame: seed, stacked or rejected with a reason.
 
     The first frame with enough stars seeds; earlier ones lack stars and later ones
-    must have the seed's size and enough stars to match.
+    must have the seed's size, its channels (where frames has them) and enough stars to match.
     """
+    channels = F.col("channels") if "channels" in frames.columns else F.lit(1)
     w = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    seeds = F.when((F.col("stars") >= MIN_SEED_STARS) & (F.col("width") >= 2) & (F.col("height") >= 2), F.struct("width", "height"))
+    seeds = F.when((F.col("stars") >= MIN_SEED_STARS) & (F.col("width") >= 2) & (F.col("height") >= 2), F.struct("width", "height", channels.alias("channels")))
     df = frames.withColumn("_seed", F.first(seeds, ignorenulls=True).over(w))
     outcome = (
         F.when((F.col("width") < 2) | (F.col("height") < 2), "too_small")
         .when(F.col("_seed").isNull(), F.when(F.col("stars") >= MIN_SEED_STARS, "seed").otherwise("few_seed_stars"))
         .when((F.col("width") != F.col("_seed.width")) | (F.col("height") != F.col("_seed.height")), "size_mismatch")
+        .when(channels != F.col("_seed.channels"), "channel_mismatch")
         .when(F.col("stars") < MIN_MATCH_STARS, "few_stars")
         .otherwise("stacked")
     )

@@ -53,13 +53,13 @@ def winsor_clip(spark, d):
     return out.select("session", "y", "x", "n", F.round("mean", 6).alias("mean"), F.round(F.sqrt(F.col("m2") / F.col("n")), 6).alias("sigma"), "clipped")
 
 
-@query("""WITH f AS (SELECT vec_id AS frame, label::BIGINT AS session, vec_id % 45 AS stars, CASE WHEN vec_id % 13 = 0 THEN 4 ELSE 8 END AS width, CASE WHEN vec_id % 29 = 0 THEN 1 ELSE 8 END AS height FROM embeddings),
-g AS (SELECT *, first_value(CASE WHEN stars >= 15 AND width >= 2 AND height >= 2 THEN width * 1000 + height END IGNORE NULLS) OVER (PARTITION BY session ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seed FROM f)
+@query("""WITH f AS (SELECT vec_id AS frame, label::BIGINT AS session, vec_id % 45 AS stars, CASE WHEN vec_id % 13 = 0 THEN 4 ELSE 8 END AS width, CASE WHEN vec_id % 29 = 0 THEN 1 ELSE 8 END AS height, CASE WHEN vec_id % 17 = 0 THEN 3 ELSE 1 END AS channels FROM embeddings),
+g AS (SELECT *, first_value(CASE WHEN stars >= 15 AND width >= 2 AND height >= 2 THEN struct_pack(size := width * 1000 + height, channels := channels) END IGNORE NULLS) OVER (PARTITION BY session ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seed FROM f)
 SELECT frame, session, CASE WHEN width < 2 OR height < 2 THEN 'too_small' WHEN seed IS NULL THEN CASE WHEN stars >= 15 THEN 'seed' ELSE 'few_seed_stars' END
-  WHEN width * 1000 + height <> seed THEN 'size_mismatch' WHEN stars < 3 THEN 'few_stars' ELSE 'stacked' END AS outcome FROM g""")
+  WHEN width * 1000 + height <> seed.size THEN 'size_mismatch' WHEN channels <> seed.channels THEN 'channel_mismatch' WHEN stars < 3 THEN 'few_stars' ELSE 'stacked' END AS outcome FROM g""")
 def admission(spark, d):
     e = s.table(spark, d, "embeddings").select(F.col("vec_id").alias("frame"), F.col("label").cast("long").alias("session"))
-    f = e.withColumns({"stars": F.col("frame") % 45, "width": F.when(F.col("frame") % 13 == 0, 4).otherwise(8), "height": F.when(F.col("frame") % 29 == 0, 1).otherwise(8)})
+    f = e.withColumns({"stars": F.col("frame") % 45, "width": F.when(F.col("frame") % 13 == 0, 4).otherwise(8), "height": F.when(F.col("frame") % 29 == 0, 1).otherwise(8), "channels": F.when(F.col("frame") % 17 == 0, 3).otherwise(1)})
     return stack.admission(f).select("frame", "session", "outcome")
 
 

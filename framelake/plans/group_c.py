@@ -197,3 +197,17 @@ FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
 def progress_counts(spark, d):
     out = session.progress(s.table(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], F.col("o_orderstatus") != "P")
     return out.select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("frame"), "processed", "accepted", "rejected", "total")
+
+
+@query("""WITH a AS (SELECT user_id AS session, event_id, ts, event_id % 4 <> 0 AS ok, min(ts) OVER (PARTITION BY user_id) AS began FROM events),
+b AS (SELECT *, date_trunc('day', began)::TIMESTAMP + INTERVAL 10 DAY + INTERVAL 22 HOUR AS stop, max(CASE WHEN ok THEN ts END) OVER (PARTITION BY session ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last FROM a),
+c AS (SELECT *, ts >= stop AND row_number() OVER (PARTITION BY session, ts >= stop ORDER BY ts, event_id) = 1 AS ends FROM b),
+d AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(last) >= 36000000000 AND NOT ends, false) AS idle FROM c),
+e AS (SELECT *, idle AND row_number() OVER (PARTITION BY session, last, idle ORDER BY ts, event_id) = 1 AS fires FROM d)
+SELECT session, event_id, CASE WHEN ends THEN 'end_session' ELSE 'safeguard' END AS action FROM e WHERE ends OR fires""")
+def completion(spark, d):
+    looks = s.snap(spark, d)
+    began = looks.groupBy("session").agg(F.min("ts").alias("_began"))
+    stop = F.date_trunc("day", "_began") + F.expr("interval 10 days 22 hours")
+    out = session.completion(looks.join(began, "session"), "session", ["ts", "event_id"], F.col("event_id") % 4 != 0, stop.cast("timestamp_ntz"), 600)
+    return out.where("action is not null").select("session", "event_id", "action")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from framelake.operators.stack import KAPPA, WARM_UP
@@ -63,3 +66,21 @@ def snapshot_sink(path: str):
         df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
+
+
+#: Seconds a stream gets to finish, window after window: live sessions.
+DRAIN = (10, 5)
+
+
+def finish(query: StreamingQuery, master: Callable[[], None], commit: Callable[[], None], windows: tuple[float, ...] = DRAIN) -> bool:
+    """Waits for an availableNow query window by window, then writes the master and only then commits the session.
+
+    Runs out of windows: the query is stopped, nothing is written, False. A failed query
+    raises; a failed master leaves the session uncommitted.
+    """
+    if not any(query.awaitTermination(w) for w in windows):
+        query.stop()
+        return False
+    master()
+    commit()
+    return True

@@ -16,12 +16,18 @@ by folder, because the numbered revisions of one folder are ordered among each o
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+import math
+import time
+from dataclasses import dataclass, field, fields
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from framelake.operators import folder
+
 #: Seconds and multiples that make the waiting budget.
 BUDGET_FLOOR, QUIET_PERIODS, POLLS, GRACES = 30.0, 10, 5, 4
 OUTPUT = "folder string, name string, digest string, effect string, at double"
@@ -29,10 +35,18 @@ OUTPUT = "folder string, name string, digest string, effect string, at double"
 
 @dataclass(frozen=True)
 class Policy:
+    """Seconds of quiet and between looks; what isn't a positive finite number takes the default."""
+
     quiet: float = 0.5
     poll: float = 2.0
     mutable: bool = True
 
+    def __post_init__(self) -> None:
+        for f in fields(self)[:2]:
+            v = getattr(self, f.name)
+            if not (math.isfinite(v) and v > 0):
+                object.__setattr__(self, f.name, f.default)
+
     @property
     def budget(self) -> float:
         return max(BUDGET_FLOOR, QUIET_PERIODS * self.quiet, POLLS * self.poll)
@@ -175,3 +189,30 @@ def watch(observations: DataFrame, policy: Policy = Policy()) -> DataFrame:
         yield pd.DataFrame(out, columns=["folder", "name", "digest", "effect", "at"])
 
     return observations.groupBy("folder").applyInPandasWithState(run, OUTPUT, "state string", "append", GroupStateTimeout.NoTimeout)
+
+
+def listing(spark: SparkSession, path: str, at: float, generation: int = 0, prefix: str = "") -> DataFrame:
+    """One look at a folder, as watch() takes them; the identity is size and time, the digest that of the bytes."""
+    found = spark.read.format("binaryFile").load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    identity = F.concat_ws(":", "length", F.unix_micros("modificationTime"))
+    seen = found.select(F.lit(path).alias("folder"), name.alias("name"), identity.alias("identity"), F.sha2("content", 256).alias("digest"))
+    return seen.where(folder.tracked(F.col("name"), prefix)).withColumns({"at": F.lit(float(at)), "generation": F.lit(generation)})
+
+
+def import_order(files: DataFrame, prefix: str = "") -> DataFrame:
+    """The tracked files of a finite folder (name, ...) in natural order, by a distributed sort."""
+    return files.where(folder.tracked(F.col("name"), prefix)).orderBy(folder.natural_key(F.col("name")), "name")
+
+
+def looks(spark: SparkSession, path: str, into: str, checkpoint: str, policy: Policy = Policy(), prefix: str = "") -> StreamingQuery:
+    """Starts a stream that looks at a folder every policy.poll seconds and appends each listing to a table for watch().
+
+    A repeated batch overwrites its own folder, so no look is listed twice.
+    """
+
+    def look(_: DataFrame, batch_id: int) -> None:
+        listing(spark, path, time.time(), prefix=prefix).write.mode("overwrite").parquet(f"{into}/look={batch_id}")
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(look).option("checkpointLocation", checkpoint).trigger(processingTime=f"{int(policy.poll * 1000)} milliseconds").start()

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.sources import config, fits, session_files, star_catalog
+from framelake.sources import config, demo, fits, session_files, star_catalog
 
 
 def card(key, value):
@@ -107,3 +107,17 @@ def test_messages(spark):
     want = base64.b64encode(hashlib.sha256(once + b"ch").digest()).decode()
     r = spark.range(1).select(config.auth_response(F.lit("pw"), F.lit("salt"), F.lit("ch"))).first()[0]
     assert r == want
+
+
+def test_synthetic_frames(spark):
+    state, want = demo.SEED, []
+    for _ in range(200):
+        state = (state * demo.FACTOR + demo.STEP) % 2**64
+        want.append((state >> 33) / (2**32 - 1))
+    assert demo.draws(0, 200).tolist() == want and demo.draws(150, 50).tolist() == want[150:] and len(demo.draws(5, 0)) == 0
+    out = {r.k: r.content for r in demo.frames(spark, 3, 40, 30, 5).collect()}
+    shots = {k: fits.decode(bytes(c))[1][0] for k, c in out.items()}
+    assert sorted(shots) == [1, 2, 3] and all(np.array_equal(shots[k], demo.frame(k, 3, 40, 30, 5)) for k in shots)
+    assert np.median(shots[3]) <= np.median(shots[1]) + 0.05 and shots[3].max() > shots[1].max() * 0.9
+    with pytest.raises(fits.FitsError):
+        fits.decode(bytes(out[1])[: len(out[1]) // 2])

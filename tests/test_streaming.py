@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,35 @@ def test_snapshot_sink_is_idempotent(spark, tmp_path):
     write(spark.range(5), 0)
     write(spark.range(3), 1)
     assert spark.read.parquet(str(tmp_path)).count() == 8
+
+
+def test_policy_replaces_invalid_intervals():
+    assert Policy(quiet=-1, poll=float("nan")) == Policy() and Policy(quiet=float("inf"), poll=0).poll == 2.0 and Policy(quiet=0.1).quiet == 0.1
+
+
+def test_looks_at_a_folder_feed_the_watcher(spark, tmp_path):
+    inbox, table = tmp_path / "inbox", tmp_path / "looks"
+    inbox.mkdir()
+    for name in ("s_2.fit", "s_10.FIT", ".hidden.fit", "notes.txt"):
+        (inbox / name).write_bytes(name.encode())
+    q = watch.looks(spark, str(inbox), str(table), str(tmp_path / "ck"), Policy(poll=0.2))
+    deadline = time.time() + 60
+    while len(list(table.glob("look=*/_SUCCESS"))) < 4 and time.time() < deadline and q.isActive:
+        time.sleep(0.2)
+    q.stop()
+    seen = spark.read.parquet(str(table))
+    assert {r.name for r in seen.select("name").distinct().collect()} == {"s_2.fit", "s_10.FIT"}
+    src = spark.readStream.schema(seen.drop("look").schema).parquet(str(table))
+    assert [(r.name, r.effect) for r in run_stream(spark, watch.watch(src), "looked").orderBy("at", F.length("name")).collect()] == [("s_2.fit", "emit"), ("s_10.FIT", "emit")]
+    got = watch.import_order(watch.listing(spark, str(inbox), 0.0, prefix="S_"))
+    assert [r.name for r in got.collect()] == ["s_2.fit", "s_10.FIT"]
+
+
+def test_finish_writes_the_master_before_it_commits(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    done = []
+    q = src.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "a")).trigger(availableNow=True).start()
+    assert live.finish(q, lambda: done.append("master"), lambda: done.append("commit"), (60, 60)) and done == ["master", "commit"]
+    q = src.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "b")).trigger(processingTime="1 hour").start()
+    assert not live.finish(q, lambda: done.append("no"), lambda: done.append("no"), (0.5, 0.5)) and not q.isActive and done == ["master", "commit"]
