@@ -130,6 +130,29 @@ def test_crf_finds_forms_that_the_patterns_miss(spark):
     assert got[1] == "crf-phone:5:19" and got[2] == "" and got[3] == "crf-phone:4:16"
 
 
+def test_personal_data_on_new_labelled_lines(spark):
+    """Base and found spans together against planted ones of lines the chain wasn't trained on; a span counts if it overlaps one of its kind."""
+    lines, planted = [], set()
+    for i, (tokens, tags) in enumerate(pii.labelled_table(400, seed=99)):
+        at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in tokens])])
+        lines.append((i, " ".join(tokens)))
+        for k, y in enumerate(tags):
+            if y[0] == "B":
+                end = next((j for j in range(k + 1, len(tags)) if tags[j] != "I" + y[1:]), len(tags))
+                planted.add((i, y[2:], int(at[k]), int(at[end]) - 1))
+    got = set()
+    for r in pii.digest(spark.createDataFrame(lines, "doc_id long, text string")).collect():
+        for x in filter(None, r.spans.split(",")):
+            kind, a, b = x.split(":")
+            got.add((r.doc_id, kind.removeprefix("crf-"), int(a), int(b)))
+    meets = lambda x, others: any(x[:2] == y[:2] and x[2] < y[3] and y[2] < x[3] for y in others)
+    by_row = lambda spans: {i: [x for x in spans if x[0] == i] for i in range(len(lines))}
+    wanted, found = by_row(planted), by_row(got)
+    recall, precision = sum(meets(x, found[x[0]]) for x in planted) / len(planted), sum(meets(x, wanted[x[0]]) for x in got) / len(got)
+    print(f"planted {len(planted)}, found {len(got)}, recall {recall:.3f}, precision {precision:.3f}")
+    assert recall >= 0.9 and precision >= 0.9
+
+
 def test_viterbi_is_the_best_path():
     chain = pii.train(pii.labelled_table(60))
     rng = np.random.default_rng(0)
