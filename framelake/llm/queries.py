@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, line_dedup, packing, pii, quality_lm, quality_rules, secrets, simhash, toxicity
+from . import decontaminate, html_text, licenses, line_dedup, packing, pii, quality_lm, quality_rules, secrets, simhash, toxicity
 from .common import read
 
 
@@ -48,9 +48,13 @@ def op10_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lm.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_secrets, op2_decontaminate, op3_pii, op4_toxicity, op5_simhash, op6_packing, op7_quality_rules, op8_html_text, op9_line_dedup, op10_quality_lm)
+    for f in (op1_secrets, op2_decontaminate, op3_pii, op4_toxicity, op5_simhash, op6_packing, op7_quality_rules, op8_html_text, op9_line_dedup, op10_quality_lm, op11_licenses)
 }
 #: The others have learned parts or hashes that SQL lacks; tests/llm checks them by brute force.
-SQL = {"op2_decontaminate": decontaminate.SQL, "op9_line_dedup": line_dedup.SQL}
+SQL = {"op2_decontaminate": decontaminate.SQL, "op9_line_dedup": line_dedup.SQL, "op11_licenses": licenses.SQL}
