@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, licenses, line_dedup, packing, pii, quality_lm, quality_rules, secrets, simhash, toxicity
+from . import decontaminate, html_text, licenses, line_dedup, packing, pii, quality_lm, quality_rules, secrets, simhash, sort_means, toxicity, whitening
 from .common import read
 
 
@@ -52,9 +52,17 @@ def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(read(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.digest(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_secrets, op2_decontaminate, op3_pii, op4_toxicity, op5_simhash, op6_packing, op7_quality_rules, op8_html_text, op9_line_dedup, op10_quality_lm, op11_licenses)
+    for f in (op1_secrets, op2_decontaminate, op3_pii, op4_toxicity, op5_simhash, op6_packing, op7_quality_rules, op8_html_text, op9_line_dedup, op10_quality_lm, op11_licenses, op12_whitening, op13_sort_means)
 }
 #: The others have learned parts or hashes that SQL lacks; tests/llm checks them by brute force.
-SQL = {"op2_decontaminate": decontaminate.SQL, "op9_line_dedup": line_dedup.SQL, "op11_licenses": licenses.SQL}
+SQL = {"op2_decontaminate": decontaminate.SQL, "op9_line_dedup": line_dedup.SQL, "op11_licenses": licenses.SQL, "op13_sort_means": sort_means.SQL}
