@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,8 +50,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: A key with over one part in so many of all rows is hot, so fewer keys than this are.
 HOT_PARTS = 10_000
-#: Folders written by stored() and not deleted yet.
+#: Folders written by stored() and not deleted yet; and those of each open scratch() of this thread.
 _STORED: set[str] = set()
+_SCOPES: ContextVar[tuple[set[str], ...]] = ContextVar("scopes", default=())
 
 
 def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
@@ -60,7 +62,8 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     (to.partitionBy(by) if by else to).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
-    _STORED.add(path)
+    for names in (_STORED, *_SCOPES.get()):
+        names.add(path)
     return out
 
 
@@ -69,8 +72,12 @@ def forget(spark: SparkSession, *paths: str) -> None:
     for path in paths or tuple(_STORED):
         if path in _STORED:
             _STORED.discard(path)
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def join_one(rows: DataFrame, one: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
@@ -93,11 +100,15 @@ def join_one(rows: DataFrame, one: DataFrame, key: str, counts: DataFrame | None
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """What stored() writes inside is deleted at the end: for work whose result is written by then."""
-    before = set(_STORED)
-    yield
-    if new := _STORED - before:
-        forget(spark, *new)
+    """What stored() writes inside, in this thread, is deleted at the end: for work whose result is written by then."""
+    mine: set[str] = set()
+    token = _SCOPES.set((*_SCOPES.get(), mine))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        if mine:
+            forget(spark, *mine)
 
 
 def beside(docs: DataFrame, added: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
