@@ -35,11 +35,12 @@ OUTPUT = "folder string, name string, digest string, effect string, at double"
 
 @dataclass(frozen=True)
 class Policy:
-    """Seconds of quiet and between looks; what isn't a positive finite number takes the default."""
+    """Seconds of quiet and between looks (what isn't a positive finite number takes the default), and the least budget."""
 
     quiet: float = 0.5
     poll: float = 2.0
     mutable: bool = True
+    floor: float = BUDGET_FLOOR
 
     def __post_init__(self) -> None:
         for f in fields(self)[:2]:
@@ -49,7 +50,7 @@ class Policy:
 
     @property
     def budget(self) -> float:
-        return max(BUDGET_FLOOR, QUIET_PERIODS * self.quiet, POLLS * self.poll)
+        return max(self.floor, QUIET_PERIODS * self.quiet, POLLS * self.poll)
 
     @property
     def ceiling(self) -> float:
