@@ -1,8 +1,10 @@
 """FITS frames as tables: headers, scanlines, and a writer.
 
-Files are listed and read by Spark's binaryFile source, so any store Spark reads will
-do; a file is one row and decoding runs in its task. Pixels are one row for each
-channel and scanline. ``FitsDataSource`` offers the header table as a format of its own.
+Files are listed by Spark's binaryFile source, so any store Spark reads will do; a file is
+one row and decoding runs in its task. Headers are read by range, HEAD bytes of each file;
+whole files are read for pixels, and for headers only in stores that offer nothing else.
+Pixels are one row for each channel and scanline. ``FitsDataSource`` offers the header
+table as a format of its own, which takes filters on paths.
 """
 
 from __future__ import annotations
@@ -13,11 +15,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, StringContains, StringEndsWith, StringStartsWith
 
 from framelake.schema import FRAMES, PIXEL_ROWS
+from framelake.sources import store
 
 BLOCK, CARD = 2880, 80
+#: Bytes of a file that hold its header, far more than any real one.
+HEAD = 256 * 1024
 #: Big-endian sample types by BITPIX, and what scaled integers are divided by.
 SAMPLES = {8: ("u1", 255.0), 16: (">i2", 65535.0), 32: (">i4", 4294967295.0), -32: (">f4", 1.0), -64: (">f8", 1.0)}
 MOST_SIDE = 100_000
@@ -110,24 +116,81 @@ def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
 
 
-def frames(spark: SparkSession, path: str, glob: str = FILES) -> DataFrame:
-    """One row a file with header and metadata columns; an unreadable file has its error instead.
+def _heads(files: DataFrame, path: str) -> DataFrame:
+    """files (path, length, modificationTime and more) with head: the first HEAD bytes of each.
 
-    Whole files are read; where all executors see the folder, FitsDataSource reads their heads alone.
+    Where the store can't be opened by range, files must be Spark's own listing, whose content is read.
     """
+    if not store.opens(path):
+        return files.withColumn("head", F.substring("content", 1, HEAD)).drop("content")
+    listed = files.drop("content")
+
+    def run(batches):
+        for pdf in batches:
+            # one file at a time: a batch of listings is many files
+            for k in range(len(pdf)):
+                one = pdf.iloc[k : k + 1]
+                try:
+                    head = store.head(one["path"].iloc[0], HEAD)
+                except OSError:
+                    head = b""
+                yield one.assign(head=[head])
+
+    return listed.mapInPandas(run, T.StructType([*listed.schema.fields, T.StructField("head", T.BinaryType())]))
+
+
+def frames(spark: SparkSession, path: str, glob: str = FILES) -> DataFrame:
+    """One row a file with header and metadata columns; an unreadable file has its error instead."""
 
     def run(batches):
         for pdf in batches:
             out = []
             for f in pdf.itertuples(index=False):
                 try:
-                    h = read_header(bytes(f.content))
+                    h = read_header(bytes(f.head))
                     out.append((f.path, f.length, f.modificationTime, h["width"], h["height"], h["channels"], h["bitpix"], h["cards"].get("BAYERPAT"), h["bottom_up"], h["header_bytes"], h["cards"], None))
                 except FitsError as e:
                     out.append((f.path, f.length, f.modificationTime, None, None, None, None, None, None, None, None, str(e)))
             yield pd.DataFrame(out, columns=FRAMES.names).astype({c: "Int32" for c in ("width", "height", "channels", "bitpix", "header_bytes")})
 
-    return _files(spark, path, glob).mapInPandas(run, FRAMES)
+    return _heads(_files(spark, path, glob), path).mapInPandas(run, FRAMES)
+
+
+def newest_metadata(spark: SparkSession, path: str, glob: str = FILES) -> DataFrame:
+    """(folder, path, name, extension, object, exposure_seconds): of each folder the newest file whose header can be read.
+
+    Folders try their newest file together, those where it is cut off or being written their
+    next newest, and so on: a folder with a readable newest file has one file opened. Only
+    the folders that failed, and where they are, pass through the driver between rounds.
+    Ties of time go to the greater name. Folders without a readable file are left out.
+    """
+    listed = _files(spark, path, glob).select("path", "modificationTime", "length") if store.opens(path) else _files(spark, path, glob)
+    at = listed.withColumns({"folder": F.regexp_replace("path", "/[^/]*$", ""), "name": F.element_at(F.split("path", "/"), -1)})
+    out, bound = None, None
+    while True:
+        left = at
+        if bound is not None:
+            failed = spark.createDataFrame(bound, "folder string, _time timestamp, _name string")
+            left = at.join(failed, "folder").where(F.struct("modificationTime", "name") < F.struct("_time", "_name")).drop("_time", "_name")
+        newest = left.groupBy("folder").agg(F.max_by(F.struct(*at.columns), F.struct("modificationTime", "name")).alias("f")).select("f.*")
+        tried = _heads(newest, path).mapInPandas(_parsed, "folder string, path string, name string, modificationTime timestamp, header map<string,string>").persist()
+        readable = tried.where("header IS NOT NULL")
+        out = readable if out is None else out.unionByName(readable)
+        bound = [tuple(r) for r in tried.where("header IS NULL").select("folder", "modificationTime", "name").collect()]
+        if not bound:
+            m = metadata(F.col("header"))
+            return out.select("folder", "path", "name", F.lower(F.element_at(F.split("name", r"\."), -1)).alias("extension"), m["object"].alias("object"), m["exposure_seconds"].alias("exposure_seconds"))
+
+
+def _parsed(batches):
+    for pdf in batches:
+        heads = []
+        for head in pdf["head"]:
+            try:
+                heads.append(read_header(bytes(head))["cards"])
+            except FitsError:
+                heads.append(None)
+        yield pdf[["folder", "path", "name", "modificationTime"]].assign(header=pd.Series(heads, index=pdf.index, dtype=object))
 
 
 def pixel_rows(spark: SparkSession, path: str, glob: str = FILES, top_down: bool = True, clamp: bool = True) -> DataFrame:
@@ -160,7 +223,6 @@ def write_frames(rows: DataFrame, keys: list[str], frames: str | None = None, ex
     further text cards (a map). A group is one image.
     """
     extra = [c for c in (frames, exposure, cards) if c]
-    from pyspark.sql import types as T
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["c", "y"])
@@ -199,33 +261,64 @@ def observed_at(date_obs: Column, mtime: Column) -> Column:
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, paths: list[str]) -> None:
+        self.paths = paths
+
+
+#: What filters on a path may ask of it, by their class.
+_ASKS = {
+    EqualTo: lambda path, v: path == v,
+    In: lambda path, v: path in v,
+    StringStartsWith: lambda path, v: path.startswith(v),
+    StringEndsWith: lambda path, v: path.endswith(v),
+    StringContains: lambda path, v: v in path,
+}
 
 
 class _Reader(DataSourceReader):
-    """Opens files by path: for folders that every executor sees."""
+    """Reads heads by range."""
 
-    def __init__(self, path: str, most: int) -> None:
-        self.root, self.most = path, most
+    def __init__(self, path: str, most: int, tasks: int) -> None:
+        self.root, self.most, self.tasks = path, most, tasks
+        self.asked: list = []
 
     def partitions(self):
-        import glob
-
-        return [_Part(p) for p in sorted(glob.glob(f"{self.root}/**/*", recursive=True)) if _FILE_NAME.match(p)]
+        files, root = store.at(self.root)
+        found = store.listing(self.root, recursive=True)
+        if found is None:
+            found = [files.get_file_info(root)]
+        paths = sorted(f.path for f in found if _FILE_NAME.match(f.path) and all(_ASKS[type(a)](f.path, a.value) for a in self.asked))
+        return [_Part(paths[k :: self.tasks]) for k in range(min(self.tasks, len(paths)))]
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
-            head = f.read(self.most)
-        try:
-            h = read_header(head)
-            yield partition.path, h["width"], h["height"], h["channels"], h["bitpix"], h["cards"]
-        except FitsError:
-            return
+        files, _ = store.at(self.root)
+        for path in partition.paths:
+            with files.open_input_file(path) as f:
+                head = f.read_at(min(self.most, f.size()), 0)
+            try:
+                h = read_header(head)
+            except FitsError:
+                continue
+            yield path, h["width"], h["height"], h["channels"], h["bitpix"], h["cards"]
+
+
+class _Choosy(_Reader):
+    """Files that filters on path exclude are not opened."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if type(f) in _ASKS and f.attribute == ("path",):
+                self.asked.append(f)
+            else:
+                yield f
 
 
 class FitsDataSource(DataSource):
-    """spark.read.format("fits"): headers alone, reading at most header_bytes of each file."""
+    """spark.read.format("fits"): headers alone, reading at most header_bytes of each file, in tasks many partitions.
+
+    With option filters=true, filters on path keep files from being opened; Spark wants
+    spark.sql.python.filterPushdown.enabled set for that.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -235,4 +328,5 @@ class FitsDataSource(DataSource):
         return "path string, width int, height int, channels int, bitpix int, header map<string,string>"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], int(self.options.get("header_bytes", 262_144)))
+        kind = _Choosy if self.options.get("filters", "false").lower() == "true" else _Reader
+        return kind(self.options["path"], int(self.options.get("header_bytes", HEAD)), int(self.options.get("tasks", 64)))
