@@ -24,6 +24,13 @@ def line_text(line: Column, kind: Column) -> Column:
     )
 
 
+def lines(df: DataFrame, doc: str, pos: str, line: str) -> DataFrame:
+    """(doc, pos, kind, level, text) of each line, as the table function md_blocks takes them."""
+    kind = line_kind(F.col(line))
+    level = F.when(kind == "heading", F.length(F.regexp_extract(F.trim(F.col(line)), "^(#{1,6}) ", 1))).otherwise(0)
+    return df.select(F.col(doc).cast("long").alias("doc"), F.col(pos).alias("pos"), kind.alias("kind"), level.cast("int").alias("level"), line_text(F.col(line), kind).alias("text"))
+
+
 def blocks(lines: DataFrame, doc: str, pos: str, line: str) -> DataFrame:
     """(doc, block, kind, level, text, n_lines): runs of one kind are a block; headings and rules stand alone.
 

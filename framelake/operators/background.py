@@ -12,6 +12,7 @@ from framelake.functions.stats import median_and_mad
 
 MADN = 1.4826
 CLIP, ROUNDS = 2.0, 3
+SINGULAR = 1e-12
 GROW, REJECT, FACTOR, ITERATIONS = 2, 3.0, 4, 5
 
 
@@ -47,27 +48,52 @@ def plane_fit(points: DataFrame, keys: list[str], value: str = "v") -> DataFrame
     return s.select(*keys, "n", "mx", "my", "mv", b.alias("b"), c.alias("c")).select(*keys, "n", (F.col("mv") - F.col("b") * F.col("mx") - F.col("c") * F.col("my")).alias("a"), "b", "c")
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def eliminated(rows: Column, n: int) -> Column:
+    """Augmented rows of a linear system in triangular form, by elimination with partial pivoting; null if a pivot is under SINGULAR.
+
+    The pivot of a column is the first of its largest remaining entries.
+    """
+
+    def step(m: Column, col: Column) -> Column:
+        size = F.transform(m, lambda row, r: F.when(r < col, -1.0).otherwise(F.abs(F.get(row, col))))
+        swapped = let(
+            (F.array_position(size, F.array_max(size)) - 1).cast("int"),
+            lambda best: F.transform(m, lambda row, r: F.when(r == col, F.get(m, best)).when(r == best, F.get(m, col)).otherwise(row)),
+        )
+        below = lambda row, top: let(F.get(row, col) / F.get(top, col), lambda f: F.zip_with(row, top, lambda a, b: a - f * b))
+        done = lambda m: let(F.get(m, col), lambda top: F.when(F.abs(F.get(top, col)) >= SINGULAR, F.transform(m, lambda row, r: F.when(r <= col, row).otherwise(below(row, top)))))
+        return let(swapped, done)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), rows, step)
+
+
+def solved(rows: Column, n: int) -> Column:
+    """The solution of n augmented rows as an array; null where eliminated() is."""
+
+    def back(x: Column, r: Column, m: Column) -> Column:
+        row = F.get(m, r)
+        known = F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.get(row, F.lit(n)), lambda s, k: F.when(k <= r, s).when(k < n, s - F.get(row, k) * F.get(x, k)).otherwise(s))
+        return let(known / F.get(row, r), lambda v: F.transform(x, lambda old, k: F.when(k == r, v).otherwise(old)))
+
+    zero = F.array(*[F.lit(0.0)] * n)
+    return let(eliminated(rows, n), lambda m: F.when(m.isNotNull(), F.aggregate(F.sequence(F.lit(n - 1), F.lit(0), F.lit(-1)), zero, lambda x, r: back(x, r, m))))
+
+
 def surface_fit(points: DataFrame, keys: list[str], degree: int, width: int, height: int, value: str = "v") -> DataFrame:
-    """Coefficients per key; the normal equations are sums, the small system is solved per key."""
+    """Coefficients per key; the normal equations are sums, each key's small system is solved as a fold over its rows."""
     x = F.col("x") / float(width) * 2 - 1
     y = F.col("y") / float(height) * 2 - 1
     basis = [F.lit(1.0), x, y] if degree == 1 else [F.lit(1.0), x, y, x * x, x * y, y * y]
     n = len(basis)
-    sums = [F.sum(basis[i] * basis[j]) for i in range(n) for j in range(i, n)] + [F.sum(b * F.col(value)) for b in basis]
-    grams = points.groupBy(*keys).agg(F.array(*sums).alias("sums"))
-
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            for s in pdf["sums"]:
-                a = np.zeros((n, n))
-                a[np.triu_indices(n)] = s[: -n]
-                a = a + np.triu(a, 1).T
-                out.append(None if abs(np.linalg.det(a)) < 1e-12 else np.linalg.solve(a, np.asarray(s[-n:])).tolist())
-            yield pdf[keys].assign(coefficients=pd.Series(out, index=pdf.index, dtype=object))
-
-    schema = T.StructType([*points.select(*keys).schema.fields, T.StructField("coefficients", T.ArrayType(T.DoubleType()))])
-    return grams.mapInPandas(solve, schema)
+    at = {(i, j): f"_{min(i, j)}{max(i, j)}" for i in range(n) for j in range(n)}
+    sums = [F.sum(basis[i] * basis[j]).alias(at[i, j]) for i in range(n) for j in range(i, n)] + [F.sum(b * F.col(value)).alias(f"_v{i}") for i, b in enumerate(basis)]
+    rows = F.array(*(F.array(*(F.col(at[i, j]) for j in range(n)), F.col(f"_v{i}")) for i in range(n)))
+    return points.groupBy(*keys).agg(*sums).select(*keys, solved(rows, n).alias("coefficients"))
 
 
 def box_blur(a: np.ndarray, radius: int) -> np.ndarray:

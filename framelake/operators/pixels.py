@@ -43,8 +43,8 @@ def block_average(pixels: DataFrame, keys: list[str], width: int, height: int, d
     return blocks.groupBy(*keys, "y", "x").agg(F.avg("v").alias("v"))
 
 
-def tile_of(c: str, size: int, tiles: int) -> Column:
-    """The tile whose edges t size div tiles hold the position."""
+def tile_of(c: str, size: int | str, tiles: int) -> Column:
+    """The tile whose edges t size div tiles hold the position; size may name a column."""
     return F.expr(f"cast((({c} + 1) * {tiles} - 1) div {size} as bigint)")
 
 
@@ -170,7 +170,7 @@ def neutralize_mul(pixels: DataFrame, image: list[str]) -> DataFrame:
     return pixels.join(med.withColumn("gain", gain).drop("med"), [*image, "c"]).withColumn("v", F.when(F.col("gain") == 1.0, F.col("v")).otherwise(clamp(F.col("v") * F.col("gain")))).drop("gain")
 
 
-def neutralize_add(pixels: DataFrame, image: list[str], width: int, height: int, tiles: int = 48, share: float = 0.2) -> DataFrame:
+def neutralize_add(pixels: DataFrame, image: list[str], width: int | str, height: int | str, tiles: int = 48, share: float = 0.2) -> DataFrame:
     """Each channel less what its background (nearest-rank share of tile medians) exceeds the least one by."""
     p = pixels.withColumns({"ty": tile_of("y", height, tiles), "tx": tile_of("x", width, tiles)})
     tile = p.groupBy(*image, "c", "ty", "tx").agg(averaged_median("v").alias("med"))
@@ -193,18 +193,50 @@ def quantize8(v: Column) -> Column:
     return F.floor(clamp(v) * 255).cast("int")
 
 
-def display(pixels: DataFrame, image: list[str], width: int, height: int, linear: bool = True, flattened: bool = False, factor: float = 1.0, tiles: int = 48) -> DataFrame:
-    """The display order for three channels: neutralize, stretch linear data, saturate.
+def to_planes(pixels: DataFrame, image: list[str], width: int, height: int) -> DataFrame:
+    """(image, width, height, pixels): one row an image, a channel of values in reading order in each of its arrays.
 
-    Flattened images are neutralized by gain only, others by offset and then by gain.
+    An image is one row from here on, as flattening and denoising look at whole images.
     """
-    p = neutralize_mul(pixels if flattened else neutralize_add(pixels, image, width, height, tiles), image)
+    channel = pixels.groupBy(*image, "c").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("_p"))
+    whole = channel.groupBy(*image).agg(F.array_sort(F.collect_list(F.struct("c", F.transform("_p", lambda p: p["v"]).alias("v")))).alias("_c"))
+    return whole.select(*image, F.lit(width).alias("width"), F.lit(height).alias("height"), F.transform("_c", lambda c: c["v"]).alias("pixels"))
+
+
+def from_planes(planes: DataFrame, image: list[str]) -> DataFrame:
+    """The long view (image, c, y, x, v) of to_planes."""
+    p = planes.select(*image, "width", F.posexplode("pixels").alias("c", "_v")).select(*image, "c", "width", F.posexplode("_v").alias("_i", "v"))
+    return p.select(*image, "c", F.floor(F.col("_i") / F.col("width")).alias("y"), (F.col("_i") % F.col("width")).cast("long").alias("x"), "v")
+
+
+def display(
+    pixels: DataFrame, image: list[str], width: int, height: int, linear: bool = True, flattened: bool = False, factor: float = 1.0, tiles: int = 48,
+    flatten: tuple[float, float] | None = None, neutralize: bool = True, black: float = 0.0, strength: float = 0.0, noise: float = 0.0, pack: bool = False,
+) -> DataFrame:
+    """The display order for three channels: flatten, neutralize, stretch linear data, denoise, saturate, pack to 8 bits.
+
+    flatten is (scale, smoothest), or None. Flattened images, here or before, are neutralized
+    by gain only, others by offset and then by gain. The stretch takes its statistics from a
+    sample of at most 262,144 positions. Turning north up is a matter of the canvas (sky.north_up).
+    """
+    from framelake.operators import background, filters
+
+    p = pixels
+    if flatten:
+        planes = to_planes(p, image, width, height).select(*image, "width", "height", F.posexplode("pixels").alias("c", "pixels"))
+        flat = background.flatten_multiscale(planes, [*image, "c"], *flatten)
+        p = from_planes(flat.select(*image, "c", "width", F.array("pixels").alias("pixels")).withColumnRenamed("c", "_c"), [*image, "_c"]).drop("c").withColumnRenamed("_c", "c")
+    if neutralize:
+        p = neutralize_mul(p if flattened or flatten else neutralize_add(p, image, width, height, tiles), image)
     if linear:
-        p = auto_stretch(p, image)
+        p = auto_stretch(p, image, black=black, strength=strength, size=(width, height))
+    if noise > 0:
+        p = from_planes(filters.denoise(to_planes(p, image, width, height).withColumn("linear", F.lit(False)), image, noise), image)
     wide = p.groupBy(*image, "y", "x").agg(*[F.max(F.when(F.col("c") == k, F.col("v"))).alias(f"c{k}") for k in range(3)])
     mixed = saturation(F.col("c0"), F.col("c1"), F.col("c2"), factor)
     both = F.explode(F.array(*[F.struct(F.lit(k).alias("c"), v.alias("v")) for k, v in enumerate(mixed)])).alias("s")
-    return wide.select(*image, "y", "x", both).select(*image, "s.c", "y", "x", "s.v")
+    out = wide.select(*image, "y", "x", both).select(*image, "s.c", "y", "x", "s.v")
+    return out.withColumn("v", quantize8(F.col("v"))) if pack else out
 
 
 def dilate(mask: DataFrame, keys: list[str], width: int, height: int, times: int = 1) -> DataFrame:

@@ -123,6 +123,43 @@ def master(pixels: DataFrame, keys: list[str], width: int, height: int, weight:
     return inside.select(*keys, (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), "mean")
 
 
+def master_image(pixels: DataFrame, keys: list[str], width: int, height: int, weight: str | None = None, neutralize: bool = True, tiles: int = 48) -> DataFrame:
+    """(keys, c, y, x, width, height, mean) of the master: the weighted mean of each channel, cropped as one image, then
+    with its backgrounds brought to one level by offset where there are three channels.
+
+    Channels share the first one's coverage, as a frame covers all of them alike. Gains are
+    left alone, so colour ratios stay as measured.
+    """
+    from framelake.operators import pixels as p
+
+    mean = weighted_mean(pixels, [*keys, "c", "y", "x"], weight=weight)
+    rect = guarded_crop(crop_rect(mean.where("c = 0"), keys), width, height)
+    whole = {"x0": 0, "y0": 0, "x1": width - 1, "y1": height - 1}
+    inside = mean.join(rect, keys, "left").withColumns({c: F.coalesce(c, F.lit(v)) for c, v in whole.items()})
+    inside = inside.where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
+    size = [(F.col("x1") - F.col("x0") + 1).alias("width"), (F.col("y1") - F.col("y0") + 1).alias("height")]
+    out = inside.select(*keys, "c", (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), *size, F.col("mean").alias("v"))
+    if neutralize:
+        three = F.max("c").over(Window.partitionBy(*keys)) == 2
+        marked = out.withColumn("_three", three)
+        rgb = p.neutralize_add(marked.where("_three").drop("_three"), keys, "width", "height", tiles)
+        out = marked.where("NOT _three").drop("_three").unionByName(rgb)
+    return out.withColumnRenamed("v", "mean")
+
+
+def master_files(master: DataFrame, keys: list[str], frames: DataFrame, sub_seconds: str) -> DataFrame:
+    """(keys, content): one encoded file for each master_image, with its frames and their exposure on its cards.
+
+    frames: keys, n (frames in the stack) and seconds of each.
+    """
+    from framelake.sources import fits
+
+    rows = master.groupBy(*keys, "c", "y").agg(F.array_sort(F.collect_list(F.struct("x", "mean"))).alias("_r"))
+    rows = rows.select(*keys, "c", "y", F.transform("_r", lambda r: r["mean"].cast("float")).alias("row"))
+    told = frames.select(*keys, "n", (F.col("n") * F.col(sub_seconds)).alias("exposure"))
+    return fits.write_frames(rows.join(told, keys), keys, "n", "exposure")
+
+
 def reseed_epochs(frames: DataFrame, session: str, order: list[str], failed: Column, after: int = RESEED_AFTER) -> DataFrame:
     """run: consecutive failures so far; epoch: reseeds before this frame. A run ends at a reseed."""
     w = Window.partitionBy(session).orderBy(*order)

@@ -29,3 +29,38 @@ def auth_response(password: Column, salt: Column, challenge: Column) -> Column:
     """base64(sha256(base64(sha256(password + salt)) + challenge))"""
     once = F.base64(F.unhex(F.sha2(F.concat(password, salt), 256)))
     return F.base64(F.unhex(F.sha2(F.concat(once, challenge), 256)))
+
+
+#: Numbers of the messages that are received.
+HELLO, IDENTIFIED, EVENT, RESPONSE = 0, 2, 5, 7
+
+
+def message(text: Column) -> Column:
+    """An envelope {op, d} as a struct: malformed, kind (hello, identified, event, response or unknown) and the fields of its kind.
+
+    Malformed is text that isn't JSON, isn't an object or has no whole number as op. A kind
+    whose fields are missing or of another type is unknown; so is every other op.
+    """
+    v = F.try_parse_json(text)
+    # only a value that is a string, number or boolean in the text counts as one
+    is_a = lambda path, *kinds: F.schema_of_variant(F.try_variant_get(v, path, "variant")).isin(*kinds)
+    get = lambda path, kind, *kinds: F.when(is_a(path, *kinds), F.try_variant_get(v, path, kind))
+    string = lambda path: get(path, "string", "STRING")
+    whole = lambda path: get(path, "long", "BIGINT")
+    held = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")).startswith("OBJECT"), F.lit(False))
+    op = F.when(held("$"), whole("$.op"))
+    event, request, about = string("$.d.eventType"), string("$.d.requestId"), string("$.d.requestType")
+    ok, code = get("$.d.requestStatus.result", "boolean", "BOOLEAN"), whole("$.d.requestStatus.code")
+    rpc, challenge, salt = whole("$.d.rpcVersion"), string("$.d.authentication.challenge"), string("$.d.authentication.salt")
+    signed = ~held("$.d.authentication") | (challenge.isNotNull() & salt.isNotNull())
+    kind = (
+        F.when((op == HELLO) & rpc.isNotNull() & signed, "hello").when(op == IDENTIFIED, "identified").when((op == EVENT) & event.isNotNull(), "event")
+        .when((op == RESPONSE) & request.isNotNull() & about.isNotNull() & ok.isNotNull() & code.isNotNull(), "response").otherwise("unknown")
+    )
+    only = lambda k, c: F.when(kind == k, c)
+    return F.struct(
+        op.isNull().alias("malformed"), kind.alias("kind"), only("hello", rpc).alias("rpc_version"), only("hello", challenge).alias("challenge"), only("hello", salt).alias("salt"),
+        F.coalesce(only("event", event), only("response", about)).alias("type"), only("response", request).alias("request_id"), only("response", ok).alias("ok"), only("response", code).alias("code"),
+        only("response", string("$.d.requestStatus.comment")).alias("comment"),
+        F.to_json(F.coalesce(F.when((kind == "event") & held("$.d.eventData"), F.try_variant_get(v, "$.d.eventData", "variant")), F.when((kind == "response") & held("$.d.responseData"), F.try_variant_get(v, "$.d.responseData", "variant")))).alias("data"),
+    )
