@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framelake.operators import sky
 from framelake.operators.filters import ALONG_ROW, DIAGONAL, GREEN, MOSAICS
 
 _CROSS, _FULL = (0, 1, 0, 1, 4, 1, 0, 1, 0), (1, 2, 1, 2, 4, 2, 1, 2, 1)
@@ -117,3 +118,43 @@ def long_view(planes: DataFrame, keys: list[str], values: list[str]) -> DataFram
     """(keys, y, x, values): one row a pixel."""
     at = planes.select(*keys, "width", F.posexplode(F.arrays_zip(*values)).alias("i", "p"))
     return at.select(*keys, F.expr("cast(i div width as bigint)").alias("y"), F.expr("cast(i % width as bigint)").alias("x"), *[F.col(f"p.{v}") for v in values])
+
+
+def turned(a: np.ndarray, rotation: float, out_width: int, out_height: int, zoom: float) -> np.ndarray:
+    """[channel, y, x] on another canvas, turned about its centre by rotation degrees: what the frame shows at R(-rotation) p / zoom comes to p.
+
+    Values between pixels are bilinear with edges repeated; what lies off the frame is 0.
+    """
+    c, s = np.cos(np.radians(rotation)), np.sin(np.radians(rotation))
+    h, w = a.shape[1:]
+    py, px = np.mgrid[0:out_height, 0:out_width].astype(float)
+    px, py = (px + 0.5 - out_width / 2) / zoom, (py + 0.5 - out_height / 2) / zoom
+    x, y = c * px + s * py + w / 2 - 0.5, -s * px + c * py + h / 2 - 0.5
+    inside = (x > -0.5 - 1e-9) & (x < w - 0.5 + 1e-9) & (y > -0.5 - 1e-9) & (y < h - 0.5 + 1e-9)
+    x, y = np.clip(x, 0, w - 1), np.clip(y, 0, h - 1)
+    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
+    x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
+    fx, fy = x - x0, y - y0
+    top, low = a[:, y0, x0] * (1 - fx) + a[:, y0, x1] * fx, a[:, y1, x0] * (1 - fx) + a[:, y1, x1] * fx
+    return np.where(inside, top * (1 - fy) + low * fy, 0.0)
+
+
+def turn_north_up(planes: DataFrame, keys: list[str], rotation: str, auto_zoom: bool = True) -> DataFrame:
+    """(keys, width, height, pixels of 1 or 3 channels) with north up; frames without a rotation pass as they are."""
+    canvas = sky.north_up(F.col(rotation), F.col("width"), F.col("height"), auto_zoom)
+    out = T.StructType([*planes.select(*keys).schema.fields, T.StructField("width", T.LongType()), T.StructField("height", T.LongType()), T.StructField("pixels", T.ArrayType(T.ArrayType(T.DoubleType())))])
+
+    def run(batches):
+        for pdf in batches:
+            new = []
+            for r in pdf.itertuples(index=False):
+                if r.turn is None or r.turn != r.turn:
+                    new.append((r.width, r.height, r.pixels))
+                    continue
+                a = np.array([np.asarray(p, float) for p in r.pixels]).reshape(len(r.pixels), int(r.height), int(r.width))
+                b = turned(a, float(r.turn), int(r.out_width), int(r.out_height), float(r.zoom))
+                new.append((int(r.out_width), int(r.out_height), b.reshape(len(b), -1).tolist()))
+            yield pdf[keys].assign(**{c: pd.Series([n[k] for n in new], index=pdf.index, dtype=object if c == "pixels" else "int64") for k, c in enumerate(("width", "height", "pixels"))})
+
+    wide = planes.select(*keys, F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), "pixels", F.col(rotation).cast("double").alias("turn"), canvas.alias("_c"))
+    return wide.select("*", "_c.*").drop("_c").mapInPandas(run, out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelake.functions import markdown, tables
-from framelake.operators import background, stack
+from framelake.operators import background, devices, stack
 from framelake.operators import pixels as p
 from framelake.plans.group_i import _MTF
 from framelake.plans.registry import PX, RGB, SQL, query
@@ -124,3 +124,35 @@ def master_neutral(spark, d):
     px = s.px(spark, d).withColumn("m", F.expr(_MASKED)).withColumn("c", F.expr("cast((frame div 10) % 3 as int)"))
     out = stack.master_image(px, ["session"], 8, 8, tiles=4)
     return out.select("session", *[F.col(c).cast("long").alias(c) for c in ("c", "y", "x", "width", "height")], F.round("mean", 6).alias("mean"))
+
+
+_CAPTURES = """f AS (SELECT user_id % 10 AS site, event_id, ts AS mtime, CASE event_id % 6 WHEN 0 THEN 'EMMC Images' WHEN 1 THEN 'emmc images-2' WHEN 2 THEN 'Seestar Backup' WHEN 3 THEN 'my-seestar' WHEN 4 THEN 'T7' ELSE 'emmc images-x' END AS volume,
+  CASE WHEN event_id % 7 < 4 THEN 'MyWorks' ELSE 'Autorun/Light' END AS parent, 'M' || event_id % 110 || CASE WHEN event_id % 11 < 8 THEN '_sub' ELSE '' END AS name,
+  'Light_M_' || (event_id % 30) || '.0s_LP_' || {stamp} || CASE WHEN event_id % 13 = 0 THEN '.FIT' WHEN event_id % 13 = 1 THEN '.txt' ELSE '.fit' END AS file FROM events)"""
+
+
+@query(f"""WITH {_CAPTURES.format(stamp="strftime(ts, '%Y%m%d-%H%M%S')")},
+b AS (SELECT site, arg_max({{'volume': volume, 'name': name}}, (mtime, name, volume)) AS b FROM f
+  WHERE NOT regexp_matches(lower(volume), 'backup|archive|clone') AND regexp_matches(lower(volume), '^emmc images(-[0-9]+)?$|seestar') AND parent = 'MyWorks' AND name LIKE '%\\_sub' ESCAPE '\\' GROUP BY site),
+n AS (SELECT f.site, arg_max(file, (regexp_extract(file, '[0-9]{{8}}-[0-9]{{6}}'), file)) AS file FROM f JOIN b ON f.site = b.site AND f.volume = b.b.volume AND f.name = b.b.name AND f.parent = 'MyWorks' WHERE lower(file) LIKE '%.fit' GROUP BY f.site)
+SELECT site, b.volume AS volume, 'MyWorks/' || b.name AS folder, left(b.name, len(b.name) - 4) AS target, try_cast(regexp_extract(file, '_([0-9.]+)s_', 1) AS DOUBLE) AS exposure FROM b LEFT JOIN n USING (site)""")
+def works_folders(spark, d):
+    f = _captures(spark, d)
+    return devices.works_folder(f.select("site", "volume", "parent", "name", "mtime"), _files_in(f), ["site"])
+
+
+@query(f"""WITH {_CAPTURES.format(stamp="strftime(ts, '%Y%m%d-%H%M%S')")}, g AS (SELECT DISTINCT site, volume, name FROM f WHERE parent = 'Autorun/Light' AND regexp_matches(lower(file), '\\.(fit|fits)$')),
+b AS (SELECT site, arg_max({{'volume': volume, 'name': name}}, (mtime, name, volume)) AS b FROM f SEMI JOIN g USING (site, volume, name) WHERE NOT regexp_matches(lower(volume), 'backup|archive|clone') AND parent = 'Autorun/Light' GROUP BY site)
+SELECT site, b.volume AS volume, 'Autorun/Light/' || b.name AS folder, b.name AS target, NULL::DOUBLE AS exposure, 'fit' AS extension FROM b""")
+def lights_folders(spark, d):
+    f = _captures(spark, d)
+    return devices.lights_folder(f.select("site", "volume", "parent", "name", "mtime"), _files_in(f), keys=["site"])
+
+
+def _captures(spark, d):
+    text = _CAPTURES.removeprefix("f AS (").removesuffix(")").format(stamp="date_format(ts, 'yyyyMMdd-HHmmss')")
+    return spark.sql(text.replace("event_id % 110", "(event_id % 110)").replace(" FROM events", " FROM {events}"), events=s.table(spark, d, "events"))
+
+
+def _files_in(f):
+    return f.select("site", "volume", F.concat_ws("/", "parent", "name").alias("parent"), F.col("file").alias("name"), "mtime")

@@ -238,6 +238,42 @@ def _card_values(first: pd.Series, frames: str | None, exposure: str | None, car
     return int(some(frames) or 0), float(some(exposure) or 0), dict(some(cards) or {})
 
 
+def denoise_files(spark: SparkSession, path: str, into: str, strength: float, glob: str = FILES) -> DataFrame:
+    """Reads linear files, denoises them and writes them under the same names into another folder: (path, written, error).
+
+    Object, frames and exposure stay on the cards. A file that can't be read has its error.
+    """
+    from framelake.operators import filters
+
+    def opened(batches):
+        for pdf in batches:
+            for f in pdf.itertuples(index=False):
+                try:
+                    h, a = decode(bytes(f.content), clamp=False)
+                    yield pd.DataFrame({"path": [f.path], "cards": [h["cards"]], "error": [None], "width": [h["width"]], "height": [h["height"]], "linear": [True], "pixels": [[p.ravel().astype(float) for p in a]]})
+                except FitsError as e:
+                    yield pd.DataFrame({"path": [f.path], "cards": [None], "error": [str(e)], "width": [0], "height": [0], "linear": [True], "pixels": [[]]})
+
+    def closed(batches):
+        for pdf in batches:
+            out = []
+            for f in pdf.itertuples(index=False):
+                name = None
+                if f.error is None:
+                    cards = dict(f.cards)
+                    whole = lambda k: int(number(cards, k, 0))
+                    a = np.array([np.asarray(p, float) for p in f.pixels]).reshape(len(f.pixels), int(f.height), int(f.width))
+                    name = f"{into}/{f.path.rsplit('/', 1)[1]}"
+                    store.write(name, encode(a.astype(np.float32), whole("STACKCNT"), number(cards, "TOTALEXP", 0.0), {k: cards[k] for k in ("OBJECT", "DATE-OBS") if cards.get(k)}))
+                out.append((f.path, name, f.error))
+            yield pd.DataFrame(out, columns=["path", "written", "error"])
+
+    schema = "path string, cards map<string,string>, error string, width int, height int, linear boolean, pixels array<array<double>>"
+    planes = _files(spark, path, glob).select("path", "content").mapInPandas(opened, schema)
+    done = filters.denoise(planes, ["path", "cards", "error"], strength)
+    return done.mapInPandas(closed, "path string, written string, error string")
+
+
 def text_or_null(c: Column) -> Column:
     """Trimmed, one pair of quotes off, empty as null."""
     return F.nullif(F.trim(F.regexp_replace(F.trim(c), "^'(.*)'$", "$1")), F.lit(""))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.operators.session import caption, csv_field, markdown_cell, value_or_dash
 from framelake.schema import MANIFEST
+from framelake.sources import store
 
 CSV_COLUMNS = ("index", "timestamp", "source_file", "snapshot_file", "estimated_integration_seconds", "sub_exposure_seconds", "width", "height", "mean", "median", "stddev")
 
@@ -27,6 +29,26 @@ def write_manifests(sessions: DataFrame, path: str) -> None:
     sessions.write.mode("overwrite").json(path)
 
 
+def persist(sessions: DataFrame, root: str) -> DataFrame:
+    """Replaces root/session_id/session.json of each session, whole and on its own: (session_id, path).
+
+    Files are written by tasks under another name first and renamed, so a reader finds the old
+    document or the new one; a task that runs again writes the same. A session whose
+    master isn't written yet has no ended_at, so live.finish calls this as its commit.
+    Of several rows of a session the one that comes last in the order of its fields counts.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            paths = [f"{root}/{s}/session.json" for s in pdf["session_id"]]
+            for path, text in zip(paths, pdf["json"]):
+                store.write(path, text.encode())
+            yield pd.DataFrame({"session_id": pdf["session_id"], "path": paths})
+
+    one = manifest_json(sessions).groupBy("session_id").agg(F.max("json").alias("json"))
+    return one.mapInPandas(run, "session_id string, path string")
+
+
 def snapshots(manifests: DataFrame) -> DataFrame:
     return manifests.select("session_id", "sub_exposure_seconds", F.explode("snapshots").alias("s")).select("session_id", "sub_exposure_seconds", "s.*")
 
