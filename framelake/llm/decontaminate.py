@@ -3,8 +3,9 @@
 Patterns are windows of 13 item words; an item of fewer words is one window of its own
 length. For each window length, blocks of two words have a shift: how far the search
 may jump without passing an occurrence. Shifts lie in a table of bytes indexed by a hash
-of the block, where the least of those that meet stands; a block of shift 0 may end a
-window, whose bucket is picked by a hash of its words, and direct comparison confirms.
+of the block, where the least of those that meet stands. A block of shift 0 may end a window: the
+hash of this suffix picks a bucket of windows, in which that of the first block selects
+those that direct comparison then confirms.
 
 Items are taken in blocks of at most ``BLOCK_BYTES`` of text; every block is searched
 over all documents and the hits of the blocks are united. A block's tables are arrays
@@ -24,7 +25,6 @@ from bisect import bisect_right
 from collections import defaultdict
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,20 +78,31 @@ class _Windows:
         #: Jumps are at most m - size + 1; a cell holds at most 255.
         self.far = min(255, m - self.size + 1)
         shift = np.full(cells, self.far, np.uint8)
-        hashes, places = [], []
+        keys, places = [], []
         for first, (_, words), line in zip(self.firsts, items, lines):
             # The block that ends at word e of an item ends windows from e = m - 1 on.
             for e in range(self.size - 1, len(words)):
-                cell = zlib.crc32(words[e] if self.size == 1 else words[e - 1] + b" " + words[e]) & self.mask
+                cell = self._block(words, e) & self.mask
                 shift[cell] = min(shift[cell], max(0, m - 1 - e))
             base = int(self.starts[first])
             begin, end = (self.starts[first : first + len(words)] - base).tolist(), (self.ends[first : first + len(words)] - base).tolist()
+            seen = set()
             for i in range(len(words) - m + 1):
-                hashes.append(xxhash.xxh64_intdigest(line[begin[i] : end[i + m - 1]]))
-                places.append(first + i)
-        order = np.argsort(np.array(hashes, np.uint64), kind="stable")
+                if (window := line[begin[i] : end[i + m - 1]]) not in seen:  # a window that an item repeats counts once
+                    seen.add(window)
+                    keys.append(self._key(words, i + m))
+                    places.append(first + i)
+        order = np.argsort(np.array(keys, np.uint64), kind="stable")
         self.shift = shift.tobytes()
-        self.hashes, self.places = np.array(hashes, np.uint64)[order], np.array(places, np.int32)[order]
+        #: Buckets in order: windows by the hash of their suffix, within it by that of their first block.
+        self.hashes, self.places = np.array(keys, np.uint64)[order], np.array(places, np.int32)[order]
+
+    def _block(self, words: list[bytes], e: int) -> int:
+        return zlib.crc32(words[e] if self.size == 1 else words[e - 1] + b" " + words[e])
+
+    def _key(self, words: list[bytes], end: int) -> int:
+        """Bucket and selector of the window that ends before a word."""
+        return self._block(words, end - 1) << 32 | self._block(words, end - self.m + self.size - 1)
 
     def find(self, words: list[bytes], found: list[tuple[int, int]], items: set) -> None:
         m, pair, far, mask, shift, crc = self.m, self.size == 2, self.far, self.mask, self.shift, zlib.crc32
@@ -101,16 +112,16 @@ class _Windows:
             if step:
                 i += step
                 continue
-            who = self._owners(b" ".join(words[i - m : i]))
-            if who:
+            if who := self._owners(words, i):
                 found.append((i - m, i))
                 items.update(who)
             i += 1
 
-    def _owners(self, line: bytes) -> set:
-        h = np.uint64(xxhash.xxh64_intdigest(line))
-        k, out = int(self.hashes.searchsorted(h)), set()
-        while k < len(self.hashes) and self.hashes[k] == h:
+    def _owners(self, words: list[bytes], end: int) -> set:
+        key = np.uint64(self._key(words, end))
+        k, out, line = int(self.hashes.searchsorted(key)), set(), None
+        while k < len(self.hashes) and self.hashes[k] == key:
+            line = line or b" ".join(words[end - self.m : end])
             at = int(self.places[k])
             if self.text[self.starts[at] : self.ends[at + self.m - 1]] == line:
                 out.add(self.items[bisect_right(self.firsts, at) - 1])
