@@ -6,156 +6,39 @@ the corpus and are joined, never gathered.
 
 A document is kept if its perplexity is at most its language's limit: a high quantile
 of the trusted documents of that language that were left out of training, with some
-slack. Copies of a text are left out together.
-
-The dense model of character classes (gram_counts to perplexity_by_join) is a second,
-small implementation that tests compare; no query uses it.
+slack. Copies of a text are left out together. Text that says the same over and over can be
+as likely as any, so a document must also have as much variety for its length as all but a
+few of those trusted documents: different n-grams over a power of all, from the same join.
 
 Defined cases: null, empty texts have no perplexity (null) and are not kept; a null
 lang is a language of its own; languages without left-out trusted documents take the
-limit of all; with fewer than two different trusted texts nothing can be left out, so
-limits and verdicts are null and false. Repeated rows are all returned.
+limits of all; with fewer than two different trusted texts nothing can be left out, so
+limits and verdicts are null and false. Where the hash leaves out none or all of the trusted
+texts, those of the least hash are left out. Repeated rows are all returned.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sharded_lm
-from .common import map_rows, stored
+from .common import stored
 
-ORDER = 4
-#: Quantile of trusted perplexities, and the slack on it.
-QUANTILE, SLACK = 0.995, 1.1
+#: Quantile of trusted perplexities, and the slack on it; variety has the opposite quantile and a slack of its own.
+QUANTILE, SLACK, VARIETY_SLACK = 0.995, 1.1, 2.0
+#: Different n-grams grow about as this power of a text's length.
+GROWTH = 0.8
 #: One in so many trusted texts is left out of training.
 LEFT_OUT = 10
 #: Characters of average text added to every text, so that very short ones say little.
 PRIOR_CHARS = 40
 #: Trusted ids (8 bytes each) that are broadcast to pick out trusted texts; more are joined by shuffle.
 MAX_BROADCAST_IDS = 4_000_000
-_START, _OTHER = 0, 45
-
-
-def _alphabet() -> np.ndarray:
-    """Class of each UTF-16 unit."""
-    t = np.full(65536, _OTHER, np.int64)
-    unit = np.arange(65536)
-    letters = (unit >= 192) & (unit < 55296)
-    t[letters] = 37 + unit[letters] % 8
-    for k, c in enumerate("abcdefghijklmnopqrstuvwxyz"):
-        t[ord(c)] = 1 + k
-    for k, group in enumerate(("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÈÉÊËÎÏÑÓÔÖÙÚÛÜÍÁ", "0123456789", " ", "\n", ".", ",", "!?", "'\"-", "|", "#*$%&<>")):
-        t[[ord(c) for c in group]] = 27 + k
-    return t
-
-
-CLASSES = _alphabet()
-A = 46
-
-
-def codes(text: str, order: int = ORDER) -> np.ndarray:
-    """The n-gram number of each character with those before it; starts are padded."""
-    x = CLASSES[np.frombuffer(text.encode("utf-16-le", "replace"), "<u2")]
-    x = np.concatenate([np.full(order - 1, _START), x])
-    out = np.zeros(len(x) - order + 1, np.int64)
-    for k in range(order):
-        out = out * A + x[k : len(x) - order + 1 + k]
-    return out
-
-
-def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, n): summed within each task, then by gram."""
-
-    def run(chunks):
-        total = np.zeros(A**order, np.int64)
-        for chunk in chunks:
-            for (text,) in chunk:
-                if text:
-                    c = codes(text.decode(), order)
-                    if len(c) > 100_000:
-                        total += np.bincount(c, minlength=A**order)
-                    else:
-                        np.add.at(total, c, 1)
-        for g in np.flatnonzero(total).tolist():
-            yield g, int(total[g])
-
-    return map_rows(docs, ["text"], "gram long, n long", run).groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def kneser_ney(counts: DataFrame, order: int = ORDER) -> np.ndarray:
-    """log P of every n-gram, dense; each order's parts come from joins by history."""
-    log_parts = []
-    level = counts
-    for n in range(order, 0, -1):
-        level = stored(level, f"kn-{n}")
-        c = dict(level.where("n <= 4").groupBy("n").count().collect())
-        n1, n2, n3, n4 = (float(c.get(k, 0)) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 else 0.5
-        d = [min(k, max(0.0, v)) for k, v in ((1, 1 - 2 * y * n2 / n1 if n1 else 0.5), (2, 2 - 3 * y * n3 / n2 if n2 else 0.75), (3, 3 - 4 * y * n4 / n3 if n3 else 0.9))]
-        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        grams = level.withColumn("hist", F.floor(F.col("gram") / A)).withColumn("cut", cut)
-        hist = grams.groupBy("hist").agg(F.sum("n").alias("total"), F.sum("cut").alias("left"))
-        direct = grams.join(hist, "hist").select("gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("p"))
-        back = hist.select("hist", (F.col("left") / F.col("total")).alias("g"))
-        # At most A**n rows each, whatever the corpus.
-        log_parts.append((n, direct.toPandas(), back.toPandas()))
-        level = level.groupBy((F.col("gram") % A ** (n - 1)).alias("gram")).agg(F.count("*").alias("n")) if n > 1 else None
-    p = np.full(1, 1.0 / (A - 1))
-    for n, direct, back in reversed(log_parts):
-        gamma = np.ones(A ** (n - 1))
-        gamma[back["hist"].to_numpy(np.int64)] = back["g"].to_numpy(float)
-        lower = np.tile(p, A ** (n - 1) // (A ** max(0, n - 2))) if n > 1 else np.full(A, p[0])
-        # P(c | h) = direct + gamma(h) P(c | h without its first character)
-        p = gamma.repeat(A) * lower
-        p[direct["gram"].to_numpy(np.int64)] += direct["p"].to_numpy(float)
-    return np.log(np.maximum(p, 1e-12)).astype(np.float32)
-
-
-def perplexities(docs: DataFrame, model: np.ndarray, order: int = ORDER, columns: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
-    """columns, n_chars and log_sum of each row: one narrow pass over whole texts."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
-    strings = [i for i, c in enumerate(columns) if docs.schema[c].dataType.simpleString() == "string"]
-
-    def run(chunks):
-        table = held.value
-        for chunk in chunks:
-            for *values, text in chunk:
-                for i in strings:
-                    values[i] = None if values[i] is None else values[i].decode()
-                c = codes(text.decode(), order) if text else ()
-                yield *values, len(c), float(table[c].sum(dtype=np.float64)) if len(c) else 0.0
-
-    return map_rows(docs, [*columns, "text"], f"{schema}, n_units long, log_sum double", run)
-
-
-def perplexity_by_join(docs: DataFrame, model: np.ndarray, order: int = ORDER) -> DataFrame:
-    """(doc_id, n_units, log_sum) by joining per-document counts with the sharded model."""
-
-    def run(chunks):
-        for chunk in chunks:
-            for doc_id, text in chunk:
-                if text:
-                    g, n = np.unique(codes(text.decode(), order), return_counts=True)
-                    yield from ((doc_id, a, b) for a, b in zip(g.tolist(), n.tolist()))
-
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)
-
-    def look_up(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"gram": pdf["id"], "p": held.value[pdf["id"].to_numpy()].astype(float)})
-
-    shards = spark.range(len(model)).mapInPandas(look_up, "gram long, p double")
-    grams = map_rows(docs, ["doc_id", "text"], "doc_id long, gram long, n long", run)
-    return grams.join(shards, "gram").groupBy("doc_id").agg(F.sum("n").alias("n_units"), F.sum(F.col("n") * F.col("p")).alias("log_sum"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, lang, n_units, perplexity, threshold, kept) of each row of docs."""
+    """(doc_id, lang, n_units, perplexity, threshold, variety, least_variety, kept) of each row of docs."""
     trusted = stored(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct(), "quality-trusted")
     few = trusted.count() <= MAX_BROADCAST_IDS
     good = trusted.withColumn("good", F.lit(True))
@@ -169,16 +52,17 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = stored(sharded_lm.scores(marked, shards, ("doc_id", "lang", "left_out")), "quality-scores")
     mean = scored.agg(F.sum("log_sum") / F.sum("n_units")).first()[0] or 0.0
     shrunk = F.exp(-(F.col("log_sum") + PRIOR_CHARS * mean) / (F.col("n_units") + PRIOR_CHARS))
-    scored = scored.withColumn("perplexity", F.when(F.col("n_units") > 0, shrunk))
+    variety = (F.col("n_distinct") + PRIOR_CHARS) / F.pow(F.col("n_units") + PRIOR_CHARS, GROWTH)
+    scored = scored.withColumns({"perplexity": F.when(F.col("n_units") > 0, shrunk), "variety": F.when(F.col("n_units") > 0, variety)})
     good = scored.where("left_out and perplexity is not null")
-    at = F.percentile_approx("perplexity", QUANTILE, 10_000) * SLACK
+    most, least = F.percentile_approx("perplexity", QUANTILE, 10_000) * SLACK, F.percentile_approx("variety", 1 - QUANTILE, 10_000) / VARIETY_SLACK
     # One row for each language: bounded by the number of languages, joined by value.
-    by_lang = good.groupBy("lang").agg(at.alias("t"))
-    rest = good.agg(at.alias("t_all")).first()["t_all"]
-    b = by_lang.select(F.col("lang").alias("_lang"), "t")
-    out = scored.join(b, scored["lang"].eqNullSafe(b["_lang"]), "left").withColumn("threshold", F.coalesce("t", F.lit(rest).cast("double")))
-    kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False))
-    return out.select("doc_id", "lang", "n_units", "perplexity", "threshold", kept.alias("kept"))
+    b = good.groupBy(F.col("lang").alias("_lang")).agg(most.alias("t"), least.alias("v"))
+    rest = good.agg(most.alias("t"), least.alias("v")).first()
+    out = scored.join(b, scored["lang"].eqNullSafe(b["_lang"]), "left")
+    out = out.withColumns({"threshold": F.coalesce("t", F.lit(rest["t"]).cast("double")), "least_variety": F.coalesce("v", F.lit(rest["v"]).cast("double"))})
+    kept = F.coalesce((F.col("perplexity") <= F.col("threshold")) & (F.col("variety") >= F.col("least_variety")), F.lit(False))
+    return out.select("doc_id", "lang", "n_units", "perplexity", "threshold", "variety", "least_variety", kept.alias("kept"))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

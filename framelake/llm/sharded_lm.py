@@ -221,8 +221,18 @@ def _distinct(t: pa.Table, letters: Letters) -> np.ndarray:
     return np.unique(np.concatenate(parts))
 
 
+def _kinds(which: np.ndarray, size: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Different n-grams of each text of a chunk: places that no later one of the same text repeats. last is scratch space."""
+    out, end = np.zeros(len(size), np.int64), np.cumsum(size)
+    for i, (a, b) in enumerate(zip(end - size, end)):
+        own, place = which[a:b], np.arange(a, b)
+        last[own] = place
+        out[i] = np.count_nonzero(last[own] == place)
+    return out
+
+
 def scores(docs: DataFrame, shards: DataFrame, columns: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
-    """columns, n_units and log_sum of each row, by joining each piece's distinct n-grams with the shards."""
+    """columns, n_units, log_sum and n_distinct (different n-grams) of each row, by joining each piece's distinct n-grams with the shards."""
 
     def ask(batches):
         for b in batches:
@@ -233,7 +243,7 @@ def scores(docs: DataFrame, shards: DataFrame, columns: tuple[str, ...] = ("doc_
                     g = grams[k : k + 10_000]
                     yield pa.RecordBatch.from_arrays([pa.array([piece] * len(g), pa.int64()), pa.array(np.arange(k, k + len(g), dtype=np.int32)), g], names=["piece", "at", "gram"])
 
-    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns) + ", n_units long, log_sum double"
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns) + ", n_units long, log_sum double, n_distinct long"
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -245,11 +255,12 @@ def scores(docs: DataFrame, shards: DataFrame, columns: tuple[str, ...] = ("doc_
             p[right.column("at").to_numpy()] = np.log(right.column("p").to_numpy())
             if np.isnan(p).any():
                 raise ValueError("n-grams of a piece are missing from the shards")
+            last = np.zeros(n, np.int64)
             for b, units in _chunks(t):
-                each = p[keys.get_indexer(letters.keys(units)) if letters else _wide(units[0])[1].ravel()]
+                which = keys.get_indexer(letters.keys(units)) if letters else _wide(units[0])[1].ravel()
                 size = np.array([len(u) for u in units])
-                log_sum = np.bincount(np.repeat(np.arange(len(units)), size), each, len(units))
-                out.append(pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(size.astype(np.int64)), pa.array(log_sum)], names=[*columns, "n_units", "log_sum"]))
+                log_sum = np.bincount(np.repeat(np.arange(len(units)), size), p[which], len(units))
+                out.append(pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(size.astype(np.int64)), pa.array(log_sum), pa.array(_kinds(which, size, last))], names=[*columns, "n_units", "log_sum", "n_distinct"]))
         return pa.Table.from_batches(out)
 
     held = pieces(docs, list(columns))

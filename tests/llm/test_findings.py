@@ -39,7 +39,29 @@ def brute_kneser_ney(train, order):
     return lambda t: sum(math.log(p(g)) for g in grams(t))
 
 
-def test_quality_model_is_sharded_kneser_ney_of_code_points(spark, monkeypatch):
+def test_sharded_model_sums_to_one(spark):
+    """Of any history, seen or not, over all units seen in training and one for those never seen."""
+    train = ["the cat sat on the mat", "that hat", "aaaa bb"]
+    units = sorted(set("".join(train))) + ["\u2603"]
+    histories = ["the ", "", "at", "zzzz", "aaaa", "xthe"]
+    rows = [(t, True) for t in train] + [(h + u, False) for h in histories for u in units]
+    p = {bytes(r.gram): r.p for r in sharded_lm.model(sharded_lm.gram_counts(spark.createDataFrame(rows, "text string, train boolean"))).collect()}
+    for h in histories:
+        points = [[*[sharded_lm.START] * 4, *map(ord, h), ord(u)][-sharded_lm.ORDER :] for u in units]
+        assert abs(sum(p[b"".join(x.to_bytes(3, "big") for x in g)] for g in points) - 1) < 1e-9, h
+
+
+def test_repetition_is_low_quality_however_likely(spark):
+    rng = np.random.default_rng(0)
+    words = ["sun", "rain", "over", "hills", "and", "rivers", "slowly", "falls", "the", "light", "of", "evening"]
+    rows = [(i, " ".join(rng.choice(words, 60))) for i in range(200)] + [(1000 + i, (words[i] + " ") * 60) for i in range(10)]
+    labels = spark.createDataFrame([(i, 1) for i in range(150)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_lm.digest(spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")), labels).collect()}
+    assert sum(got[i].kept for i in range(200)) >= 195 and not any(got[1000 + i].kept for i in range(10))
+    assert all(got[1000 + i].variety < got[1000 + i].least_variety for i in range(10))
+
+
+def test_quality_model_is_sharded_kneser_ney_of_code_points(spark):
     train = ["the cat sat on the mat", "это просто текст", "漢字 かな 漢字", "the dog sat", "a\0b 😀"]
     other = ["the rat sat", "просто кот", "仮名 漢字", "", None, "the rat sat", "".join(map(chr, range(0x4E00, 0x4E00 + 5000)))]
     rows = [(i, t, i < len(train)) for i, t in enumerate(train + other)]
@@ -49,10 +71,10 @@ def test_quality_model_is_sharded_kneser_ney_of_code_points(spark, monkeypatch):
     want = brute_kneser_ney(train, sharded_lm.ORDER)
     assert len(got) == len(rows)
     for i, t, _ in rows:
-        assert got[i].n_units == len(t or "") and math.isclose(got[i].log_sum, want(t or ""), rel_tol=1e-5, abs_tol=1e-5), t
-    # Code points that the dense classes can't tell apart differ; the dense table is not on the main path.
-    assert (quality_lm.codes("一") == quality_lm.codes("丈")).all() and shards.select("gram").distinct().count() == shards.count()
-    monkeypatch.setattr(quality_lm, "kneser_ney", None)
+        padded = [None] * 4 + list(t or "")
+        assert got[i].n_units == len(t or "") and got[i].n_distinct == len({tuple(padded[k : k + 5]) for k in range(len(t or ""))})
+        assert math.isclose(got[i].log_sum, want(t or ""), rel_tol=1e-5, abs_tol=1e-5), t
+    assert shards.select("gram").distinct().count() == shards.count()
     labels = spark.createDataFrame([(i, 1) for i in range(len(train))], "doc_id long, quality int")
     out = quality_lm.digest(df.withColumn("lang", F.lit("x")), labels).collect()
     assert len(out) == len(rows) and any(r.kept for r in out) and not next(r for r in out if r.doc_id == len(rows) - 1).kept

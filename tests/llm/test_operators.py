@@ -596,21 +596,10 @@ def test_cuckoo_filter():
     assert f.may_hold(keys[2500:]).all() and f.may_hold(keys[:2500]).mean() < 0.01
 
 
-def test_kneser_ney_sums_to_one_and_joins_agree(docs, labels):
-    model = quality_lm.kneser_ney(quality_lm.gram_counts(docs.select("text")))
-    p = np.exp(model.astype(float)).reshape(-1, quality_lm.A)
-    # No character is the start class, so each history's mass is on the others.
-    seen = np.unique(np.concatenate([quality_lm.codes(t) for _, t in texts(docs)[:40] if t]) // quality_lm.A)
-    assert np.allclose(p[seen].sum(1), 1, atol=0.03)
-    a = {r.doc_id: (r.n_units, r.log_sum) for r in quality_lm.perplexities(docs, model).collect()}
-    b = {r.doc_id: (r.n_units, r.log_sum) for r in quality_lm.perplexity_by_join(docs.limit(20), model).collect()}
-    assert b and all(a[i][0] == n and abs(a[i][1] - s) < 1e-3 * abs(s) + 1e-6 for i, (n, s) in b.items())
-
-
 def test_quality_lm(docs, odd, none, labels):
     rows = quality_lm.digest(docs, labels).join(labels, "doc_id").collect()
     good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
-    assert np.mean(good) > 0.98 and np.mean(bad) < 0.5
+    assert np.mean(good) > 0.95 and np.mean(bad) < 0.1
     got = quality_lm.digest(odd, labels.where("quality > 5")).collect()
     assert len(got) == len(ODD) and not any(r.kept for r in got)
     assert quality_lm.digest(none, labels).count() == 0
