@@ -7,12 +7,14 @@ list of Spark conditional expressions over the statistics' columns.
 
 Defined cases: null text has no words and fails the base rule (fewer than 10 words);
 rows without a label or with labels other than 0 and 1 teach nothing; without labels of
-both kinds the list is empty and only the base rule drops. Repeated rows are all
+both kinds the list is empty and only the base rule drops. A list has at most MAX_RULES
+rules of MAX_CONDITIONS conditions, each one of THRESHOLDS quantiles of what it splits. Repeated rows are all
 returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
@@ -45,7 +47,11 @@ def repeated_words(words: list[bytes], size: int = 5) -> int:
     if not (s[1:] == s[:-1]).any():
         return 0
     _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
-    starts = np.flatnonzero(counts[inverse] > 1)
+    # equal sums only select windows; their words decide
+    maybe = np.flatnonzero(counts[inverse] > 1).tolist()
+    windows = [tuple(words[k : k + size]) for k in maybe]
+    often = Counter(windows)
+    starts = np.array([k for k, w in zip(maybe, windows) if often[w] > 1], np.int64)
     edge = np.zeros(len(words) + 1, np.int64)
     edge[starts] += 1
     edge[starts + size] -= 1

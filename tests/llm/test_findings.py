@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from framelake.llm import html_text, quality_lm, secrets, sharded_lm
+from framelake.llm import html_text, quality_lm, quality_rules, secrets, sharded_lm
 
 
 def brute_kneser_ney(train, order):
@@ -144,3 +144,11 @@ def test_html_wrappers_and_unclosed_boilerplate():
     assert html_text.main_text(f"<table><tr><td class=sidebar>Buy<td>{body}</table>", w) == body
     assert "Buy" not in html_text.main_text(f"<ul><li class=menu>Buy<ul><li>Buy more</ul><li>{body}</ul>", w)
     assert html_text.main_text(f"<body><div class='ad'>Buy this</div><p>{body}</p></body>", w) == body
+
+
+def test_windows_with_equal_sums_are_not_repeats(monkeypatch):
+    """Sums select windows only; with all of them equal the words still decide."""
+    words = [b"w%d" % k for k in range(40)]
+    monkeypatch.setattr(quality_rules, "_MULTIPLIERS", np.zeros(5, np.uint64))
+    assert quality_rules.repeated_words(words) == 0
+    assert quality_rules.repeated_words(words + words[3:9]) == 12
