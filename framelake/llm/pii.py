@@ -86,7 +86,7 @@ _RUN = re.compile(rb"(.)\1*", re.S)
 
 def shape(token: bytes) -> str:
     """Letter and digit runs with their lengths up to 5, other characters as they are."""
-    t = token[:64].translate(_TYPES)
+    t = token.translate(_TYPES)
     return "".join(m[1].decode("latin-1") + (str(min(5, len(m[0]))) if m[1] in b"dAa" else "") for m in _RUN.finditer(t))
 
 
@@ -94,7 +94,7 @@ def features_of(tokens: list[bytes], i: int) -> list[str]:
     t = tokens[i]
     digits = sum(48 <= x <= 57 for x in t)
     at = lambda k: shape(tokens[k]) if 0 <= k < len(tokens) else "|"
-    word = lambda k: tokens[k].strip(b".,:;()").lower().decode("utf-8", "replace")[:12] if 0 <= k < len(tokens) else "|"
+    word = lambda k: tokens[k].strip(b".,:;()").lower().decode("utf-8", "replace") if 0 <= k < len(tokens) else "|"
     brief = re.sub(r"\d", "", shape(t))
     return [
         "bias", f"s={shape(t)}", f"b={brief}", f"p={at(i - 1)}", f"n={at(i + 1)}", f"pw={word(i - 1)}", f"digits={min(digits, 20)}", f"len={min(len(t), 24)}",
