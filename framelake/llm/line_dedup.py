@@ -3,13 +3,18 @@
 An index is kept in the shared folder as three tables:
 
 * references, a log: each insertion appends its (line key, document) rows, each deletion
-  the ids it takes away; a reference lives unless its document was deleted later;
+  the ids it takes away; a reference lives unless its document was deleted later. From the
+  first change on they are laid out twice, in folders by shard of the key and in folders by
+  bucket of the document;
 * counts, one row a line key with its number of documents and the largest one, in shards
   by key;
 * a cuckoo filter for each shard, over the keys whose lines are dropped now.
 
-Inserting or deleting documents rewrites only the shards of their keys: counts of those
-keys change, and keys that come to be dropped or stop being so are added to or removed from their
+Inserting documents reads the references in their buckets, to tell new ones from known
+ones; deleting documents reads those in their buckets, and those in the shards of the keys
+they held, to see who keeps a line now. Neither reads other folders. A log of more than
+MAX_LOG changes is written anew as one. Inserting or deleting documents rewrites only the
+shards of their keys: counts of those keys change, and keys that come to be dropped or stop being so are added to or removed from their
 shard's filter one by one. A filter only says where to look, the counts decide. Every
 change gives a new index and leaves the old one as it was.
 
@@ -38,6 +43,8 @@ MIN_CHARS, MIN_DOCS = 40, 5
 MAX_BROADCAST_KEYS = 1_000_000
 #: Keys in a shard, about, and the most shards (they are folders; beyond it shards grow).
 SHARD_KEYS, MAX_SHARDS = 500_000, 4096
+#: Changes after which the references are laid out anew.
+MAX_LOG = 16
 #: Keys that ask one filter in one task, about.
 ASKED_KEYS = 1_000_000
 #: Documents from which on a dropped key is hot; of n references at most n / HOT_DOCS are.
@@ -179,10 +186,11 @@ class LineIndex:
     """References, counts and filters in stored tables; every change gives a new index.
 
     ``at`` says for each shard in which of ``counts`` and ``filters`` (one table a change)
-    its rows are now; ``log`` lists references added and ids deleted, in order.
+    its rows are now; ``log`` lists references added, as tables by name ("all", or "shard" and
+    "bucket"), and ids deleted ("gone"), in order.
     """
 
-    def __init__(self, log: list[tuple[str, DataFrame]], counts: list[DataFrame], filters: list[DataFrame], at: dict[int, int], shards: int, min_chars: int, min_docs: int) -> None:
+    def __init__(self, log: list[dict[str, DataFrame]], counts: list[DataFrame], filters: list[DataFrame], at: dict[int, int], shards: int, min_chars: int, min_docs: int) -> None:
         self.log, self._counts, self._filters, self.at, self.shards, self.min_chars, self.min_docs = log, counts, filters, at, shards, min_chars, min_docs
         #: Shards that the change which made this index rewrote.
         self.touched = sorted(s for s, k in at.items() if k == len(counts) - 1)
@@ -195,7 +203,7 @@ class LineIndex:
         shards = min(MAX_SHARDS, max(1, -(-refs.count() // SHARD_KEYS)))
         counts = _by_shard(counts.withColumn("shard", _shard(shards)))
         filters = stored(_changes(counts.withColumn("before", F.lit(0)), min_docs).groupBy("shard").applyInPandas(lambda keys: _update(keys[:0], keys), _FILTER), "line-filters")
-        return cls([("add", refs)], [counts], [filters], dict.fromkeys(range(shards), 0), shards, min_chars, min_docs)
+        return cls([{"all": refs}], [counts], [filters], dict.fromkeys(range(shards), 0), shards, min_chars, min_docs)
 
     def _current(self, tables: list[DataFrame], only: list[int] | None = None) -> DataFrame:
         """The rows of shards (of only these), each from the table that has them now; folders of others aren't read."""
@@ -223,28 +231,49 @@ class LineIndex:
     @property
     def refs(self) -> DataFrame:
         """The living references: those whose document no later deletion took."""
+        return self._living("shard", None)
+
+    def _living(self, name: str, only: list[int] | None) -> DataFrame:
+        """The living references of these shards or buckets; folders of others aren't read."""
         out = None
-        for kind, t in self.log:
-            if kind == "add":
-                out = t if out is None else out.unionByName(t)
+        for entry in self.log:
+            if "gone" in entry:
+                out = out.join(_sized(entry["gone"]), "doc_id", "left_anti")
             else:
-                out = out.join(_sized(t), "doc_id", "left_anti").select("h1", "h2", "doc_id")
-        return out
+                t = entry["all"] if "all" in entry else entry[name] if only is None else entry[name].where(F.col(name).isin(only))
+                t = t.select("h1", "h2", "doc_id")
+                out = t if out is None else out.unionByName(t)
+        return out.select("h1", "h2", "doc_id")
+
+    def _lay_out(self) -> None:
+        """References by shard and by bucket: those of the beginning at the first change, all of them when the log is long."""
+        if len(self.log) > MAX_LOG:
+            self.log = [self._laid(self.refs)]
+        self.log = [self._laid(e["all"]) if "all" in e else e for e in self.log]
+
+    def _laid(self, refs: DataFrame) -> dict[str, DataFrame]:
+        rows = refs.select("h1", "h2", "doc_id", _shard(self.shards).alias("shard"), _bucket(self.shards).alias("bucket"))
+        return {by: stored(rows.select("h1", "h2", "doc_id", by).repartition(by), f"line-refs-{by}", by=by) for by in ("shard", "bucket")}
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        found = references(docs, self.min_chars).distinct()
-        new = stored(found.join(self.refs, ["h1", "h2", "doc_id"], "left_anti"), "line-refs")
-        return self._changed(("add", new), _counted(new).withColumn("by", F.col("n_docs")))
+        self._lay_out()
+        found = stored(references(docs, self.min_chars).distinct(), "line-found")
+        known = self._living("bucket", _distinct(found.select(_bucket(self.shards).alias("n"))))
+        new = stored(found.join(known, ["h1", "h2", "doc_id"], "left_anti"), "line-refs")
+        return self._changed(self._laid(new), _counted(new).withColumn("by", F.col("n_docs")))
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Without the documents in doc_ids(doc_id): as if they had never come."""
+        self._lay_out()
         gone = stored(doc_ids.where("doc_id is not null").select("doc_id").distinct(), "line-deleted")
-        lost = stored(self.refs.join(_sized(gone), "doc_id", "left_semi").groupBy("h1", "h2").agg(F.count("*").alias("lost")), "line-lost")
-        left = self.refs.join(_sized(gone), "doc_id", "left_anti").join(_sized(lost), ["h1", "h2"], "left_semi")
+        theirs = self._living("bucket", _distinct(gone.select(_bucket(self.shards).alias("n"))))
+        lost = stored(theirs.join(_sized(gone), "doc_id", "left_semi").groupBy("h1", "h2").agg(F.count("*").alias("lost")), "line-lost")
+        left = self._living("shard", _distinct(lost.select(_shard(self.shards).alias("n"))))
+        left = left.join(_sized(gone), "doc_id", "left_anti").join(_sized(lost), ["h1", "h2"], "left_semi")
         keep = left.groupBy("h1", "h2").agg(F.max("doc_id").alias("keep_doc"))
-        return self._changed(("delete", gone), lost.join(keep, ["h1", "h2"], "left").select("h1", "h2", "keep_doc", (-F.col("lost")).alias("by")))
+        return self._changed({"gone": gone}, lost.join(keep, ["h1", "h2"], "left").select("h1", "h2", "keep_doc", (-F.col("lost")).alias("by")))
 
-    def _changed(self, entry: tuple[str, DataFrame], delta: DataFrame) -> LineIndex:
+    def _changed(self, entry: dict[str, DataFrame], delta: DataFrame) -> LineIndex:
         """After delta(h1, h2, by, keep_doc): only its shards are read and written again."""
         delta = stored(delta.select("h1", "h2", "by", F.col("keep_doc").alias("_keep"), _shard(self.shards).alias("shard")), "line-delta")
         touched = [r["shard"] for r in delta.select("shard").distinct().collect()]
@@ -358,6 +387,15 @@ def _shard(shards: int) -> Column:
     return F.pmod("h2", F.lit(shards)).cast("int")
 
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+
+
+def _distinct(numbers: DataFrame) -> list[int]:
+    """Shard or bucket numbers, of which there are at most MAX_SHARDS."""
+    return sorted(r[0] for r in numbers.distinct().collect())
+
+
 def _counted(refs: DataFrame) -> DataFrame:
     return refs.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep_doc"))
 
