@@ -10,9 +10,16 @@ own log odds of standing in the middle of an article, so an advert there doesn't
 One linear scan finds the contiguous region of the largest sum, and blocks inside it whose
 own words sum to less than nothing are left out. Nothing else is dropped.
 
-A class, id or role tells only by whole tokens ("cookie-notice", not "has-sidebar"), and tells
-something else when its element wraps an article, main or h1 or, on pages without these, half of
-the words that stand outside elements named as boilerplate.
+A class, id or role tells by the first or last word of a token ("cookie-notice", "site-footer",
+not "has-sidebar"), and tells something else when its element wraps an article, main or h1 or, on
+pages without these, half of the words that stand outside elements named as boilerplate.
+
+Two features need no list of names. A block outside headings is linked when four fifths of its
+words are links. On pages without article and main, boxes (div, list or table, each with a class
+or id) stand apart from the one that holds the article: that of the first h1 if it holds a quarter
+as many words as the fullest, else the fullest. Boxes around it, those that share parent, element
+and class with it, and those whose name tells content do not stand apart; and nothing does where
+what stands apart would be more than the rest (a long comment thread of unknown name stays then).
 
 Defined cases: null or empty html, and pages without words that score positive, give the
 empty text. Unclosed, truncated and overlapping tags are read as far as they go; an
@@ -46,12 +53,18 @@ NEUTRAL = tuple("a li p h1 h2 h3 td blockquote pre article main".split())
 CLASSES = tuple(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related replies reply share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
-#: Also: under a class word that wraps the article; outside the page's article and main; above its first h1 where it has neither.
-FEATURES = (*NAMED, *NEUTRAL, *(f".{c}" for c in CLASSES), ".wrap", ".outside", ".above")
+#: Also: under a class word that wraps the article; outside the page's article and main; above its
+#: first h1 where it has neither; in a box apart from the article's; mostly links.
+FEATURES = (*NAMED, *NEUTRAL, *(f".{c}" for c in CLASSES), ".wrap", ".outside", ".above", ".apart", ".linked")
+#: Words that make a token of a class tell nothing, elements that are boxes, and words that tell content.
+NEGATING = frozenset("has no not is with without free section table".split())
+BOXES = frozenset("div ul ol dl table".split())
+CONTENT = frozenset("article body caption chapter code content entry figure highlight intro lead main math page paragraph post quote row section story summary table text".split())
 _BIT = {f: 1 << k for k, f in enumerate(FEATURES)}
 _NAMED = sum(_BIT[n] for n in NAMED)
 #: Where these change, a block ends.
-_MARKS = _NAMED | sum(_BIT[f".{c}"] for c in CLASSES)
+_MARKS = _NAMED | sum(_BIT[f".{c}"] for c in CLASSES) | _BIT[".apart"]
+_HEADINGS = _BIT["h1"] | _BIT["h2"] | _BIT["h3"]
 _CLASS_WORDS = frozenset(CLASSES)
 #: Elements closed by the start of another block.
 _SELF_CLOSING = {"li": ("li",), "dt": ("dd", "dt"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
@@ -69,7 +82,7 @@ class Block(NamedTuple):
 
     @property
     def marked(self) -> bool:
-        return bool(self.words[0][0] & _MARKS)
+        return bool(self.words[0][0] & (_MARKS | _BIT[".linked"]))
 
 
 class Weights(NamedTuple):
@@ -82,15 +95,29 @@ class Weights(NamedTuple):
 
 
 def class_word(attributes: str) -> str | None:
-    """The first token of class, id or role all of whose words tell boilerplate, by its first word."""
-    for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
-        for token in (m[1] or m[2] or m[3] or "").lower().split():
-            words = re.findall("[a-z]+", token)
-            if words and _CLASS_WORDS.issuperset(words):
-                return words[0]
+    """The telling word of the first token of class, id or role that begins or ends with one."""
+    for token in _tokens(attributes):
+        words = re.findall("[a-z]+", token)
+        if words and NEGATING.isdisjoint(words):
+            for word in (words[0], words[-1]):
+                if word in _CLASS_WORDS:
+                    return word
     return None
 
 
+def _tokens(attributes: str) -> list[str]:
+    return [t for m in _ATTRIBUTE.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").lower().split()] if attributes else []
+
+
+def _box(name: str, attributes: str) -> tuple[str, bool] | None:
+    """What a box is called, by element and class without digits, and whether that tells content."""
+    tokens = _tokens(attributes) if name in BOXES else ()
+    if not tokens:
+        return None
+    words = sorted({w for t in tokens for w in re.findall("[a-z]+", t)})
+    return f"{name} {' '.join(words)}", not CONTENT.isdisjoint(words)
+
+
 def _implied_end(stack: list[str], opened: Counter, name: str) -> int | None:
     """Where the stack is cut by the start of an element whose predecessor needs no end tag."""
     ends = _SELF_CLOSING.get(name)
@@ -117,6 +144,7 @@ def steps(page: str) -> list[tuple[str, str, int]]:
     opened: Counter = Counter()  # names in the stack
     mask = silent = 0  # features of the names in the stack; depth at which silence began, plus one
     spans: list[list] = []  # [first step, last + 1, class word] of elements with one
+    boxes: list[list] = []  # [first step, last + 1, (called, tells content)]
     open_spans: list[tuple[int, list]] = []
 
     def cut(depth: int) -> None:
@@ -190,9 +218,12 @@ def steps(page: str) -> list[tuple[str, str, int]]:
             if name not in ("html", "body", "article", "main") and (word := class_word(attributes)):
                 spans.append([len(out) - 1, n, word])
                 open_spans.append((len(stack), spans[-1]))
+            elif not silent and (box := _box(name, attributes)):
+                boxes.append([len(out) - 1, n, box])
+                open_spans.append((len(stack), boxes[-1]))
     for _, span in open_spans:
         span[1] = len(out)
-    return _with_place(_with_classes(out, spans) if spans else out)
+    return _with_boxes(_with_place(_with_classes(out, spans) if spans else out), boxes)
 
 
 def _with_place(out: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]:
@@ -204,6 +235,49 @@ def _with_place(out: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]:
     return [(kind, s, mask | _BIT[".above"]) for kind, s, mask in out[:first]] + out[first:]
 
 
+def _with_boxes(out: list[tuple[str, str, int]], boxes: list[list]) -> list[tuple[str, str, int]]:
+    """The steps with the feature of boxes apart from the article's; boxes of one parent and name are one."""
+    inside = _BIT["article"] | _BIT["main"]
+    if not boxes or any(mask & inside for _, _, mask in out):
+        return out
+    kinds: dict[tuple[int, str], int] = {}
+    parent, content = [-1], [True]  # of each kind of box; the page itself is the first
+    place, held = [], []
+    words: Counter = Counter()
+    title, k, at = None, 0, 0
+    for i, (kind, s, mask) in enumerate(out):
+        while held and held[-1][0] <= i:
+            at = held.pop()[1]
+        while k < len(boxes) and boxes[k][0] <= i:
+            _, end, (called, tells) = boxes[k]
+            held.append((end, at))
+            if (at, called) not in kinds:
+                kinds[at, called] = len(parent)
+                parent.append(at)
+                content.append(tells)
+            at = kinds[at, called]
+            k += 1
+        place.append(at)
+        if not mask & _MARKS:
+            if kind == "text" and not mask & (_HEADINGS | _BIT["a"]):
+                words[at] += len(s.split())
+            if kind == "<h1" and title is None:
+                title = at
+    most = max(words, key=lambda b: (words[b], -b), default=0)
+    best = title if title is not None and 4 * words[title] >= max(1, words[most]) else most
+    apart = [False]
+    around = {0}
+    while best > 0:
+        around.add(best)
+        best = parent[best]
+    for b in range(1, len(parent)):  # a parent comes before its boxes
+        apart.append(apart[parent[b]] or b not in around and not content[b])
+    if 2 * sum(n for b, n in words.items() if apart[b]) > sum(words.values()):
+        return out
+    bit = _BIT[".apart"]
+    return [(kind, s, mask | bit if apart[b] else mask) for (kind, s, mask), b in zip(out, place)]
+
+
 def _with_classes(out: list[tuple[str, str, int]], spans: list[list]) -> list[tuple[str, str, int]]:
     """The steps with the features of class words over their spans."""
     words, marks = [0], [0]
@@ -239,7 +313,9 @@ def blocks_and_tags(page: str) -> list[Block | str]:
         if held:
             text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
             if text:
-                out.append(Block(text, tuple(counts.items())))
+                linked = sum(n for mask, n in counts.items() if mask & _BIT["a"] and not mask & _HEADINGS)
+                more = _BIT[".linked"] if linked and 5 * linked >= 4 * sum(counts.values()) else 0
+                out.append(Block(text, tuple((mask | more, n) for mask, n in counts.items())))
             held.clear()
             counts.clear()
         out.extend(inner)
@@ -267,23 +343,27 @@ def blocks_and_tags(page: str) -> list[Block | str]:
     return out
 
 
-def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, str]]:
+def labelled_pages(count: int = 600, seed: int = 11) -> list[tuple[str, str]]:
     """The default labelled pages: html and its main text, written by rule."""
     r = random.Random(seed)
     said = lambda a, b: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(r.randint(a, b)))
     links = lambda a, b: "".join(f'<li><a href="/{k}">{said(1, 3)}</a></li>' for k in range(r.randint(a, b)))
 
-    def boilerplate() -> str:
-        """Something that no article has: named, called so by a class, or a list of links."""
+    def boilerplate(inside_article: bool = False) -> str:
+        """Something that no article has: named, called so by a class, a list or table of links, or outside it and called anything."""
         inside = r.choice([f"<ul>{links(2, 9)}</ul>", f"<p>{said(4, 30)}</p>", said(3, 25), f"<p>{said(2, 9)} <a href=x>{said(1, 4)}</a></p>", f"<h2>{said(1, 3)}</h2><ul>{links(2, 6)}</ul>", f"<h3>{said(1, 3)}</h3><p>{said(5, 20)}</p>"])
         kind = r.random()
-        if kind < 0.4:
+        if kind < 0.35:
             name = r.choice(NAMED)
             title = f"<h1>{said(1, 4)}</h1>" if name == "header" and r.random() < 0.3 else ""
             return f"<{name}>{title}{inside}</{name}>"
-        if kind < 0.8:
+        if kind < 0.7:
             return f'<{(t := r.choice(["div", "div", "section", "ul", "p"]))} {r.choice(["class", "class", "id"])}="{r.choice(CLASSES)}">{said(3, 25) if t in ("p", "ul") else inside}</{t}>'
-        return f"<div><ul>{links(3, 12)}</ul></div>"
+        if kind < 0.8:
+            return f"<div><ul>{links(3, 12)}</ul></div>"
+        if kind < 0.9 or inside_article:
+            return f"<table>{''.join(f'<tr><td><a href=/{k}>{said(1, 3)}</a></td></tr>' for k in range(r.randint(2, 8)))}</table>"
+        return f'<div {r.choice(["class", "id"])}="{said(1, 1)}-{said(1, 1)}">{inside}</div>'
 
     out = []
     for _ in range(count):
@@ -311,7 +391,7 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, str]]:
             elif kind < 0.9:
                 body += "<table><tr>" + block("td", 1, 9) + block("td", 1, 9) + "</tr></table>"
             else:
-                body += boilerplate()
+                body += boilerplate(True)
         tag = r.choice(["article", "article", "main", "div", "section", f'div class="{r.choice(CLASSES)}"' if "<h1>" in body else "div"])
         # What stands outside an article, or above its heading, needs no telling name.
         stray = lambda odds: f"<{(t := r.choice(['p', 'div', 'h2']))}>{said(2, 25)}</{t}>" if r.random() < odds else ""
