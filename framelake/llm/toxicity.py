@@ -39,14 +39,12 @@ from .common import beside, held_out, map_rows, stored
 
 #: Labelled rows that may teach, of each class, taken in order of a hash of the id.
 SAMPLE_ROWS = 20_000
-#: Rows that must hold a proposed term, prefix lengths, and the largest share of rows that may.
-MIN_ROWS, PREFIXES, MAX_SHARE = 4, range(3, 9), 0.2
+#: Rows that must hold a proposed term, and prefix lengths.
+MIN_ROWS, PREFIXES = 4, range(3, 9)
 #: Standard deviations by which toxic rows must exceed their share among those that hold a term, and the least ratio of its rates in the two classes.
 ORIENTED, LIFT = 4.5, 5
-#: Size of the model: the terms that stand out most.
-MAX_VOTERS = 3_000
-#: Correlations given the class from which on two voters are of one family, and one; families that get a class of their own.
-RELATED, CORRELATED, FAMILIES = 0.1, 0.5, 8
+#: Correlations given the class from which on two voters are of one family, and one; the share of toxic votes that gives a family a class of its own.
+RELATED, CORRELATED, FAMILY_SHARE = 0.1, 0.5, 0.02
 #: A-Z lowered; bytes that are no part of a word become spaces.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Possessive runs from word starts only: a run of any length is tried once.
@@ -158,10 +156,11 @@ def propose(sample: DataFrame) -> dict[str, tuple[int, int]]:
 
     counted = map_rows(sample, ["toxic", "words"], "term string, pos long, neg long", counting).groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     n = F.col("pos") + F.col("neg")
-    proposed = counted.where((n >= MIN_ROWS) & (n <= max(MIN_ROWS, MAX_SHARE * total)))
+    proposed = counted.where(n >= MIN_ROWS)
     stands_out = (F.col("pos") - n * base) / F.sqrt(n * (base * (1 - base)))
     lift = F.col("pos") / size[1] / ((F.col("neg") + 1) / size[0])
-    best = proposed.withColumn("z", stands_out).where((F.col("z") >= ORIENTED) & (lift >= LIFT) & (F.col("pos") >= MIN_ROWS)).orderBy(F.desc("z"), "term").limit(MAX_VOTERS)
+    best = proposed.withColumn("z", stands_out).where((F.col("z") >= ORIENTED) & (lift >= LIFT) & (F.col("pos") >= MIN_ROWS))
+    # Every term that stands out votes; their number is bounded by the sample's words.
     found = {r["term"]: (r["pos"], r["neg"]) for r in best.collect()}
     # A beginning whose rows are all a longer beginning's, and a word whose rows are all its longest beginning's, add nothing.
     longest = lambda t: t[: PREFIXES[-1]] + "*"
@@ -207,12 +206,12 @@ def label_model(row: np.ndarray, voter: np.ndarray, n: int, start: np.ndarray, s
     """
     m = len(start)
     rates, r = _em(row, voter, n, np.clip(start, 1e-6, 0.5), np.array([1 - share, share]), rounds)
-    alike = _correlations(row, voter, n, r[:, 1], rates)
-    one, family = _groups(alike >= CORRELATED), _groups(alike >= RELATED)
+    i, j, alike = _correlations(row, voter, n, r[:, 1], rates)
+    one, family = (_groups(m, i[alike >= least], j[alike >= least]) for least in (CORRELATED, RELATED))
     both = np.unique(np.stack([row, one[voter]], 1), axis=0)
-    # A toxic class for each of the families that vote most, and one for all others.
+    # A toxic class for each family with its share of the toxic votes, and one for all others.
     size = np.bincount(family[both[:, 1]], r[both[:, 0], 1], m)
-    first = [f for f in np.argsort(-size, kind="stable")[:FAMILIES].tolist() if size[f] > 0]
+    first = [f for f in np.argsort(-size, kind="stable").tolist() if size[f] > 0 and size[f] >= FAMILY_SHARE * size.sum()]
     number = np.full(m, len(first))
     for k, f in enumerate(first):
         number[family == f] = k
@@ -245,30 +244,60 @@ def _em(row: np.ndarray, voter: np.ndarray, n: int, rates: np.ndarray, share: np
     return rates, r
 
 
-def _correlations(row: np.ndarray, voter: np.ndarray, n: int, q: np.ndarray, rates: np.ndarray) -> np.ndarray:
-    """Correlations of voters given the class."""
+def _correlations(row: np.ndarray, voter: np.ndarray, n: int, q: np.ndarray, rates: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, correlation given the class) of the voters i < j that vote together somewhere; no others correlate positively.
+
+    Sums of (vote - expected vote) products, multiplied out: only votes given together are
+    counted by pair, and no table of all pairs is held.
+    """
     m = len(rates)
-    both = np.zeros((m, m), np.float32)
-    order = np.argsort(row, kind="stable")
-    cuts = np.searchsorted(row[order], np.arange(0, n + 2048, 2048))
-    for a, i, j in zip(range(0, n, 2048), cuts[:-1], cuts[1:]):
-        b = min(n, a + 2048)
-        v = np.zeros((b - a, m), np.float32)
-        v[row[order[i:j]] - a, voter[order[i:j]]] = 1
-        v -= (np.outer(1 - q[a:b], rates[:, 0]) + np.outer(q[a:b], rates[:, 1])).astype(np.float32)
-        both += v.T @ v
-    scale = np.sqrt(np.maximum(np.diag(both), 1e-9))
-    return both / np.outer(scale, scale)
-
-
-def _groups(linked: np.ndarray) -> np.ndarray:
-    """The least member of each one's connected group."""
-    group = np.arange(len(linked))
-    for i, j in zip(*np.nonzero(linked)):
-        a, b = group[i], group[j]
-        if a != b:
-            group[group == max(a, b)] = min(a, b)
-    return group
+    order = np.lexsort((voter, row))
+    row, voter = row[order], voter[order]
+    starts = np.flatnonzero(np.diff(row, prepend=-1))
+    size = np.diff(np.append(starts, len(row)))
+    held, waiting = [], 0
+    for k in np.unique(size[size > 1]).tolist():
+        # Rows of equally many votes at a time, in parts of some millions of pairs.
+        a, b = np.triu_indices(k, 1)
+        of_size = starts[size == k]
+        for part in np.array_split(of_size, 1 + len(of_size) * len(a) // 4_000_000):
+            votes = voter[part[:, None] + np.arange(k)]
+            held.append(np.unique((votes[:, a] * m + votes[:, b]).ravel(), return_counts=True))
+            waiting += len(held[-1][0])
+            if waiting > 20_000_000:
+                held = [_added(held)]
+                waiting = len(held[0][0]) // 2
+    pair, together = _added(held) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    i, j = pair // m, pair % m
+    clean, toxic = rates.T
+    on_clean, on_toxic = np.bincount(voter, 1 - q[row], m), np.bincount(voter, q[row], m)
+    cc, ct, tt = ((1 - q) ** 2).sum(), (q * (1 - q)).sum(), (q * q).sum()
+
+    def products(i: np.ndarray, j: np.ndarray, together: np.ndarray) -> np.ndarray:
+        crossed = on_clean[i] * clean[j] + on_toxic[i] * toxic[j] + on_clean[j] * clean[i] + on_toxic[j] * toxic[i]
+        return together - crossed + clean[i] * clean[j] * cc + (clean[i] * toxic[j] + toxic[i] * clean[j]) * ct + toxic[i] * toxic[j] * tt
+
+    every = np.arange(m)
+    own = np.sqrt(np.maximum(products(every, every, np.bincount(voter, minlength=m)), 1e-9))
+    return i, j, products(i, j, together) / (own[i] * own[j])
+
+
+def _added(counted: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, inverse = np.unique(np.concatenate([k for k, _ in counted]), return_inverse=True)
+    return keys, np.bincount(inverse, np.concatenate([c for _, c in counted]), len(keys)).astype(np.int64)
+
+
+def _groups(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least member of each one's connected group, for links between i and j."""
+    group = np.arange(m)
+    while True:
+        least = group.copy()
+        np.minimum.at(least, i, group[j])
+        np.minimum.at(least, j, group[i])
+        least = least[least]
+        if (least == group).all():
+            return group
+        group = least
 
 
 def _logistic(row: np.ndarray, feature: np.ndarray, m: int, q: np.ndarray, steps: int = 600, l2: float = 1e-4) -> tuple[np.ndarray, float]:
