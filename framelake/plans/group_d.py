@@ -75,13 +75,13 @@ fit AS (SELECT frame, n, a, b, sqrt(a * a + b * b) AS scale, atan2(b, a) AS rota
 
 @query(f"{_PAIRS}, {_FIT} SELECT frame, n, round(scale, 6) AS scale, round(rotation, 6) AS rotation, round(tx, 6) AS tx, round(ty, 6) AS ty FROM fit")
 def umeyama_fit(spark, d):
-    f = register.similarity_fit(_pairs(spark, d), ["frame"]).where("scale is not null")
+    f = register.similarity_fit(_pairs(spark, d), ["frame"], ["ord"]).where("scale is not null")
     return f.select("frame", "n", *[F.round(c, 6).alias(c) for c in ("scale", "rotation", "tx", "ty")])
 
 
 @query(f"""{_PAIRS}, {_FIT} SELECT frame, round(2 * tx + 0.5 * (1 - a + b) + 1e-10, 6) AS tx, round(2 * ty + 0.5 * (1 - b - a) + 1e-10, 6) AS ty FROM fit""")
 def transform_lift(spark, d):
-    f = register.lift(register.similarity_fit(_pairs(spark, d), ["frame"]).where("scale is not null"))
+    f = register.lift(register.similarity_fit(_pairs(spark, d), ["frame"], ["ord"]).where("scale is not null"))
     # Some values end in an exact half at the seventh decimal; the last bit of a sum must not decide.
     return f.select("frame", F.round(F.col("tx") + 1e-10, 6).alias("tx"), F.round(F.col("ty") + 1e-10, 6).alias("ty"))
 

@@ -88,6 +88,26 @@ def test_ransac_and_umeyama_recover_a_transform(spark):
     assert register.similarity_fit(pairs, ["frame"]).where("frame = 2").first().scale is None
 
 
+def test_a_half_turn_does_not_depend_on_the_order_of_rows(spark):
+    rng = np.random.default_rng(7)
+    p = rng.permutation(64)[:20]
+    x, y = (p % 8) * 16.0, (p // 8) * 16.0
+    rows = [(f, int(i), x[i], y[i], 112 - x[i], 112 - y[i]) for f in range(60) for i in rng.permutation(20)]
+    pairs = spark.createDataFrame([(int(f), i, *map(float, r)) for f, i, *r in rows], "frame int, ord int, x double, y double, u double, v double").repartition(7, "ord")
+
+    def comoment(a, b):
+        ma = mb = c = 0.0
+        for n, (s, t) in enumerate(zip(a, b), 1):
+            d = s - ma
+            ma, mb = ma + d / n, mb + (t - mb) / n
+            c += d * (t - mb)
+        return c / len(a)
+
+    want = math.atan2(comoment(x, 112 - y) - comoment(y, 112 - x), -1)
+    got = register.similarity_fit(pairs, ["frame"], ["ord"]).collect()
+    assert len(got) == 60 and {round(r.rotation, 6) for r in got} == {round(want, 6)}
+
+
 def test_registration_from_stars(spark):
     rng = np.random.default_rng(5)
     ref = rng.uniform(20, 480, (15, 2))
