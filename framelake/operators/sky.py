@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framelake.operators import register
 
@@ -35,21 +38,95 @@ def deproject(xi: Column, eta: Column, ra0: float, dec0: float) -> tuple[Column,
     return ra, F.degrees(F.atan2(math.sin(d0) + eta * math.cos(d0), F.sqrt(xi * xi + den * den)))
 
 
+#: Others in a tile and in a block of it, points of a tile that one task takes, points compared at once. SLACK covers rounding of bounds.
+TILE, BLOCK, LOAD, BATCH, SLACK = 4096, 64, 65536, 1024, 1 + 1e-12
+
+
+def _spread(c: Column) -> Column:
+    """The low 32 bits of c at the even places."""
+    for by, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        c = c.bitwiseOR(F.shiftleft(c, by)).bitwiseAND(F.lit(mask))
+    return c
+
+
+def _nearest_of_tile(px: np.ndarray, py: np.ndarray, bound: np.ndarray, ox: np.ndarray, oy: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Position of the nearest other of each point, of equally near ones the first by order, and its distance; infinite where none is within bound.
+
+    Others lie in runs of neighbours. A block of them is looked at only where its box is no farther than the bound or than the far corner of another's box.
+    """
+    starts = np.arange(0, len(ox), BLOCK)
+    x0, x1, y0, y1 = (f.reduceat(c, starts) for c in (ox, oy) for f in (np.minimum, np.maximum))
+    pad = (0, -len(ox) % BLOCK)
+    bx, by = (np.pad(c, pad, constant_values=np.inf).reshape(-1, BLOCK) for c in (ox, oy))
+    rank = np.pad(np.argsort(order), pad, constant_values=len(ox)).reshape(-1, BLOCK)
+    at, dist = np.zeros(len(px), int), np.full(len(px), np.inf)
+    for k in range(0, len(px), BATCH):
+        x, y = px[k : k + BATCH, None], py[k : k + BATCH, None]
+        low = np.hypot(np.maximum(np.maximum(x0 - x, x - x1), 0), np.maximum(np.maximum(y0 - y, y - y1), 0))
+        far = np.hypot(np.maximum(np.abs(x - x0), np.abs(x - x1)), np.maximum(np.abs(y - y0), np.abs(y - y1)))
+        i, b = np.nonzero(low <= np.minimum(bound[k : k + BATCH], far.min(1) * SLACK)[:, None])
+        if not len(i):
+            continue
+        dx, dy = x[i] - bx[b], y[i] - by[b]
+        d = np.sqrt(dx * dx + dy * dy)
+        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        best = np.minimum.reduceat(d.min(1), first)
+        tied = d == np.repeat(best, np.diff(np.r_[first, len(i)]))[:, None]
+        dist[k + i[first]], at[k + i[first]] = best, np.minimum.reduceat(np.where(tied, rank[b], len(ox)).min(1), first)
+    return order[np.minimum(at, len(ox) - 1)], dist
+
+
 def nearest(points: DataFrame, others: DataFrame, keys: list[str], radius: float, keep: list[str] = ()) -> DataFrame:
-    """For each point the nearest other strictly within radius, over a grid of cells that wide.
+    """For each point the nearest other strictly within radius; of equally near ones the least.
 
-    points: keys, id, px, py, and keep, which are part of a point's name; others: keys, other, ox, oy. A point looks into its 3 x 3
-    cells, so the join is an equi-join and never meets all pairs.
+    points: keys, id, px, py, and keep, which are part of a point's name; others: keys, other, ox, oy; keys have few values.
+    Others are cut into tiles of at most TILE neighbours, in Z-order within cells of at least the radius. A point
+    goes to those tiles of its 3 x 3 cells whose box is no farther than the radius or than the far corner of any
+    one's box, and meets its nearest in each; so its work does not grow with what lies within the radius. A tile
+    with many points near it is copied, and each copy takes a share of them.
     """
-    cell = lambda c: F.floor(F.col(c) / radius).cast("int")
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    p = points.withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps))
-    p = p.withColumns({"_cx": cell("px") + F.col("_dx"), "_cy": cell("py") + F.col("_dy")})
-    o = others.withColumns({"_cx": cell("ox"), "_cy": cell("oy")})
-    far = F.sqrt((F.col("px") - F.col("ox")) ** 2 + (F.col("py") - F.col("oy")) ** 2)
-    m = p.join(o, [*keys, "_cx", "_cy"]).withColumn("distance", far).where(F.col("distance") < radius)
+    finite = lambda *c: F.greatest(*[F.abs(F.col(x)) for x in c]) < math.inf
+    name = [*keys, *keep, "id"]
+    o = others.select(*[F.col(k).alias(k) for k in keys], "other", *[F.col(c).cast("double") for c in ("ox", "oy")]).where("ox is not null and oy is not null").where(finite("ox", "oy"))
+    o = o.groupBy(*keys, "ox", "oy").agg(F.min("other").alias("other"))
+    p = points.select(*name, *[F.col(c).cast("double") for c in ("px", "py")]).where("px is not null and py is not null").where(finite("px", "py"))
+    # A cell is so wide that it would hold half a tile if others lay evenly.
+    wide = F.sqrt((F.max("ox") - F.min("ox")) * (F.max("oy") - F.min("oy")) * (TILE / 2) / F.count("*"))
+    side = F.broadcast(o.groupBy(*keys).agg(F.greatest(F.lit(radius * (1 + 1e-9)), wide).alias("_side")))
+    cell = lambda c: F.floor(F.greatest(F.lit(-1e15), F.least(F.lit(1e15), F.col(c) / F.col("_side"))))
+    o = o.join(side, keys).withColumns({"_cx": cell("ox"), "_cy": cell("oy")})
+    p = p.repartition(*name).join(side, keys).withColumns({"_cx": cell("px"), "_cy": cell("py")}).drop("_side")
+    here = [*keys, "_cx", "_cy"]
+    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    around = lambda df: df.withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step)).withColumns({"_cx": F.col("_cx") + F.col("_dx"), "_cy": F.col("_cy") + F.col("_dy")}).drop("_dx", "_dy")
+    bits = lambda c, at: _spread(F.greatest(F.lit(0), F.least(F.lit(2**30 - 1), F.floor((F.col(c) / F.col("_side") - F.col(at)) * 2**30))))
+    z = F.shiftleft(bits("oy", "_cy"), 1).bitwiseOR(bits("ox", "_cx"))
+    o = o.withColumn("_r", F.row_number().over(Window.partitionBy(*here).orderBy(z, "ox", "oy")) - 1).withColumn("_tile", F.expr(f"_r div {TILE}"))
+    load = around(p.groupBy(*here).agg(F.count("*").alias("_n"))).groupBy(*here).agg(F.ceil(F.sum("_n") / LOAD).cast("int").alias("_parts"))
+    tiles = o.groupBy(*here, "_tile").agg(F.min("ox").alias("x0"), F.max("ox").alias("x1"), F.min("oy").alias("y0"), F.max("oy").alias("y1")).join(load, here)
+    tiles = around(tiles.withColumn("_t", F.struct(F.col("_cx").alias("cx"), F.col("_cy").alias("cy"), "_tile", "_parts", "x0", "x1", "y0", "y1")).select(*here, "_t"))
+    tiles = tiles.groupBy(*here).agg(F.collect_list("_t").alias("_t"))
+    px, py = F.col("px"), F.col("py")
+    low = lambda t: F.hypot(F.greatest(t["x0"] - px, px - t["x1"], F.lit(0.0)), F.greatest(t["y0"] - py, py - t["y1"], F.lit(0.0)))
+    far = lambda t: F.hypot(F.greatest(F.abs(px - t["x0"]), F.abs(px - t["x1"])), F.greatest(F.abs(py - t["y0"]), F.abs(py - t["y1"])))
+    m = p.join(tiles, here).drop("_cx", "_cy").withColumn("_bound", SLACK * F.least(F.lit(radius), F.array_min(F.transform("_t", far))))
+    m = m.withColumn("_t", F.explode(F.filter("_t", lambda t: low(t) <= F.col("_bound"))))
+    group = [*here, "_tile", "_part"]
+    m = m.select(*name, "px", "py", "_bound", F.col("_t.cx").alias("_cx"), F.col("_t.cy").alias("_cy"), "_t._tile", F.expr("pmod(xxhash64(%s), _t._parts)" % ", ".join(f"`{c}`" for c in (*keep, "id"))).cast("int").alias("_part"))
+    o = o.join(load, here).select(*here, "_tile", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "_r", "ox", "oy", "other")
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return left[name].head(0).assign(other=right["other"].head(0), distance=0.0)
+        right = right.sort_values("_r", ignore_index=True)
+        at, dist = _nearest_of_tile(*(left[c].to_numpy() for c in ("px", "py", "_bound")), *(right[c].to_numpy() for c in ("ox", "oy")), right["other"].argsort(kind="stable").to_numpy())
+        out = left[name].reset_index(drop=True).assign(other=right["other"].take(at).reset_index(drop=True), distance=dist)
+        return out[out["distance"] < radius]
+
+    schema = T.StructType([*m.select(*name).schema.fields, o.schema["other"], T.StructField("distance", T.DoubleType())])
+    found = m.groupBy(*group).cogroup(o.groupBy(*group)).applyInPandas(meet, schema)
     best = F.min(F.struct("distance", "other")).alias("b")
-    return m.groupBy(*keys, *keep, "id").agg(best).select(*keys, *keep, "id", "b.other", "b.distance")
+    return found.groupBy(*name).agg(best).select(*name, "b.other", "b.distance")
 
 
 def magnitude_flux(mag: Column) -> Column:

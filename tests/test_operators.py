@@ -108,6 +108,46 @@ def test_a_half_turn_does_not_depend_on_the_order_of_rows(spark):
     assert len(got) == 60 and {round(r.rotation, 6) for r in got} == {round(want, 6)}
 
 
+def test_nearest_equals_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    far = rng.uniform(-20, 20, (400, 2))
+    knots = rng.uniform(-20, 20, (3, 2))[rng.integers(0, 3, 9000)] + rng.uniform(0, 1e-7, (9000, 2))
+    o = np.r_[far, far[:50], knots, [[3.0, 0.0], [-3.0, 0.0], [np.nan, 1.0], [np.inf, 1.0], [1e300, 0.0]]]
+    p = np.r_[rng.uniform(-23, 23, (150, 2)), knots[:20], far[:20], [[0.0, 0.0], [6.0, 0.0], [np.nan, 1.0], [1e300, 1.0]]]
+    others = [(k, f"o{i:05d}", *map(float, v)) for i, v in enumerate(o) for k in (1, 2) if k == 1 or i % 7 == 0] + [(1, "null", None, 0.0)]
+    points = [(k, n, i, *map(float, v)) for i, v in enumerate(p) for k in (1, 2, 3) for n in "ab"] + [(1, "a", 999, 0.0, None)]
+    want = {}
+    for k, n, i, x, y in points:
+        if y is not None and n == "a":
+            near = [(math.sqrt((x - a) * (x - a) + (y - b) * (y - b)), name) for g, name, a, b in others if g == k and a is not None and abs(x - a) < 3 and abs(y - b) < 3]
+            near = [v for v in near if v[0] < 3]
+            if near:
+                want[k, "a", i] = want[k, "b", i] = min(near)[::-1]
+    df = spark.createDataFrame(points, "key int, frame string, id long, px double, py double")
+    got = sky.nearest(df, spark.createDataFrame(others, "key int, other string, ox double, oy double"), ["key"], 3.0, keep=["frame"])
+    assert got.columns == ["key", "frame", "id", "other", "distance"]
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r.key, r.frame, r.id): (r.other, r.distance) for r in rows} == want
+
+
+def test_nearest_does_not_meet_all_pairs_of_a_dense_spot(spark):
+    n = 64
+    grid = spark.range(n * n).selectExpr("1 as one", "id as other", f"(id % {n}) * 0.01D as ox", f"(id div {n}) * 0.01D as oy")
+    near = sky.nearest(grid.selectExpr("one", "other as id", "ox + 0.002D as px", "oy - 0.003D as py"), grid, ["one"], 3.0)
+    rows = near.collect()
+    assert len(rows) == n * n and all(r.other == r.id and abs(r.distance - math.hypot(0.002, 0.003)) < 1e-12 for r in rows)
+
+    def most(plan) -> int:
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return most(plan.executedPlan())
+        if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+            return most(plan.plan())
+        m, below = plan.metrics(), plan.children()
+        return max([m.apply("numOutputRows").value() if m.contains("numOutputRows") else 0, *[most(below.apply(i)) for i in range(below.size())]])
+
+    assert 0 < most(near._jdf.queryExecution().executedPlan()) <= 10 * n * n
+
+
 def test_registration_from_stars(spark):
     rng = np.random.default_rng(5)
     ref = rng.uniform(20, 480, (15, 2))
